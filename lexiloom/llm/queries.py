@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import duplicates, leaks, packing, repetition
+from lexiloom.llm import boundaries, duplicates, leaks, lookalikes, packing, repetition
 from lexiloom.session import table
 
 
@@ -10,7 +10,15 @@ def _over(f, *names):
     return lambda spark, d: f(*[table(spark, d, n) for n in names])
 
 
+def _looks(f):
+    return lambda spark, d: f(lookalikes.fields(table(spark, d, "sentences"), table(spark, d, "course_library")))
+
+
 QUERIES = {
+    "p5_found": _looks(lookalikes.pairs),
+    "p5_canonical": _looks(lambda df: lookalikes.forms(df)),
+    "p6_found": _over(boundaries.found, "sentences"),
+    "p6_units": _over(boundaries.units, "sentences"),
     "p7_found": _over(duplicates.pairs, "course_library"),
     "p7_collapsed": _over(duplicates.collapsed, "course_library"),
     "p8_packed": _over(packing.packed, "documents", "pack_targets"),
