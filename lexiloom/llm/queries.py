@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import boundaries, duplicates, leaks, lookalikes, packing, repetition
+from lexiloom.llm import boundaries, duplicates, leaks, lookalikes, packing, repetition, truncation
 from lexiloom.session import table
 
 
@@ -15,6 +15,9 @@ def _looks(f):
 
 
 QUERIES = {
+    "p4_found": _over(truncation.found, "sentences"),
+    "p4_sources": _over(truncation.by_source, "sentences"),
+    "p4_limits": _over(lambda df: truncation.limits(truncation.judged(df)), "sentences"),
     "p5_found": _looks(lookalikes.pairs),
     "p5_canonical": _looks(lambda df: lookalikes.forms(df)),
     "p6_found": _over(boundaries.found, "sentences"),
