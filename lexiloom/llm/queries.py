@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import boundaries, duplicates, leaks, lookalikes, packing, repetition, truncation
+from lexiloom.llm import boundaries, duplicates, leaks, lookalikes, packing, repetition, scans, truncation
 from lexiloom.session import table
 
 
@@ -15,6 +15,8 @@ def _looks(f):
 
 
 QUERIES = {
+    "p2_found": _over(scans.found, "ocr_pages", "page_records", "course_library"),
+    "p2_clean": _over(scans.clean, "ocr_pages", "page_records", "course_library"),
     "p4_found": _over(truncation.found, "sentences"),
     "p4_sources": _over(truncation.by_source, "sentences"),
     "p4_limits": _over(lambda df: truncation.limits(truncation.judged(df)), "sentences"),
