@@ -175,6 +175,7 @@ class Model:
         self.vectors = self._informed(vectors) if vectors else {}
         self.trigrams, self.total = trigrams or {}, max(1, sum((trigrams or {}).values()))
         self.links: dict[str, str] = {}
+        self.memo: dict[str, tuple[str, str, str | None, bool]] = {}
         for w in counts:
             near = [f for f in self.near(w) if counts[f] >= RATIO * counts[w] and self._alike(w, f)]
             if near:
@@ -233,25 +234,39 @@ class Model:
                 i = low.find(wrong, i + 1)
         return at
 
+    def __getstate__(self):
+        return self.__dict__ | {"memo": {}}
+
+    def seen(self, chunk: str) -> tuple[str, str, str | None, bool]:
+        """``core, low, right, decided`` of a run of non-blanks, as far as its neighbours don't matter; kept for the next time."""
+        if (m := self.memo.get(chunk)) is None:
+            if len(self.memo) > 500_000:
+                self.memo.clear()
+            word = core(chunk)
+            low = word.lower()
+            if low.endswith(("'s", "’s")) and low[:-2] in self.counts:
+                low = low[:-2]
+            if not low or _NUMERIC.fullmatch(low) or len(low) == 1 and low.isalnum() or not any(c.isalpha() for c in low):
+                m = (word, low, None, True)
+            elif word[0] != "(" and low in self.counts:
+                m = (word, low, self.links.get(low), True)
+            else:
+                m = (word, low, None, False)
+            self.memo[chunk] = m
+        return m
+
     def correct(self, chunk: str, around: list[int], other: set[str], known: set[str]) -> str | None:
         """What a run of non-blanks was, in lower case, if it seems misread; None if it seems right."""
-        word = core(chunk)
-        if word[:1] == "(":
+        word, low, right, decided = self.seen(chunk)
+        if decided or low in known:
+            return None if low in known else right
+        if word[0] == "(":
             inside = word[1:].lower()
-            near = [f for f in self.near(word.lower()) if f not in self.links]
+            near = [f for f in self.near(low) if f not in self.links]
             likely = inside in self.counts and inside not in self.links or inside in known
             if not near or likely and max(self.fit(f, around) for f in near) < self.fit(inside, around) + 1.0:
-                word = word[1:]
-        low = word.lower()
-        if not low or low in known or _NUMERIC.fullmatch(low) or len(low) == 1 and low.isalnum():
-            return None
-        if low.endswith(("'s", "’s")) and low[:-2] in self.counts:
-            low = low[:-2]
-        if low in self.counts:
-            return self.links.get(low)
-        if not any(c.isalpha() for c in low):
-            return None
-        near = [f for f in self.near(low) if self.links.get(f) is None]
+                return self.correct(word[1:], around, other, known)
+        near = [f for f in self.near(low) if f not in self.links]
         if near:
             return max(near, key=lambda f: (self.fit(f, around), self.counts[f]))
         if "-" in low:
@@ -259,32 +274,44 @@ class Model:
             fixed = [self.links.get(p) or (p if p in self.counts else max(self.near(p), key=self.counts.get, default=p)) for p in parts]
             if fixed != parts and all(p in self.counts for p in fixed):
                 return "-".join(fixed)
-        if low in other:
-            twin = None
-        else:  # the other reading of the page has the same shapes as another word
+        if low not in other:  # the other reading of the page may have the same shapes as another word
             g = glyphs(low)
             twin = next((o for o in other if o != low and glyphs(o) == g), None)
-        if twin:
-            return twin if self.likelihood(twin) > self.likelihood(low) else None
+            if twin:
+                return twin if self.likelihood(twin) > self.likelihood(low) else None
         if _ODD.search(low) and re.search(r"[^\W\d_]", low) and not re.search(r"\d.*[.:/$%].*|^\d+(?:st|nd|rd|th|s)?$|\.\w", low):
             return self.name(low) or low.translate(str.maketrans({w: r for w, r in MISREAD if len(w) == 1 and not w.isalpha()}))
         return self.name(low) if word[:1].isupper() and word.isalpha() and self.trigrams else None
 
 
-_PAGE = "field string, page_id bigint, book string, place int, title string, text string, other string"
-FIELDS = ("ocr_pages.vision", "ocr_pages.unlimited", "page_records.text")
+_PAGES = "kind string, page_id bigint, book string, place int, title string, a string, b string"
+#: The fields of the two readings of a page, by the table it is from.
+FIELDS = {"ocr": ("ocr_pages.vision", "ocr_pages.unlimited"), "record": ("page_records.text",)}
 
 
 def pages(ocr: DataFrame, records: DataFrame, library: DataFrame) -> DataFrame:
-    """All readings as one table. ``place`` orders the pages of a book; ``other`` is the other reading of the same page."""
-    cols = [F.col("page_id").cast("bigint").alias("page_id"), F.col("lesson_id").alias("book"), (F.col("page") * 2).cast("int").alias("place"), "title"]
-    one = ocr.select(F.lit(FIELDS[0]).alias("field"), *cols, F.col("vision").alias("text"), F.col("unlimited").alias("other"))
-    two = ocr.select(F.lit(FIELDS[1]).alias("field"), *cols, F.col("unlimited").alias("text"), F.col("vision").alias("other"))
+    """All pages as one table with their readings ``a`` and ``b``. ``place`` orders the pages of a book."""
+    one = ocr.select(F.lit("ocr").alias("kind"), F.col("page_id").cast("bigint").alias("page_id"), F.col("lesson_id").alias("book"), (F.col("page") * 2).cast("int").alias("place"), "title", F.col("vision").alias("a"), F.col("unlimited").alias("b"))
     titles = library.filter("id is not null and title is not null").groupBy(F.col("id").alias("book")).agg(F.min_by("title", "row_id").alias("title"))
     place = F.col("physical_page") * 2 + F.when(F.col("side") == "right", 1).otherwise(0)
-    rec = records.select(F.lit(FIELDS[2]).alias("field"), F.col("page_id").cast("bigint").alias("page_id"), F.col("lesson_id").alias("book"), place.cast("int").alias("place"), "text", F.lit(None).cast("string").alias("other"))
-    rec = join_small(rec.filter("text is not null and book is not null"), titles, "book", "left").unionByName(rec.filter("text is not null and book is null").withColumn("title", F.lit(None).cast("string")))
-    return one.unionByName(two).unionByName(rec).filter("text is not null")
+    rec = records.select(F.lit("record").alias("kind"), F.col("page_id").cast("bigint").alias("page_id"), F.col("lesson_id").alias("book"), place.cast("int").alias("place"), F.col("text").alias("a"), F.lit(None).cast("string").alias("b")).filter("a is not null")
+    named = join_small(rec.filter("book is not null"), titles, "book", "left")
+    return one.filter("a is not null or b is not null").unionByName(named).unionByName(rec.filter("book is null").withColumn("title", F.lit(None).cast("string")))
+
+
+def _readings(b: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
+    """``field, text, values of the columns`` of every reading; a column ``x`` may be two, ``x_a`` and ``x_b``."""
+    names = set(b.schema.names)
+    lists = [[b.column(c).to_pylist()] * 2 if c in names else [b.column(f"{c}_a").to_pylist(), b.column(f"{c}_b").to_pylist()] for c in columns]
+    texts = [b.column("a").to_pylist(), b.column("b").to_pylist()]
+    for i, kind in enumerate(b.column("kind").to_pylist()):
+        for k, field in enumerate(FIELDS[kind]):
+            if texts[k][i] is not None:
+                yield (field, texts[k][i], *[x[k][i] for x in lists])
+
+
+def _batch(rows: list[tuple], kind: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kind)], schema=kind)
 
 
 _EDGE_KIND = pa.schema([("field", pa.string()), ("page_id", pa.int64()), ("book", pa.string()), ("place", pa.int32()), ("line_no", pa.int32()), ("key", pa.string()), ("sure", pa.bool_())])
@@ -292,12 +319,7 @@ _EDGE_KIND = pa.schema([("field", pa.string()), ("page_id", pa.int64()), ("book"
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [
-            (f, p, k, o, *e)
-            for f, p, k, o, t, x in zip(*[b.column(c).to_pylist() for c in ("field", "page_id", "book", "place", "title", "text")])
-            for e in edge_lines(x, t)
-        ]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_EDGE_KIND)], schema=_EDGE_KIND)
+        yield _batch([(f, p, k, o, *e) for f, x, p, k, o, t in _readings(b, "page_id", "book", "place", "title") for e in edge_lines(x, t)], _EDGE_KIND)
 
 
 def furniture(given: DataFrame) -> DataFrame:
@@ -310,51 +332,65 @@ def furniture(given: DataFrame) -> DataFrame:
     return edges.filter("sure").select(line).unionByName(open_.join(again, ["book", "key"], "left_semi").select(line)).unionByName(open_.join(common, "key", "left_semi").select(line)).distinct()
 
 
-def _words_of(text: str, furn) -> list[str]:
-    out, _, _ = tokens(story(text, set(furn or ())), None, None, None)
-    return [core(w) for w, *_ in out]
+def spread(given: DataFrame) -> DataFrame:
+    """Pages with the numbers of their furniture lines, ``furn_a`` and ``furn_b``: four at most each."""
+    second = F.col("field") == FIELDS["ocr"][1]
+    f = furniture(given).groupBy("page_id", F.when(F.col("field") == FIELDS["record"][0], "record").otherwise("ocr").alias("kind"))
+    furn = f.agg(F.collect_set(F.when(~second, F.col("line_no"))).alias("furn_a"), F.collect_set(F.when(second, F.col("line_no"))).alias("furn_b"))
+    return given.join(furn, ["kind", "page_id"], "left")
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        n: Counter = Counter()
-        for text, furn in zip(b.column("text").to_pylist(), b.column("furn").to_pylist()):
-            lines, tail = story(text, set(furn or ())), True
-            for _, line in lines:
-                for c in _CHUNK.findall(line):
-                    # parts of broken words are no words; neither may be the first of a page
-                    if not tail and c[-1] not in HYPHENS:
-                        n[core(c).lower()] += 1
+        raw: Counter = Counter()
+        for _, text, furn in _readings(b, "furn"):
+            tail = True
+            for _, line in story(text, set(furn or ())):
+                chunks = _CHUNK.findall(line)
+                raw.update(chunks)
+                # parts of broken words are no words; neither may be the first of a page
+                for c in chunks if len(chunks) < 3 or any(h in line for h in HYPHENS) else (chunks[0], chunks[-1]):
+                    if tail or c[-1] in HYPHENS:
+                        raw[c] -= 1
                     tail = c[-1] in HYPHENS and len(c) > 1
+        n: Counter = Counter()
+        for c, k in raw.items():
+            n[core(c).lower()] += k
         n.pop("", None)
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
 
 
-def _model(spread: DataFrame) -> Model:
+def _model(placed: DataFrame) -> Model:
     """Three passes over all pages, each reduced inside the tasks to counts by word, bucket or letters."""
-    spark = spread.sparkSession
-    vocabulary = cut(spread.select("text", "furn").mapInArrow(_counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+    spark = placed.sparkSession
+    narrow = placed.select("kind", "a", "b", "furn_a", "furn_b")
+    vocabulary = cut(narrow.mapInArrow(_counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
     top = vocabulary.filter((F.col("n") >= LEAST) & (F.length("word") <= 40)).orderBy(F.desc("n"), "word").limit(WORDS).collect()
     shared = spark.sparkContext.broadcast({r[0]: i for i, r in enumerate(top)})
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = shared.value
-        buckets: dict[str, int] = {}
+        memo: dict[str, tuple[int, int]] = {}
         for b in batches:
             keys = []
-            for text, furn in zip(b.column("text").to_pylist(), b.column("furn").to_pylist()):
-                own = [w.lower() for w in _words_of(text, furn)]
-                word = np.fromiter((ids.get(w, -1) for w in own), dtype=np.int64, count=len(own))
-                near = np.fromiter((buckets[w] if w in buckets else buckets.setdefault(w, _bucket(w)) for w in own), dtype=np.int64, count=len(own))
-                if len(buckets) > 300_000:
-                    buckets.clear()
-                for d in (1, 2):
-                    if len(own) > d:
-                        keys += [word[d:] * BUCKETS + near[:-d], word[:-d] * BUCKETS + near[d:]]
+            for _, text, furn in _readings(b, "furn"):
+                own = []
+                for chunk, *_ in tokens(story(text, set(furn or ())), None, None, None)[0]:
+                    if (m := memo.get(chunk)) is None:
+                        low = core(chunk).lower()
+                        memo[chunk] = m = (ids.get(low, -1) * BUCKETS, _bucket(low))
+                    own.append(m)
+                if len(memo) > 500_000:
+                    memo.clear()
+                if len(own) > 1:
+                    both = np.array(own, dtype=np.int64)
+                    word, near = both[:, 0], both[:, 1]
+                    for d in (1, 2):
+                        keys += [word[d:] + near[:-d], word[:-d] + near[d:]]
             flat, n = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(flat[flat >= 0]), pa.array(n[flat >= 0])], names=["cell", "n"])
 
-    cells = spread.select("text", "furn").mapInArrow(contexts, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    cells = narrow.mapInArrow(contexts, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
     matrix = np.zeros((len(top), BUCKETS), dtype=np.float32)
     for part in cells.toArrow().to_batches() if len(top) else ():  # at most WORDS x BUCKETS numbers
         flat = np.asarray(part.column("cell"))
@@ -378,52 +414,52 @@ def _model(spread: DataFrame) -> Model:
 
 def _judge(model: Model, text: str, furn, title: str | None, other: str | None, after: str | None, before: str | None) -> tuple[list[int], list[int], str]:
     """Lines with a broken word, lines with a misread one, and the clean text of a page."""
-    lines = story(text, set(furn or ()))
-    own, broken, overleaf = tokens(lines, model.spelled, after, before)
-    known = {core(w).lower() for w in (title or "").split()}
-    rest = {core(w).lower() for w in (other or "").split()}
-    lows = [core(w).lower() for w, *_ in own]
+    own, broken, _ = tokens(story(text, set(furn or ())), model.spelled, after, before)
+    facts = [model.seen(chunk) for chunk, *_ in own]
+    known = rest = None
     misread: set[int] = set()
     cleaned: list[str] = []
-    first_of = {}
     for i, (chunk, line, last, part) in enumerate(own):
-        around = [_bucket(lows[j]) for j in (i - 2, i - 1, i + 1, i + 2) if 0 <= j < len(own)] if lows[i] not in model.counts else []
+        body, _, right, decided = facts[i]
+        if right is None and decided:
+            if "�" in chunk:
+                misread.add(last or line)
+                chunk = chunk.replace("�", ".")
+            cleaned.append(chunk)
+            continue
+        if known is None:
+            known = {core(w).lower() for w in (title or "").split()}
+            rest = {core(w).lower() for w in (other or "").split()}
+        around = [] if decided else [_bucket(facts[j][1]) for j in (i - 2, i - 1, i + 1, i + 2) if 0 <= j < len(own)]
         right = model.correct(chunk, around, rest, known)
         if "�" in chunk and right is None:
             misread.add(last or line)
         if right:
-            at = 0
-            w = chunk.lower()
-            lead = w.find(core(w)) if core(w) else 0
+            at, w = 0, chunk.lower()
+            lead = max(w.find(body.lower()), 0)
             while at < len(right) and lead + at < len(w) and w[lead + at] == right[at]:
                 at += 1
             where = line if lead + at < part else last
-            if where:
+            if where:  # else it is on the page before
                 misread.add(where)
-            elif line == 0 and last:
-                pass
-            body = core(chunk)
             shown = right.capitalize() if body[:1].isupper() else right
             chunk = chunk.replace(body, shown, 1)
-        chunk = chunk.replace("�", ".")
-        cleaned.append(chunk)
-        first_of.setdefault(last, i)
-    paragraphs: list[list[str]] = [[]]
-    blank_before = set()
+        cleaned.append(chunk.replace("�", "."))
+    gaps: set[int] = set()
     gap = False
     for no, line in enumerate(text.split("\n"), 1):
         if not line.strip():
             gap = True
         elif no not in (furn or ()):
             if gap:
-                blank_before.add(no)
+                gaps.add(no)
             gap = False
-    seen: set[int] = set()
+    paragraphs: list[list[str]] = [[]]
     for (_, line, last, _), chunk in zip(own, cleaned):
         start = line or last
-        if start in blank_before and start not in seen and paragraphs[-1]:
+        if start in gaps and paragraphs[-1]:
+            gaps.discard(start)
             paragraphs.append([])
-        seen.add(start)
         if line:  # a word that began overleaf is on the page before
             paragraphs[-1].append(chunk)
     return broken, sorted(misread), "\n\n".join(" ".join(p) for p in paragraphs if p)
@@ -431,17 +467,37 @@ def _judge(model: Model, text: str, furn, title: str | None, other: str | None,
 
 _DONE = "field string, page_id bigint, broken array<int>, misread array<int>, furniture array<int>, text string"
 _DONE_KIND = pa.schema([("field", pa.string()), ("page_id", pa.int64()), *[(c, pa.list_(pa.int32())) for c in ("broken", "misread", "furniture")], ("text", pa.string())])
+_END_KIND = pa.schema([("field", pa.string()), ("kind", pa.string()), ("page_id", pa.int64()), ("book", pa.string()), ("place", pa.int32()), ("first", pa.string()), ("last", pa.string())])
 
 
 def _page_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        first, last = [], []
-        for text, furn in zip(b.column("text").to_pylist(), b.column("furn").to_pylist()):
+        rows = []
+        for field, text, furn, *own in _readings(b, "furn", "kind", "page_id", "book", "place"):
             lines = story(text, set(furn or ()))
-            first.append(_CHUNK.findall(lines[0][1])[0] if lines else None)
-            end = _CHUNK.findall(lines[-1][1])[-1] if lines else ""
-            last.append(end[:-1] if len(end) > 1 and end[-1] in HYPHENS and end[-2].isalnum() and any(c.isalpha() for c in end) else None)
-        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("field", "page_id", "book", "place")], pa.array(first, pa.string()), pa.array(last, pa.string())], names=["field", "page_id", "book", "place", "first", "last"])
+            first = _CHUNK.search(lines[0][1]).group() if lines else None
+            end = lines[-1][1].rstrip()[-80:].split()[-1] if lines else ""
+            last = end[:-1] if len(end) > 1 and end[-1] in HYPHENS and end[-2].isalnum() and any(c.isalpha() for c in end) else None
+            rows.append((field, *own, first, last))
+        yield _batch(rows, _END_KIND)
+
+
+def overleaf(placed: DataFrame) -> DataFrame:
+    """``kind, page_id, after_a, after_b, before_a, before_b``: the first word of the next page of pages that end in a broken
+    word, and that word for the next page. Joined by place, so that a book of any length is spread."""
+    ends = cut(placed.select("kind", "page_id", "book", "place", "a", "b", "furn_a", "furn_b").mapInArrow(_page_ends, "field string, kind string, page_id bigint, book string, place int, first string, last string").filter("book is not null"))
+    firsts = ends.filter("first is not null").groupBy("field", "book", "place").agg(F.min_by("first", "page_id").alias("first"), F.min_by("last", "page_id").alias("last"))
+    step = F.explode(F.array(F.lit(1), F.lit(2))).alias("step")
+    asks = ends.filter("last is not null").select("field", "kind", "page_id", "book", F.col("place").alias("own"), step).withColumn("place", F.col("own") + F.col("step"))
+    after = asks.join(firsts.select("field", "book", "place", "first"), ["field", "book", "place"]).groupBy("field", "kind", "page_id").agg(F.min_by("first", "step").alias("after"))
+    tails = firsts.select("field", "book", F.col("place").alias("from"), "last", step).withColumn("place", F.col("from") + F.col("step"))
+    prior = tails.groupBy("field", "book", "place").agg(F.min_by(F.struct("last"), "step").alias("l")).filter("l.last is not null").select("field", "book", "place", F.col("l.last").alias("before"))
+    before = ends.select("field", "kind", "page_id", "book", "place").join(prior, ["field", "book", "place"]).select("field", "kind", "page_id", "before")
+    none = F.lit(None).cast("string")
+    both = after.withColumn("before", none).unionByName(before.withColumn("after", none))
+    second = F.col("field") == FIELDS["ocr"][1]
+    pick = lambda c, own: F.max(F.when(second if own == "b" else ~second, F.col(c))).alias(f"{c}_{own}")
+    return both.groupBy("kind", "page_id").agg(pick("after", "a"), pick("after", "b"), pick("before", "a"), pick("before", "b"))
 
 
 def restored(ocr: DataFrame, records: DataFrame, library: DataFrame) -> DataFrame:
@@ -450,28 +506,20 @@ def restored(ocr: DataFrame, records: DataFrame, library: DataFrame) -> DataFram
     ``text`` is the clean page; empty pages come out empty. A page delivered twice is restored twice. The next page is the
     one behind in the same book and field; where it is missing, a word broken at the page's end stays as it is.
     """
-    given = cut(pages(ocr, records, library))
-    furn = furniture(given).groupBy("field", "page_id").agg(F.collect_set("line_no").alias("furn"))  # four lines at most
-    spread = cut(given.join(furn, ["field", "page_id"], "left"))
-    ends = cut(spread.select("field", "page_id", "book", "place", "text", "furn").mapInArrow(_page_ends, "field string, page_id bigint, book string, place int, first string, last string"))
-    firsts = ends.filter("first is not null and book is not null").groupBy("field", "book", "place").agg(F.min_by("first", "page_id").alias("first"), F.min_by("last", "page_id").alias("last"))
-    step = F.explode(F.array(F.lit(1), F.lit(2))).alias("step")
-    asks = ends.filter("last is not null").select("field", "page_id", "book", F.col("place").alias("own"), step).withColumn("place", F.col("own") + F.col("step"))
-    after = asks.join(firsts.select("field", "book", "place", "first"), ["field", "book", "place"]).groupBy("field", "page_id").agg(F.min_by("first", "step").alias("after"))
-    tails = firsts.select("field", "book", F.col("place").alias("from"), "last", step).withColumn("place", F.col("from") + F.col("step"))
-    prior = tails.groupBy("field", "book", "place").agg(F.min_by(F.struct("last"), "step").alias("l")).filter("l.last is not null").select("field", "book", "place", F.col("l.last").alias("before"))
-    model = spread.sparkSession.sparkContext.broadcast(_model(spread))
+    placed = cut(spread(pages(ocr, records, library)))
+    model = placed.sparkSession.sparkContext.broadcast(_model(placed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:
+            others = {f: i for i, f in enumerate(FIELDS["ocr"])}
             rows = []
-            for f, p, *rest in zip(*[b.column(c).to_pylist() for c in ("field", "page_id", "text", "furn", "title", "other", "after", "before")]):
-                broken, misread, text = _judge(m, *rest)
-                rows.append((f, p, sorted(set(broken)), misread, sorted(rest[1] or ()), text))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_DONE_KIND)], schema=_DONE_KIND)
+            for field, text, a, b_, page, title, furn, after, before in _readings(b, "a", "b", "page_id", "title", "furn", "after", "before"):
+                broken, misread, clean_ = _judge(m, text, furn, title, b_ if others.get(field) == 0 else a if others.get(field) == 1 else None, after, before)
+                rows.append((field, page, sorted(set(broken)), misread, sorted(furn or ()), clean_))
+            yield _batch(rows, _DONE_KIND)
 
-    return spread.join(after, ["field", "page_id"], "left").join(prior, ["field", "book", "place"], "left").select("field", "page_id", "text", "furn", "title", "other", "after", "before").mapInArrow(run, _DONE)
+    return placed.join(overleaf(placed), ["kind", "page_id"], "left").mapInArrow(run, _DONE)
 
 
 def found(ocr: DataFrame, records: DataFrame, library: DataFrame) -> DataFrame:
