@@ -65,3 +65,33 @@ def evenly_spaced(df: DataFrame, group: list[str], order: list[Column | str], co
     near = n.withColumn("_k", F.explode(F.array(k, k + 1)))
     hit = near.filter((F.col("_size") > count) & (F.col("_k") < count) & (at == F.col("_row"))).dropDuplicates([*group, "_row"])
     return n.filter(F.col("_size") <= count).drop("_row", "_size").unionByName(hit.drop("_row", "_size", "_k"))
+
+
+def running_sum(df: DataFrame, group: list[str], order: list[Column | str], value: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` up to and with each row of its group, for groups of any size."""
+    columns = [F.col(c) if isinstance(c, str) else c for c in [*group, *order]]
+    placed = df.repartitionByRange(*columns).withColumn("_part", F.spark_partition_id())
+    w = W.partitionBy("_part", *group).orderBy(*[F.col(c) if isinstance(c, str) else c for c in order]).rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = cut(placed.withColumn("_s", F.sum(value).over(w)))
+    parts = placed.groupBy("_part", *group).agg(F.coalesce(F.sum(value), F.lit(0)).alias("_n"))
+    before = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    shift = parts.select(F.col("_part").alias("_p"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    if fits_broadcast(shift):
+        shift = F.broadcast(shift)
+    on = F.col("_part") == F.col("_p")
+    for i, g in enumerate(group):
+        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return placed.join(shift, on).withColumn(name, F.col("_s") + F.col("_shift")).drop("_part", "_s", "_p", "_shift", *[f"_g{i}" for i in range(len(group))])
+
+
+def neighbours(df: DataFrame, group: list[str], order: list[Column | str], columns: list[str]) -> DataFrame:
+    """``df`` with ``previous_x`` and ``next_x`` of each of ``columns``, for groups of any size: joined by number, not by window."""
+    n = cut(numbered(df, group, order, "_row"))
+    out = n
+    for name, step in (("previous", 1), ("next", -1)):
+        side = n.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], (F.col("_row") + step).alias("_r"), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+        on = F.col("_row") == F.col("_r")
+        for i, g in enumerate(group):
+            on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+        out = out.join(side, on, "left").drop("_r", *[f"_g{i}" for i in range(len(group))])
+    return out.drop("_row")

@@ -36,4 +36,45 @@ def _child(name):
 QUERIES = {"p1_found": p1_found, "p1_loaded": p1_loaded, "p1_reasons": p1_reasons, "p3_found": p3_found} | {
     f"p3_{c}": _child(c) for c in (*nested.LESSON_TABLES, *nested.STATE_TABLES)
 }
-SQL: dict[str, str] = {}
+
+_FIELD = '(?:"(?:[^"]|"")*"|[^",]*)'
+_NAMES = {c: "[" + ", ".join(f"'{n}'" for n in names) + "]" for c, names in rejects.HEADER_NAMES.items()}
+
+
+def _sql_csv() -> str:
+    """Well-formed records by one expression over the whole record; fields one by one behind an extra comma."""
+    fields = f"list_transform(regexp_extract_all(',' || line, ',({_FIELD})', 1), lambda x: CASE WHEN starts_with(x, '\"') THEN replace(x[2:-2], '\"\"', '\"') ELSE x END)"
+    trim = lambda x: f"regexp_replace(regexp_replace({x}, '^[\\s\\x{{A0}}\\x{{3000}}]+', ''), '[\\s\\x{{A0}}\\x{{3000}}]+$', '')"
+    at = {c: f"list_position(names, list_filter(names, lambda x: list_contains({ns}, x))[1])" for c, ns in _NAMES.items()}
+    get = lambda c: f"CASE WHEN {at[c]} > 0 THEN fields[{at[c]}] END"
+    return f"""
+WITH lines AS (SELECT *, regexp_replace(raw_line, '\\r$', '') AS line FROM course_csv),
+h AS (SELECT file_name, list_transform({fields}, lambda x: lower({trim("replace(x, chr(65279), '')")})) AS names FROM lines WHERE record_no = 0),
+d AS (SELECT row_id, file_name, regexp_full_match(line, '{_FIELD}(?:,{_FIELD})*', 's') AS ok, {fields} AS fields FROM lines WHERE record_no > 0 AND line <> ''),
+v AS (SELECT *, {trim(get("level"))} AS l, {trim(get("lesson_id"))} AS i, {get("english")} AS e FROM d LEFT JOIN h USING (file_name)),
+r AS (SELECT row_id, CASE WHEN NOT ok THEN 'quoting' WHEN len(fields) <> coalesce(len(names), -1) THEN 'column_count'
+  WHEN NOT coalesce(regexp_full_match(l, 'aa|[A-Z]') AND regexp_full_match(i, 'RAZ-(?:aa|[A-Z])-[0-9]{{3,}}') AND regexp_matches(e, '\\p{{L}}') AND NOT regexp_matches(e, '[\\x{{FFFD}}\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x{{7F}}-\\x{{9F}}]'), false) THEN 'value' END AS reason FROM v)
+"""
+
+
+def _sql_children() -> dict[str, str]:
+    """The records of each child table; elements that are null count but don't come out."""
+    lib = "SELECT row_id, unnest(from_json(j, '[\"json\"]')) AS s, generate_subscripts(from_json(j, '[\"json\"]'), 1) - 1 AS a FROM (SELECT row_id, CASE WHEN json_type(sentences_json) = 'ARRAY' THEN sentences_json::JSON ELSE json_extract(sentences_json, '$.sentences') END AS j FROM course_library WHERE json_valid(sentences_json)) WHERE json_type(j) = 'ARRAY'"
+
+    def below(inner: str, item: str, path: str) -> str:
+        x = f"json_extract(s, '{path}')"
+        return f"SELECT row_id, unnest(from_json({x}, '[\"json\"]')) AS s, {item} || '/' || (generate_subscripts(from_json({x}, '[\"json\"]'), 1) - 1) AS item FROM ({inner}) WHERE json_type({x}) = 'ARRAY'"
+
+    sentence = f"SELECT row_id, s, a::VARCHAR AS item FROM ({lib}) WHERE s IS NOT NULL AND json_type(s) <> 'NULL'"
+    live = lambda q: f"SELECT * FROM ({q}) WHERE s IS NOT NULL AND json_type(s) <> 'NULL'"
+    word, note = live(below(sentence, "item", "$.audio.words")), live(below(sentence, "item", "$.notes"))
+    state = lambda member: f"SELECT row_id, s, a::VARCHAR AS item FROM (SELECT row_id, unnest(from_json(json_extract(state_json, '$.{member}'), '[\"json\"]')) AS s, generate_subscripts(from_json(json_extract(state_json, '$.{member}'), '[\"json\"]'), 1) - 1 AS a FROM student_learning_state WHERE json_valid(state_json) AND json_type(json_extract(state_json, '$.{member}')) = 'ARRAY') WHERE s IS NOT NULL AND json_type(s) <> 'NULL'"
+    progress = "SELECT row_id, NULL AS s, unnest(json_keys(state_json, '$.progress')) AS item FROM student_learning_state WHERE json_valid(state_json) AND json_type(json_extract(state_json, '$.progress')) = 'OBJECT'"
+    return {"sentence": sentence, "word": word, "note": note, "reviewer": live(below(note, "item", "$.reviewers")), "vocabulary": state("vocabulary"), "study_day": state("studyDays"), "progress": progress}
+
+
+SQL: dict[str, str] = {
+    "p1_found": _sql_csv() + "SELECT row_id, reason FROM r WHERE reason IS NOT NULL",
+    "p1_reasons": _sql_csv() + "SELECT coalesce(reason, 'loaded') AS outcome, count(*)::BIGINT AS n FROM r GROUP BY 1",
+    "p3_found": " UNION ALL ".join(f"SELECT '{c}' AS child, row_id, item FROM ({q})" for c, q in _sql_children().items()),
+}

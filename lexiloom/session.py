@@ -36,13 +36,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz}) if ntz else df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write the rows to the session's shared checkpoint folder and read them from there.
-
-    The folder is the session's own ``spark.checkpoint.dir``; only where that is unset, as in tests on one machine, a
-    temporary one is made.
-    """
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; a temporary one only where the session names none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         at = spark.conf.get("spark.checkpoint.dir", None)
@@ -50,6 +45,15 @@ def cut(df: DataFrame) -> DataFrame:
             at = tempfile.mkdtemp(prefix="lexiloom-")
             atexit.register(shutil.rmtree, at, True)
         sc.setCheckpointDir(at)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write the rows to the session's shared checkpoint folder and read them from there.
+
+    The folder is the session's own ``spark.checkpoint.dir``, see :func:`checkpoint_folder`.
+    """
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
