@@ -34,4 +34,25 @@ QUERIES = {
     "p10_found": _over(repetition.found, "documents"),
     "p10_shares": _over(repetition.shares, "documents"),
 }
-SQL: dict[str, str] = {}
+
+_KEY = r"regexp_replace(lower({}), '[\s\p{{P}}\x{{0085}}\x{{00A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x1C-\x1F]+', '', 'g')"
+_GROUPS = f"SELECT row_id, min(row_id) OVER w AS first, count(*) OVER w AS copies FROM (SELECT row_id, {_KEY.format('level')} AS l, {_KEY.format('title')} AS t FROM course_library WHERE level IS NOT NULL AND title IS NOT NULL) WINDOW w AS (PARTITION BY l, t)"
+_WORDS = "regexp_extract_all(lower({}), '[a-zà-öø-ÿ0-9]+')"
+
+
+def _grams(table: str, key: str, n: int) -> str:
+    """``key, i, g``: the n-grams of each text and where they begin."""
+    words = f"SELECT {key}, {_WORDS.format('text')} AS w FROM {table} WHERE text IS NOT NULL"
+    return f"SELECT {key}, i, array_to_string(w[i:i + {n - 1}], ' ') AS g FROM (SELECT {key}, w, unnest(generate_series(1, len(w) - {n - 1})) AS i FROM ({words}) WHERE len(w) >= {n})"
+
+
+_LEAKS = f"SELECT DISTINCT doc_id, item_id FROM ({_grams('documents', 'doc_id', 12)}) d JOIN ({_grams('eval_items', 'item_id', 12)}) e USING (g)"
+SQL: dict[str, str] = {
+    "p7_found": f"SELECT first AS row_id_a, row_id AS row_id_b FROM ({_GROUPS}) WHERE row_id <> first",
+    "p9_found": _LEAKS,
+    "p9_items": f"SELECT item_id, split_name, coalesce(n, 0)::BIGINT AS n_documents FROM eval_items LEFT JOIN (SELECT item_id, count(*) AS n FROM ({_LEAKS}) GROUP BY 1) USING (item_id)",
+    "p10_found": f"""
+WITH g AS ({_grams('documents', 'doc_id', 6)}), r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, g ORDER BY i) AS k FROM g),
+c AS (SELECT doc_id, count(DISTINCT i + o) AS covered FROM r CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4, 5]) AS o) WHERE k > 1 GROUP BY 1)
+SELECT doc_id FROM c JOIN documents USING (doc_id) WHERE covered * 10 >= 3 * len({_WORDS.format('text')})""",
+}
