@@ -49,11 +49,8 @@ def margins(pairs: DataFrame) -> DataFrame:
     """
 
     def two(side: str, other: str) -> DataFrame:
-        # at most two are kept of any number, also inside the tasks
-        top = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col(other).alias("o"))))
-        local = pairs.withColumn("_salt", F.pmod(F.xxhash64(other), F.lit(16)))
-        part = local.groupBy("block", side, "_salt").agg(F.slice(top, 1, 2).alias("two"))
-        return part.groupBy("block", side).agg(F.slice(F.array_sort(F.flatten(F.collect_list("two"))), 1, 2).alias("two"))
+        top = top_per_group(pairs, ["block", side], [F.desc("score"), F.col(other)], 2)
+        return top.groupBy("block", side).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col(other).alias("o")))).alias("two"))
 
     best = two("left_id", "right_id").select("block", "left_id", F.col("two")[0]["o"].alias("right_id"), (-F.col("two")[0]["s"]).alias("score"), F.coalesce(-F.get("two", F.lit(1))["s"], F.lit(0.0)).alias("second"))
     back = two("right_id", "left_id").select("block", "right_id", F.coalesce(-F.get("two", F.lit(1))["s"], F.lit(0.0)).alias("second_lesson"))
@@ -95,6 +92,8 @@ def level_summary(**sources: DataFrame) -> DataFrame:
     return out.na.fill(0)
 
 
-def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
-    """The first ``k`` rows of each group; for groups of moderate size."""
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(*group).orderBy(*order))).filter(F.col("_n") <= k).drop("_n")
+def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int, salts: int = 16) -> DataFrame:
+    """The first ``k`` rows of each group by ``order``. Rows are thinned out in parts of each group first, so a hot group is spread."""
+    part = df.withColumn("_salt", F.pmod(F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")]), F.lit(salts)))
+    few = part.withColumn("_n", F.row_number().over(W.partitionBy(*group, "_salt").orderBy(*order))).filter(F.col("_n") <= k)
+    return few.withColumn("_n", F.row_number().over(W.partitionBy(*group).orderBy(*order))).filter(F.col("_n") <= k).drop("_n", "_salt")

@@ -40,19 +40,19 @@ def streak(days: DataFrame, today: Column, user: str = "user_id", day: str = "da
 
 
 def outcomes(attempts: DataFrame, key: list[str], order: list[str], strikes: int = STRIKES) -> DataFrame:
-    """Per word the attempts until it was right or shown, and ``status``: correct, revealed or wrong.
+    """Per word ``wrong`` attempts before it was right or shown, and ``status``: correct, revealed or wrong.
 
-    ``attempts`` has ``right``. What comes after is ignored: an aggregate over the order of the first right attempt and of the
-    wrong ones, of which only the first ``strikes`` are kept (also inside the tasks), so a hot key stays small.
+    ``attempts`` has ``right``; what comes after is ignored. Two aggregations with partial sums and a join by key, so that a
+    word with any number of attempts is spread.
     """
     rank = F.struct(*order)
-    salted = attempts.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(16)))
-    few = F.slice(F.array_sort(F.collect_list(F.when(~F.col("right"), rank))), 1, strikes)
-    part = salted.groupBy(*key, "_salt").agg(F.min(F.when(F.col("right"), rank)).alias("hit"), few.alias("misses"))
-    g = part.groupBy(*key).agg(F.min("hit").alias("hit"), F.slice(F.array_sort(F.flatten(F.collect_list("misses"))), 1, strikes).alias("misses"))
-    before = F.size(F.filter("misses", lambda m: F.col("hit").isNull() | (m < F.col("hit"))))
-    status = F.when(before >= strikes, "revealed").when(F.col("hit").isNotNull(), "correct").otherwise("wrong")
-    return g.select(*key, before.alias("wrong"), status.alias("status"))
+    hits = attempts.filter("right").groupBy(*key).agg(F.min(rank).alias("_hit"))
+    j = attempts.filter("not right").join(hits, key, "left").filter(F.col("_hit").isNull() | (rank < F.col("_hit")))
+    misses = j.groupBy(*key).agg(F.count(F.lit(1)).alias("_misses"))
+    g = attempts.select(*key).distinct().join(hits, key, "left").join(misses, key, "left")
+    wrong = F.least(F.coalesce("_misses", F.lit(0)), F.lit(strikes)).cast("int")
+    status = F.when(wrong >= strikes, "revealed").when(F.col("_hit").isNotNull(), "correct").otherwise("wrong")
+    return g.select(*key, wrong.alias("wrong"), status.alias("status"))
 
 
 def vocabulary(events: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -78,8 +78,9 @@ def active_sessions(sessions: DataFrame, students: DataFrame, now: Column) -> Da
 def first_level(states_: DataFrame, lessons: DataFrame) -> DataFrame:
     """``user_id, level``: the saved level if it has lessons, else the first that has any."""
     have = lessons.select(F.col("level").alias("_have")).distinct()
-    first = lessons.agg(F.min(F.struct(F.array_position(F.lit(X.LEVELS), F.col("level")).alias("i"), "level")).alias("f")).select(F.col("f.level").alias("_first"))
-    return states_.join(F.broadcast(have.filter(F.col("_have").isin(X.LEVELS))), F.col("level") == F.col("_have"), "left").join(F.broadcast(first)).select("user_id", F.coalesce("_have", "_first").alias("level"))
+    known = have.filter(F.col("_have").isin(X.LEVELS))  # as many as there are levels
+    first = min((r[0] for r in known.collect()), key=X.LEVELS.index, default=None)
+    return states_.join(F.broadcast(known), F.col("level") == F.col("_have"), "left").select("user_id", F.coalesce("_have", F.lit(first)).alias("level"))
 
 
 def with_fallback(sentences: DataFrame, clips: DataFrame) -> DataFrame:

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as X
 from lexiloom.functions.numeric import guarded_ratio
+from lexiloom.operators.catalog import top_per_group
 from lexiloom.operators.ranking import evenly_spaced
 
 #: Least coverage, shortest and longest clip, least mean score, contamination by a neighbour.
@@ -27,7 +27,7 @@ def quality_gate(clips: DataFrame, confidence: float = 0.55, weak_share: float =
 def sampled(clips: DataFrame, count: int = 8, weakest: int = 2) -> DataFrame:
     """Clips to check: evenly spaced ones of each ``key`` by ``pos`` and the ``weakest`` by ``confidence``."""
     even = evenly_spaced(clips, ["key"], ["pos"], count)
-    low = clips.withColumn("_n", F.row_number().over(W.partitionBy("key").orderBy("confidence", "pos"))).filter(F.col("_n") <= weakest).drop("_n")
+    low = top_per_group(clips, ["key"], [F.col("confidence"), F.col("pos")], weakest)
     return even.unionByName(low).dropDuplicates(["key", "pos"])
 
 

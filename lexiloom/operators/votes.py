@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions import text as X
 from lexiloom.functions.fuzzy import consensus, similarity
 from lexiloom.functions.numeric import quadrant, reasons
+from lexiloom.operators.ranking import running_sum
 
 #: Fixed value: least agreement at which the second reading is taken although there is a first one.
 AGREEMENT = 0.55
@@ -48,10 +49,11 @@ def three_way(pages: DataFrame) -> DataFrame:
     return p.withColumns({"by": by, "reasons": why}).drop("_v", "_u", "_c", "_base", "_same")
 
 
-def lesson_text(pages: DataFrame, key: str, order: str, text: str) -> DataFrame:
-    """The texts of a lesson's pages in order as one line; empty ones left out."""
-    parts = F.array_sort(F.collect_list(F.when(F.col(text) != "", F.struct(order, text))))
-    return pages.groupBy(key).agg(X.normalize_line(F.array_join(F.transform(parts, lambda x: x[text]), " ")).alias("text"))
+def lesson_pieces(pages: DataFrame, key: str, order: list[str], text: str) -> DataFrame:
+    """The texts of a lesson's pages as one line each, with ``begin``: where it stands in the lesson's whole text, in which
+    pages are parted by a blank. Empty pages are left out. The whole text stays in pieces, as it may be of any length."""
+    p = pages.withColumn("piece", X.normalize_line(F.coalesce(text, F.lit("")), compose=False)).filter("piece != ''").withColumn("_n", F.length("piece") + 1)
+    return running_sum(p, [key], order, "_n", "_end").withColumn("begin", F.col("_end") - F.col("_n")).drop("_n", "_end")
 
 
 def sheet_texts(sheets: DataFrame, raw: str = "raw") -> DataFrame:

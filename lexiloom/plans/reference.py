@@ -162,12 +162,10 @@ def ocr_vote_three(pages):
 
 
 @query("ocr_pages", sql=f"""
-SELECT lesson_id, {_line("string_agg(t, ' ' ORDER BY page, page_id)")} AS text FROM (SELECT lesson_id, page, page_id, unlimited AS t FROM ocr_pages WHERE unlimited <> '') GROUP BY lesson_id""")
-def lesson_pages_joined(pages):
-    p = pages.withColumn("at", F.struct("page", "page_id")).withColumn("unlimited", F.coalesce("unlimited", F.lit("")))
-    parts = F.array_sort(F.collect_list(F.when(F.col("unlimited") != "", F.struct("page", "page_id", F.col("unlimited").alias("t")))))
-    g = p.groupBy("lesson_id").agg(parts.alias("ts")).filter("size(ts) > 0")
-    return g.select("lesson_id", X.normalize_line(F.array_join(F.transform("ts", lambda x: x["t"]), " "), compose=False).alias("text"))
+WITH p AS (SELECT page_id, lesson_id, page, {_line('unlimited')} AS piece FROM ocr_pages WHERE unlimited IS NOT NULL)
+SELECT page_id, piece, (sum(length(piece) + 1) OVER (PARTITION BY lesson_id ORDER BY page, page_id) - length(piece) - 1)::BIGINT AS begin FROM p WHERE piece <> ''""")
+def lesson_pieces(pages):
+    return votes.lesson_pieces(pages, "lesson_id", ["page", "page_id"], "unlimited").select("page_id", "piece", "begin")
 
 
 # Library --------------------------------------------------------------------------------------------------------------
@@ -236,10 +234,14 @@ def corrections_applied(sentences, lib):
 
 @query("course_csv")
 def csv_lessons(records):
-    """Lessons of the records that load, in the order they were first met."""
-    rows = rejects.loaded(records).withColumn("order", F.col("row_id"))
-    g = readers.csv_lessons(rows, "row_id")
-    return g.select("level", "lesson_id", "title", F.size("sentences").alias("n_sentences"), "first_row")
+    """Lessons of the records that load, with where they were first met."""
+    return readers.csv_lessons(rejects.loaded(records), "row_id")[0]
+
+
+@query("course_csv")
+def csv_lesson_sentences(records):
+    """Their sentences, numbered in each lesson."""
+    return readers.csv_lessons(rejects.loaded(records), "row_id")[1]
 
 
 # Joins, sets, orders --------------------------------------------------------------------------------------------------
@@ -674,7 +676,7 @@ def stream_latest(spark, d):
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet" if folder else "student_learning_state.parquet").option("maxFilesPerTrigger", 8)
     rows = source.parquet(whole if folder else d).select("user_id", "row_id", "updated_at")
     follow(rows, f"file://{at}/table", f"file://{at}/log", ["user_id"], ["updated_at", "row_id"]).awaitTermination()
-    return spark.read.parquet(f"file://{at}/table")
+    return spark.read.parquet(f"file://{at}/table").drop("bucket")
 
 
 QUERIES["stream_latest"] = stream_latest

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import text as X
 from lexiloom.functions.numeric import duration_seconds
+from lexiloom.operators.ranking import numbered
 from lexiloom.operators.rejects import HEADER_NAMES
 
 LESSON = "struct<id:string,level:string,title:string,titleZh:string,sentences:array<struct<id:string,english:string,chinese:string>>,sourceName:string>"
@@ -51,20 +52,21 @@ def csv_rows(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*[(F.col(f"`{c}`") if c else F.lit(None).cast("string")).alias(t) for t, c in found.items()])
 
 
-def csv_lessons(rows: DataFrame, row: str = "record_no") -> DataFrame:
-    """Rows as lessons, in the order their lesson was first met, each with its sentences in order.
+def csv_lessons(rows: DataFrame, row: str = "record_no") -> tuple[DataFrame, DataFrame]:
+    """Lessons, with ``first_row`` by which they were met, and their sentences with ``position`` in the lesson.
 
     ``rows``: ``level, lesson_id, title, title_zh, sentence_id, english, chinese`` and a row number over the whole file. Rows
-    without a required value are skipped. A sentence without id gets ``lesson_id-row``.
+    without a required value are skipped. A sentence without id gets ``lesson_id-row``. Sentences stay rows, as one lesson may
+    have any number of them.
     """
-    need = ("level", "lesson_id", "title", "english")
     full = rows.withColumns({"level": F.trim("level"), "lesson_id": F.trim("lesson_id")})
-    for c in need:
+    for c in ("level", "lesson_id", "title", "english"):
         full = full.filter(F.coalesce(F.col(c), F.lit("")) != "")
+    key = ["level", "lesson_id"]
+    lessons_ = full.groupBy(*key).agg(F.min(row).alias("first_row"), F.min_by("title", row).alias("title"), F.min_by(F.coalesce("title_zh", F.lit("")), row).alias("title_zh"), F.count(F.lit(1)).alias("n_sentences"))
     sid = F.coalesce(F.nullif(F.col("sentence_id"), F.lit("")), F.concat_ws("-", "lesson_id", F.col(row)))
-    part = F.struct(F.col(row).alias("row"), sid.alias("id"), "english", F.coalesce("chinese", F.lit("")).alias("chinese"))
-    g = full.groupBy("level", "lesson_id").agg(F.min(row).alias("first_row"), F.min_by("title", row).alias("title"), F.min_by(F.coalesce("title_zh", F.lit("")), row).alias("title_zh"), F.array_sort(F.collect_list(part)).alias("s"))
-    return g.select("level", "lesson_id", "title", "title_zh", "first_row", F.transform("s", lambda x: x.dropFields("row")).alias("sentences"))
+    sentences = numbered(full, key, [row], "position").select(*key, "position", sid.alias("id"), "english", F.coalesce("chinese", F.lit("")).alias("chinese"))
+    return lessons_, sentences
 
 
 def ocr_cache(spark: SparkSession, path: str) -> DataFrame:

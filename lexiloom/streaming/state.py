@@ -7,17 +7,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiloom.operators.ranking import latest
+from lexiloom.session import cut
 from lexiloom.sources.readers import exists
-from lexiloom.sources.sinks import published
+
+
+BUCKETS = 64
 
 
 def follow(source: DataFrame, table: str, checkpoint: str, keys: list[str], order: list[str]):
-    """Upsert each micro-batch into the table at ``table``; a batch that comes twice changes nothing. Ends when the source is read."""
+    """Upsert each micro-batch into the table at ``table``; a batch that comes twice changes nothing. Ends when the source is read.
+
+    The table lies in ``BUCKETS`` folders by the hash of its keys, and a batch rewrites only those it has rows for.
+    """
 
     def upsert(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        both = batch.unionByName(spark.read.parquet(table)) if exists(spark, table) else batch
-        published(latest(both, keys, order).select(*batch.columns), table)
+        new = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
+        new = latest(new, keys, order).select(*batch.columns, "bucket")
+        if exists(spark, table):
+            touched = [r[0] for r in new.select("bucket").distinct().collect()]  # BUCKETS at most
+            new = new.unionByName(spark.read.parquet(table).filter(F.col("bucket").isin(touched)))
+        cut(latest(new, keys, order)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
 
     return source.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
