@@ -37,7 +37,7 @@ FAILURE_REASONS = [
 LEVELS = ["aa", *"ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
 
 #: Stand-ins from the private use area: a protected full stop, a sentence's blank, a full stop before a closing quote.
-_STOP, _GAP, _QUOTED = "", "", ""
+_STOP, _GAP, _QUOTED = "\uE000", "\uE002", "\uE003"
 _DUMMY = T.StringType()
 
 
@@ -68,7 +68,7 @@ def squeezed(c: Column) -> Column:
 def normalize_line(c: Column, compose: bool = True) -> Column:
     """Composed accents, no soft hyphens, U+FFFD as a full stop, single blanks, none before marks or inside curly quotes."""
     x = nfc(c) if compose else c
-    x = squeezed(F.replace(F.replace(x, F.lit("­"), F.lit("")), F.lit("�"), F.lit(".")))
+    x = squeezed(F.replace(F.replace(x, F.lit("\u00ad"), F.lit("")), F.lit("�"), F.lit(".")))
     for pattern, to in ((r"\s+([,.;:!?])", "$1"), (r"([“‘])\s+", "$1"), (r"\s+([”’])", "$1")):
         x = F.regexp_replace(x, pattern, to)
     return x
@@ -119,7 +119,7 @@ def split_sentences(c: Column, protect: bool = True) -> Column:
     """The sentences of a text as an array: up to a final mark with its closing quotes, unless a small letter or one of
     ``,;:`` follows. Text behind the last mark is left out, and so are sentences without a word."""
     x = protect_abbreviations(c) if protect else c
-    cut = F.regexp_replace(x, r"([.!?]+[\"'’”)]*)(?=\s*\z|\s*[^\s,;:\p{Ll}.!?\"'’”)])", "$1\u0001")
+    cut = F.regexp_replace(x, r"([.!?]++[\"'’”)]*+)(?=\s*\z|\s*[^\s,;:\p{Ll}])", "$1\u0001")
     parts = F.split(cut, "\u0001")
     whole = F.slice(parts, 1, F.size(parts) - 1)
     out = F.transform(whole, lambda s: normalize_line(F.replace(s, F.lit(_STOP), F.lit(".")), compose=False))

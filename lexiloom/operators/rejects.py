@@ -106,7 +106,7 @@ def headers(records: DataFrame) -> DataFrame:
     A file with several header records counts by the one with the smallest ``row_id``.
     """
     h = tokenized(records.filter("record_no = 0")).groupBy("file_name").agg(F.min_by(F.coalesce("fields", F.array().cast("array<string>")), "row_id").alias("names"))
-    clean = F.transform("names", lambda x: F.lower(_trim(F.regexp_replace(x, "﻿", ""))))
+    clean = F.transform("names", lambda x: F.lower(_trim(F.regexp_replace(x, "\ufeff", ""))))
     at = [
         F.coalesce(F.expr(f"get(filter(transform(clean, (x, i) -> if(x in ({', '.join(repr(n) for n in names)}), i + 1, null)), x -> x is not null), 0)"), F.lit(0)).alias(f"at_{c}")
         for c, names in HEADER_NAMES.items()

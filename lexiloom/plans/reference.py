@@ -37,11 +37,18 @@ def _line(x: str) -> str:
     return f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace({x}, chr(173), ''), chr(65533), '.'), '{_BLANK}+', ' ', 'g'), ' +([,.;:!?])', '\\1', 'g'), '([“‘]) +', '\\1', 'g'), ' +([”’])', '\\1', 'g'))"
 
 
-_SPLIT = (
-    "list_filter(list_transform(list_reverse(list_reverse(string_split(regexp_replace(regexp_replace(text || chr(2), "
-    f"'([.!?]+[\"''’”)]*)({_BLANK}*)([^\\s,;:\\p{{Ll}}.!?\"''’”)\\x{{0002}}])', '\\1' || chr(1) || '\\2\\3', 'g'), '([.!?]+[\"''’”)]*)({_BLANK}*)\\x{{0002}}', '\\1' || chr(1) || '\\2', 'g'), chr(1)))[2:]), "
-    "lambda x: " + _line("x") + "), lambda x: regexp_matches(x, '[A-Za-z0-9]'))"
-)
+_MARKS = "[.!?]+[\"''’”)]*"
+
+
+def _cut(x: str) -> str:
+    """A mark behind each end of a sentence: before a blank, before the next letter, at the end. Twice, as matches take the next character."""
+    for _ in range(2):
+        x = f"regexp_replace({x}, '({_MARKS})({_BLANK}+)([^\\s,;:\\p{{Ll}}\\x{{0001}}\\x{{0002}}])', '\\1' || chr(1) || '\\2\\3', 'g')"
+        x = f"regexp_replace({x}, '({_MARKS})([^\\s,;:\\p{{Ll}}.!?\"''’”)\\x{{0001}}\\x{{0002}}])', '\\1' || chr(1) || '\\2', 'g')"
+    return f"regexp_replace({x}, '({_MARKS})({_BLANK}*)\\x{{0002}}', '\\1' || chr(1) || '\\2', 'g')"
+
+
+_SPLIT = f"list_filter(list_transform(list_reverse(list_reverse(string_split({_cut('text || chr(2)')}, chr(1)))[2:]), lambda x: {_line('x')}), lambda x: regexp_matches(x, '[A-Za-z0-9]'))"
 _WORD_SQL = "[A-Za-z0-9]+(?:[’''][A-Za-z]+)*(?:-[A-Za-z0-9]+)*"
 
 

@@ -44,7 +44,7 @@ def csv_rows(spark: SparkSession, path: str) -> DataFrame:
     Columns whatever their order or language; header names that aren't known are dropped, absent ones are null.
     """
     raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8", ignoreLeadingWhiteSpace=False)
-    names = {c: c.strip().lstrip("﻿").lower() for c in raw.columns}
+    names = {c: c.strip().lstrip("\ufeff").lower() for c in raw.columns}
     found = {target: next((c for c, n in names.items() if n in known), None) for target, known in HEADER_NAMES.items()}
     missing = [t for t in ("level", "lesson_id", "title", "english") if not found[t]]
     if missing:
