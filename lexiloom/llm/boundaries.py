@@ -39,7 +39,7 @@ _CLOSES = set("”’»›」』）)】]》〉}")
 
 
 def _class_of(c: str) -> int:
-    if c in "\n\x0b\x0c\x85  ":
+    if c in "\n\x0b\x0c\x85\u2028\u2029":
         return LINE
     if c.isspace():
         return BLANK

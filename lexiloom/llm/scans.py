@@ -47,7 +47,7 @@ _PARTS = {
     "n": "ll", "u": "ll", "h": "ll", "d": "cl", "w": "vv", "m": "rll", "�": "",
 }
 _GLYPHS = str.maketrans(_PARTS)
-HYPHENS = "-‐‑¬­"
+HYPHENS = "-‐‑¬\u00ad"
 _ODD = re.compile("[0-9@+†|ſ(�]")
 _NUMERIC = re.compile(r"[$€£#]?\d[\d.,:/%–-]*")
 _EDGE = ".,!?;:…—“”\"'’‘)]}»«[{"

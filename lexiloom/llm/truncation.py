@@ -28,7 +28,7 @@ FINAL_SHARE = 0.01
 #: Sources that must share a heading whose last word is otherwise unknown.
 HEADING_SOURCES = 3
 
-_UNSEEN = re.compile("[­​-‏⁠﻿]")
+_UNSEEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _STOP = r"\s.,!?;:…。！？，、：；،؟।॥“”\"()（）「」『』\[\]—"
 _TOKEN = re.compile(rf"[^{_STOP}]+(?:\.[^{_STOP}]+)*")
 _CLOSERS = "”’\"»」』）)]"
