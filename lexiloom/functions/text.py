@@ -142,10 +142,10 @@ def dictation_words(c: Column) -> Column:
 
     Together they give the sentence without its blanks. ``before`` is empty but for the first word.
     """
-    ws = words(c, DICTATION_WORD)
-    rest = F.split(c, DICTATION_WORD)
-    solid = F.transform(rest, lambda x: F.regexp_replace(x, r"(?U)\s", ""))
-    return F.transform(ws, lambda w, i: F.struct(w.alias("word"), F.when(i == 0, F.get(solid, F.lit(0))).otherwise("").alias("before"), F.coalesce(F.get(solid, i + 1), F.lit("")).alias("after")))
+    solid = F.transform(F.split(c, DICTATION_WORD), lambda x: F.regexp_replace(x, r"(?U)\s", ""))
+    zipped = F.zip_with(words(c, DICTATION_WORD), F.slice(solid, 2, F.greatest(F.size(solid) - 1, F.lit(0))), lambda w, a: F.struct(w.alias("word"), F.lit("").alias("before"), F.coalesce(a, F.lit("")).alias("after")))
+    first = F.transform(F.slice(zipped, 1, 1), lambda x: x.withField("before", F.get(solid, F.lit(0))))
+    return F.concat(first, F.slice(zipped, 2, F.greatest(F.size(zipped) - 1, F.lit(0))))
 
 
 def letters_only(c: Column) -> Column:

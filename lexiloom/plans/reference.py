@@ -90,7 +90,7 @@ def word_counts_by_level(documents):
 SELECT row_id, len(w)::INTEGER AS n_words, array_to_string(w, '|') AS words, regexp_replace(array_to_string(w, '|'), '[^A-Za-z]', '', 'g') AS letters
 FROM (SELECT row_id, regexp_extract_all(english, '[A-Za-z]+(?:[.''’‑-][A-Za-z]+)*') AS w FROM sentences WHERE english IS NOT NULL)""")
 def dictation_tokens(sentences):
-    w = F.transform(X.dictation_words(F.col("english")), lambda x: x["word"])
+    w = X.words(F.col("english"), X.DICTATION_WORD)
     joined = F.array_join(w, "|")
     return sentences.filter("english is not null").select("row_id", F.size(w).alias("n_words"), joined.alias("words"), X.letters_only(joined).alias("letters"))
 
@@ -242,13 +242,13 @@ def corrections_applied(sentences, lib):
 @query("course_csv")
 def csv_lessons(records):
     """Lessons of the records that load, with where they were first met."""
-    return readers.csv_lessons(rejects.loaded(records), "row_id")[0]
+    return readers.csv_lessons(rejects.loaded(records), "row_id")
 
 
 @query("course_csv")
 def csv_lesson_sentences(records):
     """Their sentences, numbered in each lesson."""
-    return readers.csv_lessons(rejects.loaded(records), "row_id")[1]
+    return readers.csv_sentences(rejects.loaded(records), "row_id")
 
 
 # Joins, sets, orders --------------------------------------------------------------------------------------------------

@@ -52,21 +52,32 @@ def csv_rows(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*[(F.col(f"`{c}`") if c else F.lit(None).cast("string")).alias(t) for t, c in found.items()])
 
 
-def csv_lessons(rows: DataFrame, row: str = "record_no") -> tuple[DataFrame, DataFrame]:
-    """Lessons, with ``first_row`` by which they were met, and their sentences with ``position`` in the lesson.
-
-    ``rows``: ``level, lesson_id, title, title_zh, sentence_id, english, chinese`` and a row number over the whole file. Rows
-    without a required value are skipped. A sentence without id gets ``lesson_id-row``. Sentences stay rows, as one lesson may
-    have any number of them.
-    """
+def _complete(rows: DataFrame) -> DataFrame:
+    """Rows that have every required value."""
     full = rows.withColumns({"level": F.trim("level"), "lesson_id": F.trim("lesson_id")})
     for c in ("level", "lesson_id", "title", "english"):
         full = full.filter(F.coalesce(F.col(c), F.lit("")) != "")
-    key = ["level", "lesson_id"]
-    lessons_ = full.groupBy(*key).agg(F.min(row).alias("first_row"), F.min_by("title", row).alias("title"), F.min_by(F.coalesce("title_zh", F.lit("")), row).alias("title_zh"), F.count(F.lit(1)).alias("n_sentences"))
+    return full
+
+
+def csv_lessons(rows: DataFrame, row: str = "record_no") -> DataFrame:
+    """Lessons with ``first_row``, by which they were met, and the number of their sentences.
+
+    ``rows``: ``level, lesson_id, title, title_zh, sentence_id, english, chinese`` and a row number over the whole file. Rows
+    without a required value are skipped.
+    """
+    g = _complete(rows).groupBy("level", "lesson_id")
+    return g.agg(F.min(row).alias("first_row"), F.min_by("title", row).alias("title"), F.min_by(F.coalesce("title_zh", F.lit("")), row).alias("title_zh"), F.count(F.lit(1)).alias("n_sentences"))
+
+
+def csv_sentences(rows: DataFrame, row: str = "record_no") -> DataFrame:
+    """Their sentences with ``position`` in the lesson. A sentence without id gets ``lesson_id-row``.
+
+    They stay rows, as one lesson may have any number of them.
+    """
     sid = F.coalesce(F.nullif(F.col("sentence_id"), F.lit("")), F.concat_ws("-", "lesson_id", F.col(row)))
-    sentences = numbered(full, key, [row], "position").select(*key, "position", sid.alias("id"), "english", F.coalesce("chinese", F.lit("")).alias("chinese"))
-    return lessons_, sentences
+    n = numbered(_complete(rows), ["level", "lesson_id"], [row], "position")
+    return n.select("level", "lesson_id", "position", sid.alias("id"), "english", F.coalesce("chinese", F.lit("")).alias("chinese"))
 
 
 def ocr_cache(spark: SparkSession, path: str) -> DataFrame:

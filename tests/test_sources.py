@@ -21,7 +21,7 @@ def test_csv(spark, tmp_path):
     rows = readers.csv_rows(spark, str(tmp_path / "x.csv")).collect()
     assert rows[0].title == "T, t" and rows[0].english == 'He said "hi"\nthere' and rows[0].chinese is None
     df = spark.createDataFrame([(i + 1, r.level, r.lesson_id, r.title, None, None, r.english, None) for i, r in enumerate(rows)], "record_no int, level string, lesson_id string, title string, title_zh string, sentence_id string, english string, chinese string")
-    lessons, sentences = readers.csv_lessons(df)
+    lessons, sentences = readers.csv_lessons(df), readers.csv_sentences(df)
     assert [(r.lesson_id, r.n_sentences) for r in lessons.collect()] == [("L-1", 2)]
     assert sorted((r.position, r.id) for r in sentences.collect()) == [(1, "L-1-1"), (2, f"L-1-{len(rows)}")]
     (tmp_path / "y.csv").write_text("level,title\nA,T\n")
