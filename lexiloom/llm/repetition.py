@@ -19,50 +19,63 @@ LENGTHS = (2, 4, 6, 10)
 FOUND_LENGTH, FOUND_SHARE = 6, 0.3
 
 
-def repeated(codes: np.ndarray, n: int) -> np.ndarray:
-    """For each code, whether it lies in a run of n codes that also begins earlier (the two may overlap)."""
-    h = rolling(codes, n)
+def repeated(codes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """For each code, whether it lies in a run of n codes that also begins earlier in the text of the same owner.
+
+    All texts of a batch lie end to end; runs that reach into the next text don't count. The two runs may overlap.
+    """
     cover = np.zeros(len(codes), dtype=bool)
-    if len(h) < 2:
+    if len(codes) <= n:
         return cover
+    inside = np.flatnonzero(owner[: len(codes) - n + 1] == owner[n - 1 :])
+    with np.errstate(over="ignore"):
+        h = (rolling(codes, n)[inside] ^ (owner[inside].astype(np.uint64) * np.uint64(0xA24BAED4963EE407))) * np.uint64(0x9FB21C651E98DF25)
     order = np.argsort(h, kind="stable")
-    same = np.flatnonzero(h[order][1:] == h[order][:-1])
-    later, before = order[same + 1], order[same]
-    if len(later) == 0:
-        return cover
-    for j in range(n):  # compares each hit with the one before it; equal hashes of unequal words are dropped
-        ok = codes[later + j] == codes[before + j]
-        if not ok.all():
-            later, before = later[ok], before[ok]
-    edges = np.zeros(len(codes) + 1, dtype=np.int32)
-    np.add.at(edges, later, 1)
-    np.add.at(edges, later + n, -1)
+    ranked = h[order]
+    same = np.flatnonzero(ranked[1:] == ranked[:-1])
+    later, before = inside[order[same + 1]], inside[order[same]]
+    ok = owner[later] == owner[before]
+    for j in range(n):  # each hit against the one before it; equal hashes of unequal words are dropped
+        ok &= codes[later + j] == codes[before + j]
+    later = later[ok]
+    edges = np.bincount(later, minlength=len(codes) + 1) - np.bincount(later + n, minlength=len(codes) + 1)
     return np.cumsum(edges[:-1]) > 0
 
 
-def _codes(own: list[str]) -> np.ndarray:
-    """Words as numbers, equal if and only if the words are, spread over 64 bits."""
-    seen: dict[str, int] = {}
-    ids = np.fromiter((seen.setdefault(w, len(seen)) for w in own), dtype=np.uint64, count=len(own))
-    with np.errstate(over="ignore"):
-        return (ids + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-
-
-def measure(text: str | None, lengths: tuple[int, ...] = LENGTHS) -> tuple:
-    """``n_words``, covered words and share of word characters per length, share of characters in repeated lines."""
-    own, at = spans(text)
-    codes, size = _codes(own), np.fromiter((e - b for b, e in at), dtype=np.int64, count=len(at))
-    total, out = max(1, int(size.sum())), [len(own)]
-    for n in lengths:
-        c = repeated(codes, n)
-        out += [int(c.sum()), float(size[c].sum() / total)]
-    lines = [x for x in (y.strip() for y in (text or "").split("\n")) if x]
+def _line_share(text: str | None) -> float:
+    """The share of characters in lines that occurred before; blank lines don't count."""
+    if not text or "\n" not in text:
+        return 0.0
+    lines = [x for x in (y.strip() for y in text.split("\n")) if x]
     seen: set[str] = set()
     again = 0
     for x in lines:
-        again += len(x) if x in seen else 0
+        if x in seen:
+            again += len(x)
         seen.add(x)
-    return (*out, again / max(1, sum(map(len, lines))))
+    return again / max(1, sum(map(len, lines)))
+
+
+def measures(texts: list[str | None], lengths: tuple[int, ...] = LENGTHS) -> list[np.ndarray]:
+    """By text ``n_words``, covered words and share of word characters for each length, and the share of repeated lines."""
+    own = [words(t) for t in texts]
+    counts = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
+    flat = [w for ws in own for w in ws]
+    seen: dict[str, int] = {}
+    with np.errstate(over="ignore"):  # words as numbers, equal if and only if the words are, spread over 64 bits
+        codes = (np.fromiter((seen.setdefault(w, len(seen)) for w in flat), dtype=np.uint64, count=len(flat)) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    size = np.fromiter(map(len, flat), dtype=np.int64, count=len(flat))
+    owner = np.repeat(np.arange(len(own)), counts)
+    total = np.maximum(np.bincount(owner, weights=size, minlength=len(own)), 1)
+    out = [counts]
+    for n in lengths:
+        c = repeated(codes, owner, n)
+        out += [np.bincount(owner[c], minlength=len(own)), np.bincount(owner[c], weights=size[c], minlength=len(own)) / total]
+    return [*out, np.array([_line_share(t) for t in texts], dtype=float)]
+
+
+def measure(text: str | None) -> tuple:
+    return tuple(x[0].item() for x in measures([text]))
 
 
 _FIELDS = [("n_words", pa.int32()), *[f for n in LENGTHS for f in ((f"words_{n}", pa.int32()), (f"share_{n}", pa.float64()))], ("line_share", pa.float64())]
@@ -75,8 +88,10 @@ def shares(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(d, *measure(t)) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_KIND)], schema=_KIND)
+            texts = b.column("text").to_pylist()
+            for i, j in slices([t or "" for t in texts]):
+                columns = measures(texts[i:j])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), *[pa.array(x, f.type) for x, (_, f) in zip(columns, ((n, _KIND.field(n)) for n, _ in _FIELDS))]], schema=_KIND)
 
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, _SQL)
 
