@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.words import rolling, spans
+from lexiloom.functions.fsm import slices
+from lexiloom.llm.words import rolling, words
 
 LENGTHS = (2, 4, 6, 10)
 FOUND_LENGTH, FOUND_SHARE = 6, 0.3
