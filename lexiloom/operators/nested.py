@@ -23,7 +23,10 @@ def _no_constant(x: str) -> None:
 
 
 def _scalar(v) -> str:
-    return v if isinstance(v, str) else json.dumps(v)
+    """A value as text; half of a surrogate pair, which JSON may have, becomes U+FFFD."""
+    if not isinstance(v, str):
+        return json.dumps(v)
+    return v if v.isascii() else v.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
 def shred(text: str | None, root: str, maps: frozenset[str]) -> list[tuple]:
@@ -49,7 +52,7 @@ def shred(text: str | None, root: str, maps: frozenset[str]) -> list[tuple]:
                 elif isinstance(v, dict):
                     todo.append((v, here, f"{pre}{k}."))
                 elif v is not None:
-                    members.append((pre + k, _scalar(v)))
+                    members.append((_scalar(pre + k), _scalar(v)))
 
     if isinstance(doc, list):
         stack.append((doc, root, ()))
@@ -70,7 +73,7 @@ def shred(text: str | None, root: str, maps: frozenset[str]) -> list[tuple]:
                 stack.append((v, f"{path}[]", own))
             else:
                 members.append(("value", _scalar(v)))
-            out.append((path, own, name, members))
+            out.append((_scalar(path), own, name and _scalar(name), members))
     return out
 
 

@@ -44,6 +44,12 @@ def test_every_parent_is_there(doc):
             assert label[:-1] in labels or "[]" in path
 
 
+def test_half_surrogates(spark):
+    doc = '[{"english": "a\\ud800b", "\\udc00": 1, "audio": {"words": [{"text": "\\ud83d\\ude00"}]}}]'
+    n = nested.lesson_nodes(spark.createDataFrame([(1, doc, None, None, None)], LIB))
+    assert nested.child_table(n, "sentence").first().english == "a\ufffdb" and nested.child_table(n, "word").first().text == "😀"
+
+
 def test_deep_documents_dont_break_it():
     assert nested.shred("[" * 200_000 + "]" * 200_000, "r", frozenset()) == []
     wide = json.dumps([{"english": "x"}] * 50_000)
