@@ -29,7 +29,7 @@ def canonical(*columns: str) -> Column:
 def canonical_json(text: str | None) -> str | None:
     """JSON with its members in order; unreadable text stays as it is."""
     try:
-        return json.dumps(json.loads(text), sort_keys=True, ensure_ascii=False, separators=(",", ":")) if text else text
+        return json.dumps(json.loads(text), sort_keys=True, separators=(",", ":")) if text else text
     except (ValueError, RecursionError):
         return text
 

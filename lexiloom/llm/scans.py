@@ -114,7 +114,7 @@ def story(text: str, furniture: set[int]) -> list[tuple[int, str]]:
 def tokens(lines: list[tuple[int, str]], spelled: set[str] | None, after: str | None, before: str | None) -> tuple[list[tuple[str, int, int, int]], list[int], bool]:
     """The words of a page, broken ones put together: ``word, line, line of its end, length of its first part``.
 
-    Also the lines at whose ends (or in which) a word is broken, and whether the last word goes on overleaf. ``spelled``
+    A line 0 is on another page. Also the lines at whose ends (or in which) a word is broken, and whether the last word goes on overleaf. ``spelled``
     has the glyphs of words that are spelled with a hyphen; ``after`` and ``before`` are the first word of the next page and
     the broken word at the end of the page before.
     """
@@ -145,7 +145,7 @@ def tokens(lines: list[tuple[int, str]], spelled: set[str] | None, after: str |
                     part = chunk[:-1]
                     overleaf = True
                     if after:
-                        close(part, chunk[-1], no, after, no)
+                        close(part, chunk[-1], no, after, 0)  # what is wrong in the second part is on the next page
                     elif spelled is None or not any(w.startswith(glyphs(core(part)) + "-") for w in spelled):
                         broken.append(no)
                 else:
@@ -423,7 +423,7 @@ def _judge(model: Model, text: str, furn, title: str | None, other: str | None,
         body, _, right, decided = facts[i]
         if right is None and decided:
             if "�" in chunk:
-                misread.add(last or line)
+                misread.add(line or last)
                 chunk = chunk.replace("�", ".")
             cleaned.append(chunk)
             continue
@@ -433,7 +433,7 @@ def _judge(model: Model, text: str, furn, title: str | None, other: str | None,
         around = [] if decided else [_bucket(facts[j][1]) for j in (i - 2, i - 1, i + 1, i + 2) if 0 <= j < len(own)]
         right = model.correct(chunk, around, rest, known)
         if "�" in chunk and right is None:
-            misread.add(last or line)
+            misread.add(line or last)
         if right:
             at, w = 0, chunk.lower()
             lead = max(w.find(body.lower()), 0)

@@ -101,6 +101,8 @@ def ending(text: str) -> tuple[str, str | None, bool, bool]:
         low = last.lower()
         short = inner[-1] == "." and body == inner and (low in _ABBREVIATED or len(last) == 1 and last.isalpha() and last.isupper() or low in ("p", "e", "i"))
         return "mark", _key(last) if inner[-1] == "." and body == inner and last[:1].isdigit() else None, quotes or short, False
+    if inner[-1] in ",;，；、" and body == inner:
+        return "open", None, True, False
     words = _TOKEN.findall(inner)
     if not words:
         return "open", None, True, False

@@ -145,7 +145,7 @@ def test_limits_and_cuts(spark):
 
 def test_endings():
     e = truncation.ending
-    assert e("A cat.")[:3] == ("mark", None, False) and e("“No!")[2] and e("Dr.")[2] and e("It cost 14.")[1] == "0" and e("the cat ")[2] and e("  ")[0] == "blank" and e("off—")[0] == "dash"
+    assert e("A cat.")[:3] == ("mark", None, False) and e("“No!")[2] and e("Dr.")[2] and e("It cost 14.")[1] == "0" and e("the cat ")[2] and e("  ")[0] == "blank" and e("off—")[0] == "dash" and e("When it rained,")[2]
     assert e("About the Cat")[3] and not e("About the cat")[3] and e("I saw the ca…")[0] == "dots"
 
 
