@@ -423,7 +423,7 @@ def _judge(model: Model, text: str, furn, title: str | None, other: str | None,
         body, _, right, decided = facts[i]
         if right is None and decided:
             if "�" in chunk:
-                misread.add(line or last)
+                misread.add(line if chunk.index("�") < part else last)
                 chunk = chunk.replace("�", ".")
             cleaned.append(chunk)
             continue
@@ -433,15 +433,14 @@ def _judge(model: Model, text: str, furn, title: str | None, other: str | None,
         around = [] if decided else [_bucket(facts[j][1]) for j in (i - 2, i - 1, i + 1, i + 2) if 0 <= j < len(own)]
         right = model.correct(chunk, around, rest, known)
         if "�" in chunk and right is None:
-            misread.add(line or last)
+            misread.add(line if chunk.index("�") < part else last)
         if right:
             at, w = 0, chunk.lower()
             lead = max(w.find(body.lower()), 0)
             while at < len(right) and lead + at < len(w) and w[lead + at] == right[at]:
                 at += 1
             where = line if lead + at < part else last
-            if where:  # else it is on the page before
-                misread.add(where)
+            misread.add(where)
             shown = right.capitalize() if body[:1].isupper() else right
             chunk = chunk.replace(body, shown, 1)
         cleaned.append(chunk.replace("�", "."))
@@ -462,6 +461,7 @@ def _judge(model: Model, text: str, furn, title: str | None, other: str | None,
             paragraphs.append([])
         if line:  # a word that began overleaf is on the page before
             paragraphs[-1].append(chunk)
+    misread.discard(0)  # on another page
     return broken, sorted(misread), "\n\n".join(" ".join(p) for p in paragraphs if p)
 
 
