@@ -50,9 +50,9 @@ def _sql_csv() -> str:
     return f"""
 WITH lines AS (SELECT *, regexp_replace(raw_line, '\\r$', '') AS line FROM course_csv),
 h AS (SELECT file_name, list_transform({fields}, lambda x: lower({trim("replace(x, chr(65279), '')")})) AS names FROM lines WHERE record_no = 0),
-d AS (SELECT row_id, file_name, regexp_full_match(line, '{_FIELD}(?:,{_FIELD})*', 's') AS ok, {fields} AS fields FROM lines WHERE record_no > 0 AND line <> ''),
-v AS (SELECT *, {trim(get("level"))} AS l, {trim(get("lesson_id"))} AS i, {get("english")} AS e FROM d LEFT JOIN h USING (file_name)),
-r AS (SELECT row_id, CASE WHEN NOT ok THEN 'quoting' WHEN len(fields) <> coalesce(len(names), -1) THEN 'column_count'
+d AS (SELECT row_id, file_name, record_no, regexp_full_match(line, '{_FIELD}(?:,{_FIELD})*', 's') AS ok, {fields} AS fields FROM lines WHERE record_no > 0 AND line <> ''),
+v AS (SELECT *, {trim(get("level"))} AS l, {trim(get("lesson_id"))} AS i, {get("english")} AS e, {get("title")} AS title, {get("title_zh")} AS title_zh, {get("sentence_id")} AS sid, {get("chinese")} AS chinese FROM d LEFT JOIN h USING (file_name)),
+r AS (SELECT *, CASE WHEN NOT ok THEN 'quoting' WHEN len(fields) <> coalesce(len(names), -1) THEN 'column_count'
   WHEN NOT coalesce(regexp_full_match(l, 'aa|[A-Z]') AND regexp_full_match(i, 'RAZ-(?:aa|[A-Z])-[0-9]{{3,}}') AND regexp_matches(e, '\\p{{L}}') AND NOT regexp_matches(e, '[\\x{{FFFD}}\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x{{7F}}-\\x{{9F}}]'), false) THEN 'value' END AS reason FROM v)
 """
 
@@ -73,8 +73,16 @@ def _sql_children() -> dict[str, str]:
     return {"sentence": sentence, "word": word, "note": note, "reviewer": live(below(note, "item", "$.reviewers")), "vocabulary": state("vocabulary"), "study_day": state("studyDays"), "progress": progress}
 
 
+def _sql_child(child: str, query: str) -> str:
+    kinds = {"string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "int": "INTEGER", "bigint": "BIGINT"}
+    value = lambda m: "json_extract_string(s, '$')" if m == "value" else f"json_extract_string(s, '$.{m}')"
+    typed = ", ".join(f'try_cast({value(m)} AS {kinds[t]}) AS "{c}"' for c, m, t in nested.COLUMNS[child])
+    return f"SELECT row_id, item, CASE WHEN contains(item, '/') THEN regexp_replace(item, '/[0-9]+$', '') END AS parent_item, regexp_extract(item, '[0-9]+$')::INTEGER AS ordinal, NULL::VARCHAR AS name, {typed} FROM ({query})"
+
+
 SQL: dict[str, str] = {
     "p1_found": _sql_csv() + "SELECT row_id, reason FROM r WHERE reason IS NOT NULL",
     "p1_reasons": _sql_csv() + "SELECT coalesce(reason, 'loaded') AS outcome, count(*)::BIGINT AS n FROM r GROUP BY 1",
     "p3_found": " UNION ALL ".join(f"SELECT '{c}' AS child, row_id, item FROM ({q})" for c, q in _sql_children().items()),
-}
+    "p1_loaded": _sql_csv() + "SELECT row_id, file_name, record_no, l AS level, i AS lesson_id, coalesce(title, '') AS title, coalesce(title_zh, '') AS title_zh, coalesce(nullif(sid, ''), i || '-' || record_no) AS sentence_id, e AS english, coalesce(chinese, '') AS chinese FROM r WHERE reason IS NULL",
+} | {f"p3_{c}": _sql_child(c, q) for c, q in _sql_children().items() if c in ("sentence", "word", "note", "reviewer", "study_day")}
