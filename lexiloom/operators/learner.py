@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import text as X
 from lexiloom.functions.numeric import percent
+from lexiloom.session import join_small
 
 STATE = "vocabulary array<struct<word:string,source:string,addedAt:bigint,correct:int,attempts:int>>, progress map<string,struct<completed:int,total:int,updatedAt:bigint>>, totalSentences int, studyDays array<string>, selectedLevel string"
 #: Fixed value: wrong attempts in a row after which a word is shown.
@@ -47,7 +48,7 @@ def outcomes(attempts: DataFrame, key: list[str], order: list[str], strikes: int
     """
     rank = F.struct(*order)
     hits = attempts.filter("right").groupBy(*key).agg(F.min(rank).alias("_hit"))
-    j = attempts.filter("not right").join(hits, key, "left").filter(F.col("_hit").isNull() | (rank < F.col("_hit")))
+    j = join_small(attempts.filter("not right"), hits, key, "left").filter(F.col("_hit").isNull() | (rank < F.col("_hit")))
     misses = j.groupBy(*key).agg(F.count(F.lit(1)).alias("_misses"))
     g = attempts.select(*key).distinct().join(hits, key, "left").join(misses, key, "left")
     wrong = F.least(F.coalesce("_misses", F.lit(0)), F.lit(strikes)).cast("int")

@@ -11,7 +11,7 @@ from lexiloom.functions import fuzzy
 from lexiloom.functions import numeric as N
 from lexiloom.functions import text as X
 from lexiloom.operators import align, catalog, layout, learner, library, nested, quality, ranking, rejects, shards, votes
-from lexiloom.session import table
+from lexiloom.session import join_small, table
 from lexiloom.sources import readers
 
 QUERIES: dict = {}
@@ -189,7 +189,7 @@ def keep_last_dedupe(lib):
 @query("course_library", sql="""SELECT row_id, id, count(*) OVER (PARTITION BY id) > 1 AS duplicated FROM course_library""")
 def duplicate_flags(lib):
     counts = lib.groupBy("id").agg((F.count(F.lit(1)) > 1).alias("duplicated"))
-    return lib.select("row_id", "id").join(counts, "id")
+    return join_small(lib.select("row_id", "id"), counts, "id")
 
 
 _JSON_LIST = "CASE WHEN json_valid(sentences_json) THEN CASE WHEN json_type(sentences_json) = 'ARRAY' THEN sentences_json::JSON ELSE json_extract(sentences_json, '$.sentences') END END"
@@ -264,7 +264,7 @@ def session_join_ttl(sessions, students):
 SELECT row_id, coalesce(n, 0)::BIGINT AS pages, coalesce(t, '') AS page_title FROM course_library LEFT JOIN (SELECT lesson_id, count(*) AS n, min(title) AS t FROM ocr_pages GROUP BY lesson_id) ON id = lesson_id""")
 def pages_left_join(lib, pages):
     p = pages.groupBy(F.col("lesson_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("title").alias("t"))
-    return lib.select("row_id", "id").join(p, "id", "left").select("row_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("pages"), F.coalesce("t", F.lit("")).alias("page_title"))
+    return join_small(lib.select("row_id", "id"), p, "id", "left").select("row_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("pages"), F.coalesce("t", F.lit("")).alias("page_title"))
 
 
 @query("customer", "orders", sql="""SELECT c_custkey, c_mktsegment FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")

@@ -65,14 +65,16 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADC
     return n <= rows and b <= size
 
 
-def join_small(big: DataFrame, small: DataFrame, key: str, how: str = "inner", salts: int = 16) -> DataFrame:
-    """Join ``big`` to ``small``, unique by ``key``, where one key may hold a third of ``big``.
+def join_small(big: DataFrame, small: DataFrame, key: str | list[str], how: str = "inner", salts: int = 16) -> DataFrame:
+    """Join ``big`` to ``small``, unique by ``key`` (a column or several), where one key may hold a third of ``big``.
 
     A proven-small side is broadcast. Otherwise both sides are salted, so that a hot key is spread over ``salts`` tasks.
     Null keys never match.
     """
     if fits_broadcast(small):
         return big.join(F.broadcast(small), key, how)
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in big.columns if c != key]), F.lit(salts)).cast("int"))
+    keys = [key] if isinstance(key, str) else list(key)
+    own = [c for c, t in big.dtypes if c not in keys and not t.startswith("map")]
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(*own) if own else F.lit(0), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
