@@ -180,7 +180,7 @@ def pairs(df: DataFrame) -> DataFrame:
     keyed = canonical(df).select("field", "row_id", F.unhex(F.md5(F.encode(_fold("text"), "utf-8"))).alias("key"), F.xxhash64("raw").alias("raw"))
     keyed = cut(keyed)
     several = keyed.groupBy("field", "key").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).filter("lo != hi").select("field", "key")
-    few = cut(keyed.join(several, ["field", "key"], "left_semi"))
+    few = cut(join_small(keyed, several, ["field", "key"], "left_semi"))
     a, b = few.alias("a"), few.alias("b")
     on = (F.col("a.field") == F.col("b.field")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.row_id") < F.col("b.row_id")) & (F.col("a.raw") != F.col("b.raw"))
     return a.join(b, on).select(F.col("a.field").alias("field_name"), F.col("a.row_id").alias("row_id_a"), F.col("b.row_id").alias("row_id_b"))

@@ -329,7 +329,7 @@ def furniture(given: DataFrame) -> DataFrame:
     again = open_.select("book", "key", "place").distinct().groupBy("book", "key").count().filter(F.col("count") >= PAGES).select("book", "key")
     common = open_.select("key", "book").distinct().groupBy("key").count().filter(F.col("count") >= BOOKS).select("key")
     line = ["field", "page_id", "line_no"]
-    return edges.filter("sure").select(line).unionByName(open_.join(again, ["book", "key"], "left_semi").select(line)).unionByName(open_.join(common, "key", "left_semi").select(line)).distinct()
+    return edges.filter("sure").select(line).unionByName(join_small(open_, again, ["book", "key"], "left_semi").select(line)).unionByName(join_small(open_, common, "key", "left_semi").select(line)).distinct()
 
 
 def spread(given: DataFrame) -> DataFrame:
