@@ -264,3 +264,38 @@ def test_votes(spark):
     assert got[1] == ("unlimited_ocr", "A cat ran.", 1.0) and got[2][0] == "vision_fallback" and got[3][:2] == ("unlimited_ocr", "Only.") and got[4][:2] == ("vision_fallback", "Only.") and got[5][:2] == ("vision_fallback", "")
     sheet = spark.createDataFrame([(1, "text [0,50,100,100] Second\ntext [600,0,900,100] Other\ntext [0,5,100,90] First\nimage [0,0,9,9] no")], "id int, raw string")
     assert rows(votes.sheet_texts(sheet)) == [(1, 0, "First Second"), (1, 1, "Other")]
+
+
+def test_body_pages(spark):
+    def page(p, lines, size=12.0, font="X+Body-Roman", top=50.0):
+        return [("d", p, 100 * p + 10 * i + k, w, 10.0 + 40 * k, 45.0 + 40 * k, top + 14 * i, top + 14 * i + 10, size, font, 600.0, 800.0, line.endswith(".")) for i, line in enumerate(lines) for k, w in enumerate(line.split())]
+
+    data = page(1, ["Table of Contents"], 12.0) + page(2, ["A cat ran up.", "It sat there."]) + page(2, ["CAPTION"], 20.0, "Y+Head-Bold", 300.0) + page(2, ["foot note."], top=760.0) + page(3, ["12", "The end came."]) + page(4, ["Glossary"]) + page(5, ["More words."])
+    words = spark.createDataFrame(data, "doc string, page int, seq int, text string, x0 double, x1 double, top double, bottom double, size double, font string, width double, height double, ends_sentence boolean")
+    got = {r.page: (r.status, r.text) for r in layout.body_pages(words).collect()}
+    assert got == {1: ("skip", None), 2: ("body", "A cat ran up. It sat there."), 3: ("body", "The end came."), 4: ("stop", None), 5: ("after_back_matter", None)}
+
+
+def test_scan_lessons(spark):
+    rows_ = [
+        ("a", 1, None, None, "", "cover"), ("a", 2, "The Cat", 1, "one", "x"), ("a", 3, None, 3, "two", "x"), ("a", 4, None, None, "ends.", "x"), ("a", 5, None, None, "no mark", "x"), ("a", 6, "The Cat!", 5, "three", "x"),
+        ("a", 7, "A Dog", 1, "four", "x"), ("a", 8, None, None, "b.", "All rights reserved"), ("a", 9, None, 7, "lost", "x"), ("b", 1, None, 4, "lost", "x"), ("b", 2, "A Dog", 1, "five", "x"),
+    ]
+    df = spark.createDataFrame(rows_, "source string, page int, title string, number int, body string, raw string")
+    assert sorted((r.source, r.page, r.lesson, r.title) for r in layout.scan_lessons(df).collect()) == [("a", 2, 1, "The Cat"), ("a", 3, 1, "The Cat"), ("a", 4, 1, "The Cat"), ("a", 6, 1, "The Cat"), ("a", 7, 2, "A Dog"), ("b", 2, 1, "A Dog")]
+
+
+def test_selection(spark):
+    from lexiloom.operators import selection as S
+
+    df = spark.createDataFrame([("a", "A", 0.9), ("b", "B", 0.5), ("c", "A", 0.7)], "id string, level string, score double")
+    assert [r.id for r in S.chosen(df, 0.8, level=["A"], id=[]).collect()] == ["a"] and S.chosen(df).count() == 3
+    assert S.the_one(df, F.col("id") == "b").first().level == "B"
+    with pytest.raises(LookupError):
+        S.the_one(df, F.col("level") == "A")
+    assert [r.id for r in S.in_order_of(df, "id", ["c", "a"]).collect()] == ["c", "a", "b"]
+    assert [tuple(r) for r in S.by_frequency(df, "level", "id").collect()] == [("A", 2), ("B", 1)]
+    e = spark.createDataFrame([("x", "1"), ("x", "2"), ("y", "1")], "lesson_id string, name string")
+    f = spark.createDataFrame([("x", "1"), ("x", "2"), ("y", "1"), ("y", "9")], "lesson_id string, name string")
+    assert rows(S.complete(e, f)) == [("x", True), ("y", False)]
+    assert S.best_by_score(df, (F.col("level") == "A", 2), (F.col("score") < 0.8, 1)).first().id == "c"
