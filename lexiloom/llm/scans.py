@@ -370,25 +370,35 @@ def _model(placed: DataFrame) -> Model:
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = shared.value
-        memo: dict[str, tuple[int, int]] = {}
+        class Places(dict):
+            """The number and the bucket of a run of non-blanks as one integer; number 0 for rare words."""
+
+            def __missing__(self, chunk: str) -> int:
+                if len(self) > 500_000:
+                    self.clear()
+                low = core(chunk).lower()
+                self[chunk] = place = (ids.get(low, -1) + 1) * BUCKETS + _bucket(low)
+                return place
+
+        places = Places()
         for b in batches:
-            keys = []
+            own: list[int] = []
             for _, text, furn in _readings(b, "furn"):
-                own = []
-                for chunk, *_ in tokens(story(text, set(furn or ())), None, None, None)[0]:
-                    if (m := memo.get(chunk)) is None:
-                        low = core(chunk).lower()
-                        memo[chunk] = m = (ids.get(low, -1) * BUCKETS, _bucket(low))
-                    own.append(m)
-                if len(memo) > 500_000:
-                    memo.clear()
-                if len(own) > 1:
-                    both = np.array(own, dtype=np.int64)
-                    word, near = both[:, 0], both[:, 1]
-                    for d in (1, 2):
-                        keys += [word[d:] + near[:-d], word[:-d] + near[d:]]
-            flat, n = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(flat[flat >= 0]), pa.array(n[flat >= 0])], names=["cell", "n"])
+                lines = story(text, set(furn or ()))
+                if any(h in text for h in HYPHENS):
+                    own += [places[t[0]] for t in tokens(lines, None, None, None)[0]]
+                else:
+                    own += [places[c] for _, line in lines for c in line.split()]
+                own += (-1, -1)  # keeps the texts apart
+            both = np.array(own, dtype=np.int64)
+            word, near = both // BUCKETS - 1, both % BUCKETS
+            keys = []
+            for d in (1, 2):
+                ok = (both[d:] >= 0) & (both[:-d] >= 0)
+                for w, x in ((word[d:], near[:-d]), (word[:-d], near[d:])):
+                    keys.append((w * BUCKETS + x)[ok & (w >= 0)])
+            flat, n = np.unique(np.concatenate(keys), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(n)], names=["cell", "n"])
 
     cells = narrow.mapInArrow(contexts, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
     matrix = np.zeros((len(top), BUCKETS), dtype=np.float32)
@@ -412,24 +422,25 @@ def _model(placed: DataFrame) -> Model:
     return Model(counts, {w: matrix[i] for i, w in enumerate(counts)}, {r[0]: r[1] for r in names.orderBy(F.desc("n"), "t").limit(TRIGRAMS).collect()})
 
 
-def _judge(model: Model, text: str, furn, title: str | None, other: str | None, after: str | None, before: str | None) -> tuple[list[int], list[int], str]:
-    """Lines with a broken word, lines with a misread one, and the clean text of a page."""
+def _judge(model: Model, text: str, furn, title: str | None, other: str | None, after: str | None, before: str | None, with_text: bool = True) -> tuple[list[int], list[int], str | None]:
+    """Lines with a broken word, lines with a misread one, and the clean text of a page, if it is wanted."""
     own, broken, _ = tokens(story(text, set(furn or ())), model.spelled, after, before)
     facts = [model.seen(chunk) for chunk, *_ in own]
     known = rest = None
     misread: set[int] = set()
-    cleaned: list[str] = []
-    for i, (chunk, line, last, part) in enumerate(own):
-        body, _, right, decided = facts[i]
+    cleaned = [t[0] for t in own]
+    lost = "�" in text or "�" in (after or "")
+    for i, (body, _, right, decided) in enumerate(facts):
         if right is None and decided:
-            if "�" in chunk:
+            if lost and "�" in cleaned[i]:
+                chunk, line, last, part = own[i]
                 misread.add(line if chunk.index("�") < part else last)
-                chunk = chunk.replace("�", ".")
-            cleaned.append(chunk)
+                cleaned[i] = chunk.replace("�", ".")
             continue
+        chunk, line, last, part = own[i]
         if known is None:
-            known = {core(w).lower() for w in (title or "").split()}
-            rest = {core(w).lower() for w in (other or "").split()}
+            known = {model.seen(w)[1] for w in (title or "").split()}
+            rest = {model.seen(w)[1] for w in (other or "").split()}
         around = [] if decided else [_bucket(facts[j][1]) for j in (i - 2, i - 1, i + 1, i + 2) if 0 <= j < len(own)]
         right = model.correct(chunk, around, rest, known)
         if "�" in chunk and right is None:
@@ -443,7 +454,10 @@ def _judge(model: Model, text: str, furn, title: str | None, other: str | None,
             misread.add(where)
             shown = right.capitalize() if body[:1].isupper() else right
             chunk = chunk.replace(body, shown, 1)
-        cleaned.append(chunk.replace("�", "."))
+        cleaned[i] = chunk.replace("�", ".")
+    misread.discard(0)  # on another page
+    if not with_text:
+        return broken, sorted(misread), None
     gaps: set[int] = set()
     gap = False
     for no, line in enumerate(text.split("\n"), 1):
@@ -461,7 +475,6 @@ def _judge(model: Model, text: str, furn, title: str | None, other: str | None,
             paragraphs.append([])
         if line:  # a word that began overleaf is on the page before
             paragraphs[-1].append(chunk)
-    misread.discard(0)  # on another page
     return broken, sorted(misread), "\n\n".join(" ".join(p) for p in paragraphs if p)
 
 
@@ -500,10 +513,10 @@ def overleaf(placed: DataFrame) -> DataFrame:
     return both.groupBy("kind", "page_id").agg(pick("after", "a"), pick("after", "b"), pick("before", "a"), pick("before", "b"))
 
 
-def restored(ocr: DataFrame, records: DataFrame, library: DataFrame) -> DataFrame:
+def restored(ocr: DataFrame, records: DataFrame, library: DataFrame, with_text: bool = True) -> DataFrame:
     """``field, page_id, broken, misread, furniture, text`` of every reading that isn't null.
 
-    ``text`` is the clean page; empty pages come out empty. A page delivered twice is restored twice. The next page is the
+    ``text`` is the clean page (null without ``with_text``); empty pages come out empty. A page delivered twice is restored twice. The next page is the
     one behind in the same book and field; where it is missing, a word broken at the page's end stays as it is.
     """
     placed = cut(spread(pages(ocr, records, library)))
@@ -515,7 +528,7 @@ def restored(ocr: DataFrame, records: DataFrame, library: DataFrame) -> DataFram
             others = {f: i for i, f in enumerate(FIELDS["ocr"])}
             rows = []
             for field, text, a, b_, page, title, furn, after, before in _readings(b, "a", "b", "page_id", "title", "furn", "after", "before"):
-                broken, misread, clean_ = _judge(m, text, furn, title, b_ if others.get(field) == 0 else a if others.get(field) == 1 else None, after, before)
+                broken, misread, clean_ = _judge(m, text, furn, title, b_ if others.get(field) == 0 else a if others.get(field) == 1 else None, after, before, with_text)
                 rows.append((field, page, sorted(set(broken)), misread, sorted(furn or ()), clean_))
             yield _batch(rows, _DONE_KIND)
 
@@ -525,7 +538,7 @@ def restored(ocr: DataFrame, records: DataFrame, library: DataFrame) -> DataFram
 def found(ocr: DataFrame, records: DataFrame, library: DataFrame) -> DataFrame:
     """``field_name, page_id, line_no, kind`` of every line that is furniture, ends in a broken word or has a misread one."""
     kinds = F.create_map(F.lit("furniture"), F.col("furniture"), F.lit("hyphen"), F.col("broken"), F.lit("misread"), F.col("misread"))
-    return restored(ocr, records, library).select(F.col("field").alias("field_name"), "page_id", F.explode(kinds).alias("kind", "lines")).select("field_name", "page_id", F.explode("lines").alias("line_no"), "kind")
+    return restored(ocr, records, library, with_text=False).select(F.col("field").alias("field_name"), "page_id", F.explode(kinds).alias("kind", "lines")).select("field_name", "page_id", F.explode("lines").alias("line_no"), "kind")
 
 
 def clean(ocr: DataFrame, records: DataFrame, library: DataFrame) -> DataFrame:
