@@ -38,14 +38,14 @@ LEVELS = ["aa", *"ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
 
 #: Stand-ins from the private use area: a protected full stop, a sentence's blank, a full stop before a closing quote.
 _STOP, _GAP, _QUOTED = "\uE000", "\uE002", "\uE003"
-_DUMMY = T.StringType()
+_STRING = T.StringType()
 
 
 # Normal forms ---------------------------------------------------------------------------------------------------------
 
 
 def _normalizer(form: str):
-    @F.pandas_udf(_DUMMY)
+    @F.pandas_udf(_STRING)
     def normal(s):
         return s.map(lambda x: x if x.isascii() else unicodedata.normalize(form, x), na_action="ignore")
 
