@@ -21,9 +21,8 @@ from pyspark.sql import types as T
 from lexiloom.session import cut, join_small
 
 #: Letters of other alphabets and the Latin letter each looks like.
-CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХЗасеһіјорѕухԁԛԝ", "ABESIJKMHOPCTYX3acehijopsyxdqw"))
+CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХасеһіјорѕухԁԛԝ", "ABESIJKMHOPCTYXacehijopsyxdqw"))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧανιορυχ", "ABEZHIKMNOPTYXaviopux"))
-del CYRILLIC["З"]
 TO_LATIN = CYRILLIC | GREEK
 TO_CYRILLIC = {v: k for k, v in CYRILLIC.items()}
 TO_GREEK = {v: k for k, v in GREEK.items()}
@@ -83,7 +82,8 @@ def candidate(word: str) -> str | None:
     for goal, table in (("latin", TO_LATIN), ("cyrillic", TO_CYRILLIC), ("greek", TO_GREEK)):
         if goal in scripts and all(s == goal or s is None or c in table for c, s in own):
             # letters that stand for this script alone, then all letters of it
-            weight = (sum(s == goal and not any(c in t for t in (TO_LATIN if goal != "latin" else TO_CYRILLIC | TO_GREEK,)) for c, s in own), sum(s == goal for _, s in own))
+            alike = TO_CYRILLIC.keys() | TO_GREEK.keys() if goal == "latin" else TO_LATIN.keys()
+            weight = (sum(s == goal and c not in alike for c, s in own), sum(s == goal for _, s in own))
             if best is None or weight > best[0]:
                 best = (weight, "".join(table.get(c, c) if (s := script(c)) and s != goal else c for c in parts))
     return best and unicodedata.normalize("NFC", best[1])

@@ -17,7 +17,8 @@ from lexiloom.functions.fsm import slices
 from lexiloom.llm.words import rolling, words
 
 LENGTHS = (2, 4, 6, 10)
-FOUND_LENGTH, FOUND_SHARE = 6, 0.3
+#: Words of a run, and tenths of a document's words in such runs, at which it counts as repetitive.
+FOUND_LENGTH, FOUND_TENTHS = 6, 3
 
 
 def repeated(codes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -99,4 +100,4 @@ def shares(documents: DataFrame) -> DataFrame:
 
 def found(documents: DataFrame) -> DataFrame:
     """``doc_id`` of the documents of whose words 30 % or more lie in six words that occurred before."""
-    return shares(documents).filter(F.col("words_6") * 10 >= F.col("n_words") * 3).filter("n_words > 0").select("doc_id")
+    return shares(documents).filter(F.col(f"words_{FOUND_LENGTH}") * 10 >= F.col("n_words") * FOUND_TENTHS).filter("n_words > 0").select("doc_id")
