@@ -324,11 +324,13 @@ m AS (SELECT x.block, x.left_id, x.right_id, x.score, least(x.score - coalesce(y
 
 
 def _titles(lib, pages):
-    """Distinct titles of both sides by level: copies are one representative, so that no group of copies is expanded."""
-    plain = lambda df: df.filter(F.col("title").rlike(r"\A[ -~éëÉË]+\z"))
+    """Distinct titles of both sides by level: copies are one representative, so that no group of copies is expanded.
+
+    All titles with a word count, in whatever characters. The SQL of the queries over them has only titles in plain letters.
+    """
 
     def side(df):
-        one = plain(df).groupBy("level", "title").agg(F.min("id").alias("id")).withColumn("w", X.title_tokens(F.col("title"))).filter(F.size("w") > 0)
+        one = df.filter("title is not null").groupBy("level", "title").agg(F.min("id").alias("id")).withColumn("w", X.title_tokens(F.col("title"))).filter(F.size("w") > 0)
         words = F.array_join("w", " ")
         return one.groupBy("level", words.alias("title")).agg(F.min("id").alias("id")).select("level", "title", F.concat_ws("/", "id", "title").alias("id"))
 
