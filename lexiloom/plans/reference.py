@@ -360,7 +360,7 @@ def greedy_assignment(lib, pages):
 @query("course_library", "ocr_pages")
 def catalog_fuzzy(lib, pages):
     """As ``greedy_assignment``, scored by letters, words and containment."""
-    p = catalog.title_pairs(*_titles(lib, pages), least=0.6, exact=True)
+    p = catalog.best_pairs(*_titles(lib, pages), least=0.6)
     return catalog.assigned(catalog.margins(p)).withColumn("score", F.round("score", 4)).withColumn("margin", F.round("margin", 4))
 
 

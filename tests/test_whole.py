@@ -1,8 +1,13 @@
 """Queries that once did less than the whole job."""
 
+import random
 import re
 import unicodedata
 
+import pandas as pd
+import pytest
+
+from lexiloom.functions.fuzzy import _token_score
 from lexiloom.operators import catalog
 from lexiloom.plans import reference
 
@@ -26,3 +31,29 @@ def test_titles_in_any_characters_are_matched(spark):
     expected = {(f"L{i}/{x}", f"X-A-{j}/{y}") for i, x in words(odd) for j, y in words(heard) if 2 * len(set(x.split()) & set(y.split())) / len((x + " " + y).split()) >= 0.8}
     got = {(r.left_id, r.right_id) for r in catalog.title_pairs(*reference._titles(*tables)).collect()}
     assert {x[0].split("/")[0] for x in expected} == {"L0", "L1", "L2", "L3", "L4", "L5"} and got == expected
+
+
+@pytest.mark.parametrize("piece", [7, 512])
+def test_margins_by_all_three_measures(spark, piece):
+    r = random.Random(7)
+    words = "the cat dog of hill red big fish moon a pe pu meji".split()
+    odd = ["where is pe pu meji", "where is pepumeji", "rabbit", "rabbits", "big dog", "the big dog of a red hill", "x" * 70 + " cat", "x" * 69 + "cat", "猫"]
+    titles = lambda: [(f"{i:03}", r.choice("AB"), t) for i, t in enumerate([*odd, *(" ".join(r.choices(words, k=r.randint(1, 6))) for _ in range(50))])]
+    left, right = titles(), [*titles(), *[(f"x{i}", "A", t) for i, t in enumerate(odd)], ("y", "C", "alone")]
+    left += [(f"x{i}", "A", t) for i, t in enumerate(odd)]
+    score = lambda a, b: float(_token_score.func(pd.Series([_tokens(a)]), pd.Series([_tokens(b)]))[0])
+    all_ = {(i, j): score(a, b) for i, lv, a in left for j, lw, b in right if lv == lw}
+    pairs = {k: s for k, s in all_.items() if s >= 0.6 - 1e-9}
+    expected = {}
+    for i in {i for i, _ in pairs}:
+        mine = sorted((-s, j) for (x, j), s in pairs.items() if x == i)
+        back = sorted((-s for (_, y), s in pairs.items() if y == mine[0][1]))
+        seconds = [-mine[1][0] if len(mine) > 1 else 0.0, -back[1] if len(back) > 1 else 0.0]
+        expected[i] = (mine[0][1], -mine[0][0], *seconds)
+    frames = [spark.createDataFrame(t, "id string, level string, title string") for t in (left, right)]
+    got = {m.left_id: (m.right_id, m.score, m.second, m.second_lesson) for m in catalog.margins(catalog.best_pairs(*frames, piece=piece)).collect()}
+    assert got == expected
+    assert {got[f"x{i}"][1] for i in (0, 1)} == {1.0} and got["x2"][1] == 1.0 and "y" not in got
+    alone = [spark.createDataFrame([("1", "A", t)], "id string, level string, title string") for t in odd]
+    reached = lambda i, j: [round(p.score, 2) for p in catalog.best_pairs(alone[i], alone[j]).collect()]
+    assert reached(0, 1) == [1.0] and reached(2, 3) == [0.92] and reached(4, 5) == [0.93] and reached(2, 4) == [] == reached(8, 8)
