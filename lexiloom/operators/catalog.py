@@ -165,20 +165,32 @@ def best_pairs(left: DataFrame, right: DataFrame, block: str = "level", least: f
     return cut(pairs.mapInArrow(run, "block string, left_id string, right_id string, score double"))
 
 
-def margins(pairs: DataFrame) -> DataFrame:
+def margins(pairs: DataFrame, left_copies: DataFrame | None = None, right_copies: DataFrame | None = None) -> DataFrame:
     """For each left id its best right id by score (ties: the smaller id), with the margin.
 
     The margin is the smaller of two leads: of the best over the second recording of the lesson, and over the second lesson of
     the recording. A lesson that isn't the recording's best has a lead of zero or less there. Missing seconds count as 0.
+
+    Where ``pairs`` are of representatives, ``left_copies`` and ``right_copies`` (``block, id, copy``) have all that each
+    stands for, itself too: copies are each other's seconds, and every left copy has a row of its own.
     """
 
-    def two(side: str, other: str) -> DataFrame:
-        top = top_per_group(pairs, ["block", side], [F.desc("score"), F.col(other)], 2)
-        return top.groupBy("block", side).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col(other).alias("o")))).alias("two"))
+    def sized(copies: DataFrame | None, side: str, n: str) -> DataFrame:
+        if copies is None:
+            return pairs.select("block", side).distinct().withColumn(n, F.lit(1))
+        return copies.groupBy("block", F.col("id").alias(side)).agg(F.count(F.lit(1)).alias(n))
+
+    def two(side: str, other: str, n: DataFrame) -> DataFrame:
+        top = top_per_group(pairs, ["block", side], [F.desc("score"), F.col(other)], 2).join(n, ["block", other])
+        return top.groupBy("block", side).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col(other).alias("o"), "n"))).alias("two"))
 
-    best = two("left_id", "right_id").select("block", "left_id", F.col("two")[0]["o"].alias("right_id"), (-F.col("two")[0]["s"]).alias("score"), F.coalesce(-F.get("two", F.lit(1))["s"], F.lit(0.0)).alias("second"))
-    back = two("right_id", "left_id").select("block", "right_id", F.coalesce(-F.get("two", F.lit(1))["s"], F.lit(0.0)).alias("second_lesson"))
+    first = F.col("two")[0]
+    behind = F.when(first["n"] > 1, -first["s"]).otherwise(F.coalesce(-F.get("two", F.lit(1))["s"], F.lit(0.0)))
+    best = two("left_id", "right_id", sized(right_copies, "right_id", "n")).select("block", "left_id", first["o"].alias("right_id"), (-first["s"]).alias("score"), behind.alias("second"))
+    back = two("right_id", "left_id", sized(left_copies, "left_id", "n")).select("block", "right_id", behind.alias("second_lesson"))
     j = best.join(back, ["block", "right_id"])
+    if left_copies is not None:
+        j = j.join(left_copies.withColumnRenamed("id", "left_id"), ["block", "left_id"]).drop("left_id").withColumnRenamed("copy", "left_id")
     return j.select("block", "left_id", "right_id", "score", "second", "second_lesson", F.least(F.col("score") - F.col("second"), F.col("score") - F.col("second_lesson")).alias("margin"))
 
 

@@ -323,29 +323,50 @@ m AS (SELECT x.block, x.left_id, x.right_id, x.score, least(x.score - coalesce(y
   LEFT JOIN b z ON z.block = x.block AND z.right_id = x.right_id AND z.n = 2 WHERE x.n = 1)"""
 
 
-def _titles(lib, pages):
-    """Distinct titles of both sides by level: copies are one representative, so that no group of copies is expanded.
+def _copies(lib, pages):
+    """``block, id, copy`` of lessons and of recordings: all that have the words of one title in one level, and who stands for them.
 
-    All titles with a word count, in whatever characters. The SQL of the queries over them has only titles in plain letters.
+    All titles with a word count, in whatever characters. A lesson delivered twice with the same words is one. The SQL of the
+    queries over them has only titles in plain letters, and only one lesson for each title.
     """
 
     def side(df):
-        one = df.filter("title is not null").groupBy("level", "title").agg(F.min("id").alias("id")).withColumn("w", X.title_tokens(F.col("title"))).filter(F.size("w") > 0)
-        words = F.array_join("w", " ")
-        return one.groupBy("level", words.alias("title")).agg(F.min("id").alias("id")).select("level", "title", F.concat_ws("/", "id", "title").alias("id"))
+        words = F.array_join(X.title_tokens(F.col("title")), " ")
+        each = df.filter("title is not null").select("level", "id", words.alias("title")).filter("title != ''").distinct()
+        one = each.groupBy("level", "title").agg(F.min("id").alias("_one"))
+        key = lambda c: F.concat_ws("/", c, "title")
+        return each.join(one, ["level", "title"]).select(F.col("level").alias("block"), "title", key("_one").alias("id"), key("id").alias("copy"))
+
+    return side(lib.filter("level is not null and id is not null")), side(pages.filter("lesson_id is not null").select(X.id_part(F.col("lesson_id"), 2).alias("level"), "title", F.col("lesson_id").alias("id")))
+
+
+def _titles(lib, pages):
+    """Distinct titles of both sides by level: copies are one representative, so that no group of copies is expanded."""
+    return tuple(c.filter("id = copy").select(F.col("block").alias("level"), "title", "id") for c in _copies(lib, pages))
 
-    return side(lib.filter("level is not null")), side(pages.select(X.id_part(F.col("lesson_id"), 2).alias("level"), "title", F.col("lesson_id").alias("id")))
+
+def _margins(pairs, lib, pages):
+    """Margins and a row for every lesson, also those that another one stands for in ``pairs``."""
+    return catalog.margins(pairs, *[c.select("block", "id", "copy") for c in _copies(lib, pages)])
+
+
+@query("course_library", "ocr_pages")
+def title_members(lib, pages):
+    """Which lessons and recordings each id of ``title_candidates`` stands for, itself too."""
+    both = [c.select(F.lit(s).alias("side"), "block", "id", F.col("copy").alias("member")) for s, c in zip(("left", "right"), _copies(lib, pages))]
+    return both[0].unionByName(both[1])
 
 
 @query("course_library", "ocr_pages", sql=f"WITH {_SIDES} SELECT block, left_id, right_id, round(score, 6) AS score FROM c")
 def title_candidates(lib, pages):
+    """One lesson and one recording for each title of a level; ``title_members`` has the others."""
     p = catalog.title_pairs(*_titles(lib, pages))
     return p.withColumn("score", F.round("score", 6))
 
 
 @query("course_library", "ocr_pages", sql=f"WITH {_SIDES}, {_MARGIN} SELECT block, left_id, right_id, round(score, 6) AS score, round(margin, 6) AS margin FROM m")
 def two_ranked_margin(lib, pages):
-    m = catalog.margins(catalog.title_pairs(*_titles(lib, pages)))
+    m = _margins(catalog.title_pairs(*_titles(lib, pages)), lib, pages)
     return m.select("block", "left_id", "right_id", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"))
 
 
@@ -354,14 +375,14 @@ WITH {_SIDES}, {_MARGIN}, o AS (SELECT *, score >= 0.9999 OR (score >= 0.84 AND
 t AS (SELECT *, coalesce(max(ok::INT) OVER (PARTITION BY right_id ORDER BY score DESC, margin DESC, left_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS taken FROM o)
 SELECT block, left_id, right_id, CASE WHEN taken THEN 'audio-already-used' WHEN NOT ok THEN 'ambiguous-or-low-score' ELSE 'mapped' END AS outcome FROM t""")
 def greedy_assignment(lib, pages):
-    return catalog.assigned(catalog.margins(catalog.title_pairs(*_titles(lib, pages)))).select("block", "left_id", "right_id", "outcome")
+    return catalog.assigned(_margins(catalog.title_pairs(*_titles(lib, pages)), lib, pages)).select("block", "left_id", "right_id", "outcome")
 
 
 @query("course_library", "ocr_pages")
 def catalog_fuzzy(lib, pages):
     """As ``greedy_assignment``, scored by letters, words and containment."""
     p = catalog.best_pairs(*_titles(lib, pages), least=0.6)
-    return catalog.assigned(catalog.margins(p)).withColumn("score", F.round("score", 4)).withColumn("margin", F.round("margin", 4))
+    return catalog.assigned(_margins(p, lib, pages)).withColumn("score", F.round("score", 4)).withColumn("margin", F.round("margin", 4))
 
 
 @query("part", sql="""

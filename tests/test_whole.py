@@ -57,3 +57,18 @@ def test_margins_by_all_three_measures(spark, piece):
     alone = [spark.createDataFrame([("1", "A", t)], "id string, level string, title string") for t in odd]
     reached = lambda i, j: [round(p.score, 2) for p in catalog.best_pairs(alone[i], alone[j]).collect()]
     assert reached(0, 1) == [1.0] and reached(2, 3) == [0.92] and reached(4, 5) == [0.93] and reached(2, 4) == [] == reached(8, 8)
+
+
+def test_every_lesson_of_a_title_has_an_outcome(spark):
+    lessons = [("L1", "A", "The Red Cat"), ("L2", "A", "the red, cat!"), ("L2", "A", "The Red Cat"), ("L3", "A", "The Red Cat"), ("L4", "A", "Moon and a Big Fish Hill"), ("L5", "A", "Moon and a big fish hill"), ("L6", "A", "One Dog"), ("L1", "B", "The Red Cat")]
+    tables = _tables(spark, lessons, [("X-A-1", "The Red Cat"), ("X-A-2", "Moon & Big Fish Hill"), ("X-A-3", "One Dog"), ("X-A-4", "One Dog"), ("X-B-5", "The Red Cat")])
+    members = {(r.side, r.block, r.id.split("/")[0], r.member.split("/")[0]) for r in reference.title_members(*tables).collect()}
+    assert {m for m in members if m[0] == "left"} == {("left", b, o, m) for b, o, m in [("A", "L1", "L1"), ("A", "L1", "L2"), ("A", "L1", "L3"), ("A", "L4", "L4"), ("A", "L4", "L5"), ("A", "L6", "L6"), ("B", "L1", "L1")]}
+    margin = {(r.block, r.left_id.split("/")[0]): round(r.margin, 3) for r in reference.two_ranked_margin(*tables).collect()}
+    assert margin == {("A", "L1"): 0, ("A", "L2"): 0, ("A", "L3"): 0, ("A", "L4"): 0, ("A", "L5"): 0, ("A", "L6"): 0, ("B", "L1"): 1}
+    used, low = "audio-already-used", "ambiguous-or-low-score"
+    expected = {("A", "L1"): "mapped", ("A", "L2"): used, ("A", "L3"): used, ("A", "L4"): low, ("A", "L5"): low, ("A", "L6"): "mapped", ("B", "L1"): "mapped"}
+    for f in (reference.greedy_assignment, reference.catalog_fuzzy):
+        got = f(*tables).collect()
+        assert {(r.block, r.left_id.split("/")[0]): r.outcome for r in got} == expected and len(got) == 7
+        assert {r.right_id for r in got if r.left_id.startswith("L6")} == {"X-A-3/one dog"}
