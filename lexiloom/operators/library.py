@@ -17,19 +17,20 @@ def parsed_sentences(json: Column) -> Column:
     return F.when(F.ltrim(json).startswith("["), F.from_json(json, SENTENCES)).otherwise(F.from_json(json, f"struct<sentences:{SENTENCES}>")["sentences"])
 
 
-def violations(lessons: DataFrame, least: int = 1, most: int = 3000) -> DataFrame:
+def violations(lessons: DataFrame, least: int = 1, most: int = 3000, keep: tuple[str, ...] = ()) -> DataFrame:
     """``id, problem`` of everything an import would be refused for; a row with a null id for a wrong number of lessons.
 
-    ``lessons``: ``id, level, title, sentences``. Nothing to complain about gives no rows.
+    ``lessons``: ``id, level, title, sentences``, and the columns ``keep``, which come out too. Nothing to complain about gives
+    no rows.
     """
     blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
     problem = reasons(
         (blank(F.col("id")), "id"), (blank(F.col("level")), "level"), (blank(F.col("title")), "title"), (F.coalesce(F.size("sentences"), F.lit(0)) < 1, "sentences"),
         (F.exists(F.coalesce("sentences", F.array().cast(SENTENCES)), lambda s: blank(s["id"]) | blank(s["english"])), "english"),
     )
-    rows = lessons.select("id", F.explode(problem).alias("problem"))
+    rows = lessons.select("id", F.explode(problem).alias("problem"), *keep)
     size = lessons.agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") < least) | (F.col("n") > most))
-    return rows.unionByName(size.select(F.lit(None).cast("string").alias("id"), F.lit("lesson count").alias("problem")))
+    return rows.unionByName(size.select(F.lit(None).cast("string").alias("id"), F.lit("lesson count").alias("problem")), allowMissingColumns=True)
 
 
 def deduplicated(lessons: DataFrame, keys: tuple[str, ...] = ("id", "source_name"), order: tuple[str, ...] = ("row_id",)) -> DataFrame:

@@ -226,8 +226,9 @@ def polymorphic_lessons(lib):
 @query("course_library", sql="""
 SELECT row_id, p AS problem FROM (SELECT row_id, unnest(list_filter([CASE WHEN coalesce(trim(id), '') = '' THEN 'id' END, CASE WHEN coalesce(trim(level), '') = '' THEN 'level' END, CASE WHEN coalesce(trim(title), '') = '' THEN 'title' END], lambda x: x IS NOT NULL)) AS p FROM course_library)""")
 def import_violations(lib):
-    v = library.violations(lib.select(F.col("row_id").cast("string").alias("id"), "level", "title", F.expr(f"cast(array(struct('a' as id, 'b' as english, null as chinese)) as {library.SENTENCES})").alias("sentences")), most=10**12)
-    return v.select(F.col("id").cast("bigint").alias("row_id"), "problem")
+    """Everything that a lesson would be refused for, also its sentences, which the SQL leaves out."""
+    lessons = lib.select("row_id", "id", "level", "title", library.parsed_sentences(F.col("sentences_json")).alias("sentences"))
+    return library.violations(lessons, most=10**12, keep=("row_id",)).select("row_id", "problem")
 
 
 @query("sentences", "course_library")

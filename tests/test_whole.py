@@ -4,6 +4,7 @@ import random
 import re
 import unicodedata
 
+import duckdb
 import pandas as pd
 import pytest
 
@@ -72,3 +73,13 @@ def test_every_lesson_of_a_title_has_an_outcome(spark):
         got = f(*tables).collect()
         assert {(r.block, r.left_id.split("/")[0]): r.outcome for r in got} == expected and len(got) == 7
         assert {r.right_id for r in got if r.left_id.startswith("L6")} == {"X-A-3/one dog"}
+
+
+def test_import_checks_ids_and_sentences(spark):
+    good = '[{"id": "s", "english": "A cat.", "chinese": ""}]'
+    data = [(1, "a", "A", "T", good), (2, " ", "A", "T", good), (3, None, None, "", '{"sentences": ' + good + "}"), (4, "a", "A", "T", None), (5, "a", "A", "T", "[{"), (6, "a", "A", "T", "[]"), (7, "a", "A", "T", '{"x": 1}'), (8, "a", "A", "T", '[{"id": "s", "english": " "}]'), (9, "a", "A", "T", '[{"english": "A cat."}]')]
+    lib = spark.createDataFrame(data, "row_id bigint, id string, level string, title string, sentences_json string")
+    got = sorted((r.row_id, r.problem) for r in reference.import_violations(lib).collect())
+    assert got == [(2, "id"), (3, "id"), (3, "level"), (3, "title"), *[(i, "sentences") for i in (4, 5, 6, 7)], (8, "english"), (9, "english")]
+    course_library = pd.DataFrame(data, columns=lib.columns)  # noqa: F841
+    assert sorted(duckdb.sql(reference.SQL["import_violations"]).fetchall()) == [x for x in got if x[1] in ("id", "level", "title")]
