@@ -6,7 +6,7 @@
 2. Broken words. A word broken at a line's or page's end is put together unless the corpus spells it with a hyphen.
 3. Skip-gram vectors. Counts of words with their neighbours (two on either side, neighbours hashed into buckets) over the
    whole corpus, as positive pointwise mutual information: the matrix that skip-gram training with negative samples
-   factorises. They cover the ``WORDS`` most frequent words, which bounds what every task gets.
+   factorises. They cover every word of ``LEAST`` occurrences. What every task gets grows with the number of these words.
 4. Links. A rare word is linked to a far more frequent one that differs by plausible glyph edits only and, if both have
    vectors, is used alike; an unseen word to the one that fits its neighbours best. Names, which are too rare for that,
    are judged by the letters that follow one another in names, and by the other reading of the page.
@@ -28,14 +28,14 @@ from pyspark.sql import functions as F
 
 from lexiloom.session import cut, join_small
 
-#: Most words that have a vector, fewest occurrences of such a word, buckets of neighbours.
-WORDS, LEAST, BUCKETS = 50_000, 5, 64
+#: Fewest occurrences of a word that is kept and has a vector, buckets of neighbours.
+LEAST, BUCKETS = 5, 64
 #: A link leads to a word at least so many times as frequent, used alike at least to this cosine.
 RATIO, ALIKE = 15, 0.3
 #: Pages of a book, or books, on which a line at the edge must come again to be a header.
 PAGES, BOOKS = 2, 5
-#: Letter sequences of names that are kept, and the gain in log likelihood at which a name counts as misread.
-TRIGRAMS, GAIN = 50_000, 4.0
+#: The gain in log likelihood at which a name counts as misread.
+GAIN = 4.0
 
 #: What is misread for what, wrong form first.
 MISREAD = [
@@ -365,7 +365,7 @@ def _model(placed: DataFrame) -> Model:
     spark = placed.sparkSession
     narrow = placed.select("kind", "a", "b", "furn_a", "furn_b")
     vocabulary = cut(narrow.mapInArrow(_counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
-    top = vocabulary.filter((F.col("n") >= LEAST) & (F.length("word") <= 40)).orderBy(F.desc("n"), "word").limit(WORDS).collect()
+    top = vocabulary.filter(F.col("n") >= LEAST).orderBy(F.desc("n"), "word").collect()
     shared = spark.sparkContext.broadcast({r[0]: i for i, r in enumerate(top)})
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,7 +402,7 @@ def _model(placed: DataFrame) -> Model:
 
     cells = narrow.mapInArrow(contexts, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
     matrix = np.zeros((len(top), BUCKETS), dtype=np.float32)
-    for part in cells.toArrow().to_batches() if len(top) else ():  # at most WORDS x BUCKETS numbers
+    for part in cells.toArrow().to_batches() if len(top) else ():  # at most BUCKETS numbers for each word
         flat = np.asarray(part.column("cell"))
         matrix[flat // BUCKETS, flat % BUCKETS] = np.asarray(part.column("n"))
     counts = {r[0]: r[1] for r in top}
@@ -419,7 +419,7 @@ def _model(placed: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["t", "n"])
 
     names = vocabulary.filter("length(word) between 4 and 40").select("word").mapInArrow(letters, "t string, n bigint").groupBy("t").agg(F.sum("n").alias("n"))
-    return Model(counts, {w: matrix[i] for i, w in enumerate(counts)}, {r[0]: r[1] for r in names.orderBy(F.desc("n"), "t").limit(TRIGRAMS).collect()})
+    return Model(counts, {w: matrix[i] for i, w in enumerate(counts)}, {r[0]: r[1] for r in names.orderBy(F.desc("n"), "t").collect()})
 
 
 def _judge(model: Model, text: str, furn, title: str | None, other: str | None, after: str | None, before: str | None, with_text: bool = True) -> tuple[list[int], list[int], str | None]:

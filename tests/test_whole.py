@@ -83,3 +83,18 @@ def test_import_checks_ids_and_sentences(spark):
     assert got == [(2, "id"), (3, "id"), (3, "level"), (3, "title"), *[(i, "sentences") for i in (4, 5, 6, 7)], (8, "english"), (9, "english")]
     course_library = pd.DataFrame(data, columns=lib.columns)  # noqa: F841
     assert sorted(duckdb.sql(reference.SQL["import_violations"]).fetchall()) == [x for x in got if x[1] in ("id", "level", "title")]
+
+
+def test_no_word_of_the_corpus_is_left_out(spark, monkeypatch):
+    scans = pytest.importorskip("lexiloom.llm.scans")
+    for cap in ("WORDS", "TRIGRAMS"):
+        monkeypatch.setattr(scans, cap, 20, raising=False)
+    plain = [f"{a}{b}{c}o" for a in "bdg" for b in "ae" for c in ("ck", "pp", "st", "ff", "ss")]
+    long = "x" + "ab" * 25
+    page = lambda i: (i, f"B{i}", 1, None, f"we saw {' '.join(plain)} today\nand a modern {'modem ' if i < 6 else ''}{long if i < 7 else ''} thing was there.", None)
+    ocr = spark.createDataFrame([page(i) for i in range(40)], "page_id bigint, lesson_id string, page int, title string, vision string, unlimited string")
+    rec = spark.createDataFrame([], "page_id bigint, lesson_id string, physical_page int, side string, text string")
+    lib = spark.createDataFrame([], "row_id bigint, id string, title string")
+    model = scans._model(scans.spread(scans.pages(ocr, rec, lib)))
+    assert {*plain, long, "modern", "modem"} <= model.counts.keys()
+    assert [r for r in scans.found(ocr, rec, lib).collect() if r.kind == "misread"] == []
