@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 
 from lexiloom.functions.fuzzy import _token_score
-from lexiloom.operators import catalog
+from lexiloom.operators import catalog, shards
 from lexiloom.plans import reference
 
 
@@ -98,3 +98,12 @@ def test_no_word_of_the_corpus_is_left_out(spark, monkeypatch):
     model = scans._model(scans.spread(scans.pages(ocr, rec, lib)))
     assert {*plain, long, "modern", "modem"} <= model.counts.keys()
     assert [r for r in scans.found(ocr, rec, lib).collect() if r.kind == "misread"] == []
+
+
+def test_shards_are_merged_over_official_results(spark):
+    events = spark.createDataFrame([(4, "a", "error"), (8, "a", "view"), (1, "a", "view"), (5, "b", "error"), (2, "c", "error")], "event_id bigint, user_id string, event_type string")
+    official, results = reference._shards(events)
+    assert sorted(map(tuple, official.collect())) == [("a", "complete", 1), ("b", "failed", 5), ("c", "failed", 2)]
+    merged = lambda r: sorted(map(tuple, shards.merged_results(official, r).collect()))
+    assert merged(results) == [("a", "complete", 1), ("b", "failed", 5), ("c", "failed", 2)]
+    assert merged(results.filter("shard = 0")) == [("a", "complete", 8), ("b", "failed", 5), ("c", "failed", 2)]
