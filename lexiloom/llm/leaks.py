@@ -23,16 +23,18 @@ _KIND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("begin_char
 
 
 class Grams:
-    """The n-grams of some items, sorted by hash; ``places`` has (item, word) of each."""
+    """The n-grams of some items, sorted by hash; ``places`` has (text, word) of each, ``items`` the item of each text.
+
+    An item may have several texts.
+    """
 
     def __init__(self, items: list[tuple[int, str]], n: int):
-        self.n, self.texts, hashes = n, {}, Hashes()
+        self.n, self.items, self.texts, hashes = n, [item for item, _ in items], [words(text) for _, text in items], Hashes()
         keys, places = [], []
-        for item, text in items:
-            own = self.texts[item] = words(text)
+        for t, own in enumerate(self.texts):
             h = rolling(np.fromiter((hashes[w] for w in own), dtype=np.uint64, count=len(own)), n)
             keys.append(h)
-            places += [(item, k) for k in range(len(h))]
+            places += [(t, k) for k in range(len(h))]
         flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         order = np.argsort(flat, kind="stable")
         self.keys, self.places = flat[order], [places[i] for i in order.tolist()]
@@ -46,9 +48,9 @@ class Grams:
         for i in np.asarray(at).tolist():
             k = int(lo[i])
             while k < len(self.keys) and self.keys[k] == h[i]:
-                item, p = self.places[k]
-                if self.texts[item][p : p + self.n] == own[i : i + self.n]:
-                    starts = out.setdefault(item, [])
+                t, p = self.places[k]
+                if self.texts[t][p : p + self.n] == own[i : i + self.n]:
+                    starts = out.setdefault(self.items[t], [])
                     if not starts or starts[-1] != i:
                         starts.append(i)
                 k += 1

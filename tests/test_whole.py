@@ -107,3 +107,16 @@ def test_shards_are_merged_over_official_results(spark):
     merged = lambda r: sorted(map(tuple, shards.merged_results(official, r).collect()))
     assert merged(results) == [("a", "complete", 1), ("b", "failed", 5), ("c", "failed", 2)]
     assert merged(results.filter("shard = 0")) == [("a", "complete", 8), ("b", "failed", 5), ("c", "failed", 2)]
+
+
+def test_an_item_with_several_texts_leaks_by_each(spark):
+    leaks = pytest.importorskip("lexiloom.llm.leaks")
+    a, b = (" ".join(f"{c}{i}" for i in range(14)) for c in "ab")
+    items = spark.createDataFrame([(1, "x", a), (1, "x", b), (1, "x", a), (2, "x", "short")], "item_id bigint, split_name string, text string")
+    docs = spark.createDataFrame([(1, f"so {a} end"), (2, f"so {b} end"), (3, f"{b} {a}"), (4, "none")], "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.item_id, r.n_words, r.begin_char, r.end_char) for r in leaks.leaks(docs, items).collect())
+    n = len(a)
+    assert got == [(1, 1, 14, 3, 3 + n), (2, 1, 14, 3, 3 + n), (3, 1, 28, 0, 2 * n + 1)]
+    assert sorted(map(tuple, leaks.found(docs, items).collect())) == [(1, 1), (2, 1), (3, 1)]
+    assert {(r.item_id, r.n_documents) for r in leaks.leaked_items(docs, items).collect()} == {(1, 3), (2, 0)}
+    assert {r.doc_id: r.dropped for r in leaks.cleaned(docs, items).collect()} == {1: True, 2: True, 3: True, 4: False}
