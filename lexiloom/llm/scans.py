@@ -5,8 +5,8 @@
    header is still found.
 2. Broken words. A word broken at a line's or page's end is put together unless the corpus spells it with a hyphen.
 3. Skip-gram vectors. Counts of words with their neighbours (two on either side, neighbours hashed into buckets) over the
-   whole corpus, as positive pointwise mutual information: the matrix that skip-gram training with negative samples
-   factorises. They cover every word of ``LEAST`` occurrences. What every task gets grows with the number of these words.
+   whole corpus, as pointwise mutual information: a coarse form of the matrix that skip-gram training with negative samples
+   factorises. Among these words vectors only veto links; a rarer word has none. They cover every word of ``LEAST`` occurrences. What every task gets grows with the number of these words.
 4. Links. A rare word is linked to a far more frequent one that differs by plausible glyph edits only and, if both have
    vectors, is used alike; an unseen word to the one that fits its neighbours best. Names, which are too rare for that,
    are judged by the letters that follow one another in names, and by the other reading of the page.
