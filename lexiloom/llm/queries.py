@@ -23,6 +23,7 @@ QUERIES = {
     "p4_sources": _over(truncation.by_source, "sentences"),
     "p4_limits": _over(lambda df: truncation.limits(truncation.judged(df)), "sentences"),
     "p5_found": _looks(lookalikes.pairs),
+    "p5_classes": _looks(lookalikes.classes),
     "p5_canonical": _looks(lambda df: lookalikes.forms(df)),
     "p6_found": _over(boundaries.found, "sentences"),
     "p6_units": _over(boundaries.units, "sentences"),
@@ -51,24 +52,34 @@ def _grams(table: str, key: str, n: int) -> str:
 _LEAKS = f"SELECT DISTINCT doc_id, item_id FROM ({_grams('documents', 'doc_id', 12)}) d JOIN ({_grams('eval_items', 'item_id', 12)}) e USING (g)"
 
 
+#: Letters and the Latin letters they look like, as the Unicode tables of confusable characters have them.
+_CONFUSABLE = {
+    "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X",
+    "а": "a", "с": "c", "е": "e", "һ": "h", "і": "i", "ј": "j", "о": "o", "р": "p", "ѕ": "s", "у": "y", "х": "x", "ԁ": "d", "ԛ": "q", "ԝ": "w",
+    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
+    "α": "a", "ν": "v", "ι": "i", "ο": "o", "ρ": "p", "υ": "u", "χ": "x", "‐": "-", "‑": "-", "﹣": "-", "－": "-",
+}
+
+
 def _looks_sql() -> str:
-    """Pairs by a key in which every look-alike is folded, made with plain string functions."""
+    """``f, row_id, x, key``: a key in which every look-alike is folded, whatever its word, made with plain string functions."""
     wide, narrow = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))
-    pairs = {**dict(zip(wide, narrow)), **lookalikes.TO_LATIN, **dict.fromkeys(lookalikes.HYPHENS, "-"), "ё": "ë", "Ё": "Ë", "ї": "ï", "Ї": "Ï"}
+    pairs = {**dict(zip(wide, narrow)), **_CONFUSABLE, "ё": "ë", "Ё": "Ë", "ї": "ï", "Ї": "Ï"}
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     # translate() sees a doubled quote as one character
     fold = f"translate(x, {quoted(''.join(pairs))}, {quoted(''.join(pairs.values()))})"
     for code in range(0xFB00, 0xFB05):
         fold = f"replace({fold}, chr({code}), '{unicodedata.normalize('NFKC', chr(code))}')"
     unseen = r"[\x{00AD}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}\x{034F}\x{FE00}-\x{FE0F}\x00-\x08\x0E-\x1B\x7F]"
-    blank = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+    blank = r"[\x{00A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
     key = f"nfc_normalize(regexp_replace(regexp_replace({fold}, '{unseen}', '', 'g'), '{blank}', ' ', 'g'))"
     rows = "SELECT 'sentences.english' AS f, row_id, english AS x FROM sentences WHERE english IS NOT NULL UNION ALL SELECT 'course_library.title', row_id, title FROM course_library WHERE title IS NOT NULL"
-    return f"WITH k AS (SELECT f, row_id, x, {key} AS key FROM ({rows})) SELECT a.f AS field_name, a.row_id AS row_id_a, b.row_id AS row_id_b FROM k a JOIN k b ON a.f = b.f AND a.key = b.key AND a.row_id < b.row_id AND a.x <> b.x"
+    return f"SELECT f, row_id, x, {key} AS key FROM ({rows})"
 
 
 SQL: dict[str, str] = {
-    "p5_found": _looks_sql(),
+    "p5_found": f"WITH k AS ({_looks_sql()}) SELECT a.f AS field_name, a.row_id AS row_id_a, b.row_id AS row_id_b FROM k a JOIN k b ON a.f = b.f AND a.key = b.key AND a.row_id < b.row_id AND a.x <> b.x",
+    "p5_classes": f"WITH k AS ({_looks_sql()}), g AS (SELECT f, key, min(row_id) AS class_id, count(DISTINCT x)::BIGINT AS n_spellings FROM k GROUP BY 1, 2) SELECT f AS field_name, row_id, class_id, n_spellings FROM k JOIN g USING (f, key) WHERE n_spellings > 1",
     "p7_found": f"SELECT first AS row_id_a, row_id AS row_id_b FROM ({_GROUPS}) WHERE row_id <> first",
     "p9_found": _LEAKS,
     "p9_items": f"SELECT item_id, split_name, coalesce(n, 0)::BIGINT AS n_documents FROM eval_items LEFT JOIN (SELECT item_id, count(*) AS n FROM ({_LEAKS}) GROUP BY 1) USING (item_id)",
