@@ -21,6 +21,7 @@ QUERIES = {
     "p2_clean": _over(scans.clean, "ocr_pages", "page_records", "course_library"),
     "p4_found": _over(truncation.found, "sentences"),
     "p4_sources": _over(truncation.by_source, "sentences"),
+    "p4_lengths": _over(lambda df: truncation.lengths(truncation.judged(df)).select("source_name", "unit", "length", "n", "at_risk"), "sentences"),
     "p4_limits": _over(lambda df: truncation.limits(truncation.judged(df)), "sentences"),
     "p5_found": _looks(lookalikes.pairs),
     "p5_classes": _looks(lookalikes.classes),
@@ -80,6 +81,9 @@ def _looks_sql() -> str:
 SQL: dict[str, str] = {
     "p5_found": f"WITH k AS ({_looks_sql()}) SELECT a.f AS field_name, a.row_id AS row_id_a, b.row_id AS row_id_b FROM k a JOIN k b ON a.f = b.f AND a.key = b.key AND a.row_id < b.row_id AND a.x <> b.x",
     "p5_classes": f"WITH k AS ({_looks_sql()}), g AS (SELECT f, key, min(row_id) AS class_id, count(DISTINCT x)::BIGINT AS n_spellings FROM k GROUP BY 1, 2) SELECT f AS field_name, row_id, class_id, n_spellings FROM k JOIN g USING (f, key) WHERE n_spellings > 1",
+    "p4_lengths": """WITH n AS (SELECT source_name, unit, CASE unit WHEN 'chars' THEN length(english) ELSE strlen(english) END::INTEGER AS length, count(*) AS n
+FROM sentences CROSS JOIN (SELECT unnest(['chars', 'bytes']) AS unit) WHERE english IS NOT NULL GROUP BY ALL)
+SELECT source_name, unit, length, n::BIGINT AS n, (sum(n) OVER (PARTITION BY source_name, unit ORDER BY length DESC))::BIGINT AS at_risk FROM n""",
     "p7_found": f"SELECT first AS row_id_a, row_id AS row_id_b FROM ({_GROUPS}) WHERE row_id <> first",
     "p9_found": _LEAKS,
     "p9_items": f"SELECT item_id, split_name, coalesce(n, 0)::BIGINT AS n_documents FROM eval_items LEFT JOIN (SELECT item_id, count(*) AS n FROM ({_LEAKS}) GROUP BY 1) USING (item_id)",

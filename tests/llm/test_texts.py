@@ -87,6 +87,7 @@ SPLIT = [
     "“No!” cried Tom, and ran.| “Stop!” Tom shouted near it.| “It is lost.”| It cost much.", 'Ann said, "It is late."| It was.| "Is it?" asked Tom.| (Tom never came.)| He did.', "Wait... is that it?| She waited...| Then she left.", "Tom (how odd!) came.|Ann left.",
     "Who did it?!| Tom.", "小猫来了。|“快看！”小狗大声说。|老师问：“在哪里？”|谁来了？|他想了想……又走了。", "猫が来た。|鳥は「行こう！」と言いました。|犬も来た！", "लड़की आई।| बिल्ली गई।",
     "وجد القط حجرا؟| رسم الولد.", "Кот пришёл.| Рыба ушла!", "แมวมา| นกไป 3 ใบ| เด็กมา", "no mark\n\n|next part", "¿Quién vino?| ¡Mira!| Sí.", "Saved a.txt in version 6.1.6.| On Aug. 7 Tom left.| It was Tom vs. Ann.", "第一句。| Did Sefa see it?| 好！",
+    "„Komm!“ sagte er.| Sie kam.| „Ja.“| Er ging.", "»Komm!« rief er.| Ja.| «Viens!»| Il vint.", "‚Nein.‘| Dann ging er.", "“No.”| “Yes.”| He left.", "The U.S. Army came to see J.K.Row.| Yes.", "I saw " + "y" * 30 + ".| Now.",
 ]
 
 
@@ -104,6 +105,22 @@ def test_chunks_of_a_long_text():
     assert boundaries.starts(["", text, "A b. C"]) == [[], [11 * i for i in range(1, 50_000)], [5]]
 
 
+def test_words_are_learnt_from_the_corpus(spark):
+    """Titles and verbs of speaking that no list has; names that end sentences aren't taken for titles."""
+    names = ["Reyes", "Orlov", "Tanaka", "Brandt"]
+    texts = [f"Yesterday Supt. {n} came to Keld. It rained in Keld." for n in names * 3] + [f'"It rains," {n} grumbled. "Stop!" {n} ran on.' for n in names * 3] + [f"{n} grumbled, “Come here.”" for n in names] + [f"It is near Pelo. {x} ran." for x in ("She", "He", "They")] * 2 + ["And she ran, but he and they ran on."] * 9
+    df = sentences(spark, [(t, None) for t in texts])
+    words = boundaries.learnt(df)
+    assert words.names - boundaries.BEFORE_NAME == {"supt"} and words.verbs - set(boundaries.SPEAKING) == {"grumbled"}
+    got = {r.row_id: r.starts for r in boundaries.marked(sentences(spark, [*[(t, None) for t in texts], ('“Go!” Reyes grumbled. “Go!” Reyes ran. Supt. Orlov sat.', None)])).collect()}
+    assert got[0] == [texts[0].index("It")] and got[len(texts)] == [22, 28, 39]
+    assert boundaries.learnt(df.limit(0)).names == boundaries.BEFORE_NAME
+
+
+def test_many_stops_in_one_word_cost_no_more():
+    assert boundaries.starts(["a." * 300_000]) == [[]]
+
+
 def test_units(spark):
     texts = ["One. Two!", None, "", "  ", "no mark", "猫。 狗。"]
     df = sentences(spark, [(t, None) for t in texts])
@@ -158,13 +175,17 @@ def test_limits_and_cuts(spark):
     found = {x for x in got if x < 3600}
     assert len(found & truth) >= 0.97 * len(truth) and len(found - truth) <= 0.02 * len(truth)
     shares = {r.source_name: r for r in truncation.by_source(df).collect()}
-    assert shares["short"].cut_share > 0.5 and None in shares
+    assert shares["short"].cut_share > 0.5 and None in shares and all(r.n_cut == r.n_limit + r.n_transfer and (r.transfer_error or 0) < 0.01 for r in shares.values())
+    how = {r.row_id: r.how for r in truncation.cuts(df).collect()}
+    assert {how[x] for x in found & truth} == {"limit"} and how[cut] == "transfer" and how[cut - 1] is None
+    assert {r.length: (r.n, r.at_risk) for r in truncation.lengths(truncation.judged(df.filter("source_name is null"))).filter("unit = 'bytes'").collect()} == {15: (1, 2), 200_001: (1, 1)}
     assert truncation.found(df.limit(0)).count() == 0
 
 
 def test_endings():
     e = truncation.ending
     assert e("A cat.")[:3] == ("mark", None, False) and e("“No!")[2] and e("Dr.")[2] and e("It cost 14.")[1] == "0" and e("the cat ")[2] and e("  ")[0] == "blank" and e("off—")[0] == "dash" and e("When it rained,")[2]
+    assert truncation._last("a b " + "x" * 5000 + "” ") == "x" * 5000 and truncation._last("b." * 300 + "c,") == "b." * 300 + "c" and truncation._last(" ,") == ""
     assert e("About the Cat")[3] and not e("About the cat")[3] and e("I saw the ca…")[0] == "dots"
 
 
