@@ -30,6 +30,32 @@ def flipped(low: Column, high: Column, size: Column | float) -> tuple[Column, Co
     return s - high, s - low
 
 
+def turned(text: Column) -> Column:
+    """The letters of a line after half a turn of the page, read from left to right."""
+    return F.reverse(text)
+
+
+def padded(start: Column, end: Column, before: float, after: float, duration: Column | None = None) -> tuple[Column, Column]:
+    """An interval with some more on either side, within the recording."""
+    last = end + after
+    return F.greatest(F.lit(0.0), start - before), last if duration is None else F.least(duration, last)
+
+
+def taken_out(c: Column, key: Column) -> Column:
+    """A map without one key."""
+    return F.map_filter(c, lambda k, _: k != key)
+
+
+def distinct_in_order(array: Column) -> Column:
+    """The elements of an array, each at its first place."""
+    return F.array_distinct(array)
+
+
+def within(text: Column, least: int, most: int) -> Column:
+    """Whether a text has a length between two bounds; null has none."""
+    return F.coalesce(F.length(text).between(least, most), F.lit(False))
+
+
 def quadrant(x0: Column, y0: Column, x1: Column, y1: Column, half: float = 500) -> Column:
     """0 to 3, row by row, by the middle of a box."""
     return F.when((y0 + y1) / 2 < half, 0).otherwise(2) + F.when((x0 + x1) / 2 < half, 0).otherwise(1)

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexiloom.functions.fuzzy import ratio
+from lexiloom.operators.shards import pending, upserted
 
 #: Fixed values of the alignment: substitution per missing similarity and at most, doubt, insertion, deletion, least match.
 WEIGHT, UNLIKE, DOUBT, INSERT, DELETE, MATCH = 1.25, 1.15, 0.04, 0.82, 1.0, 0.5
@@ -97,26 +98,47 @@ def unanchored(found: DataFrame) -> DataFrame:
     return found.groupBy("key").agg(F.count(F.lit(1)).alias("sentences"), F.sort_array(F.collect_list(F.when(F.col("first").isNull(), F.col("pos")))).alias("missing"), F.bool_and(F.col("first").isNotNull()).alias("recovered"))
 
 
+#: Cells of time into which silences and anchors are sorted are at least this wide, in seconds.
+CELL = 1.0
+
+
+def _near(found: DataFrame, silences: DataFrame, first: Column, last: Column, reach: float) -> DataFrame:
+    """``found`` with each silence of its key that may lie within ``reach`` of it, by cells of time: one recording with any
+    number of anchors and silences is spread over its cells. ``silences``: ``key, s_start, s_end, mid``; only the middle counts.
+    """
+    width = F.lit(max(CELL, 2 * reach))
+    cells = F.sequence(F.floor((first - reach) / width), F.floor((last + reach) / width))
+    left = found.withColumn("_cell", F.explode(cells))
+    return left.join(silences.withColumn("_cell", F.floor(F.col("mid") / width)), ["key", "_cell"], "left").drop("_cell")
+
+
+def _long(silences: DataFrame, least: float) -> DataFrame:
+    return silences.filter(F.col("s_end") - F.col("s_start") >= least).select("key", "s_start", "s_end", ((F.col("s_start") + F.col("s_end")) / 2).alias("mid"))
+
+
 def snapped(found: DataFrame, silences: DataFrame, duration: Column | None = None, window: float = 2.0) -> DataFrame:
     """``key, pos, first, last, start, end``: each anchor widened to the middle of the silence next to it, or by a little.
 
-    ``silences``: ``key, s_start, s_end``. The equality on the key makes it a hash join with a range as its rest; of each anchor's
-    silences only the nearest on either side are kept, by aggregation. The range reaches ``window``, but never beyond 0.45 s.
+    ``silences``: ``key, s_start, s_end``. Anchors meet silences by key and cell of time; of each anchor's silences only the nearest
+    on either side are kept, by aggregation. The range reaches ``window``, but never beyond 0.45 s.
     """
     reach = min(window, SNAP)
-    s = silences.filter(F.col("s_end") - F.col("s_start") >= SILENCE).select("key", "s_start", "s_end", ((F.col("s_start") + F.col("s_end")) / 2).alias("mid"))
-    j = found.filter("first is not null").join(s, "key", "left")
+    f = found.filter("first is not null")
     before = (F.col("s_end") <= F.col("first") + SLACK) & (F.col("first") - F.col("mid") <= reach)
     after = (F.col("s_start") >= F.col("last") - SLACK) & (F.col("mid") - F.col("last") <= reach)
+    # the middle of a silence before an anchor lies within reach of its begin, or a little behind it
+    ends = f.select("key", "pos", "first", "last", F.explode(F.array(F.col("first"), F.col("last"))).alias("_at"))
+    j = _near(ends, _long(silences, SILENCE), F.col("_at"), F.col("_at"), reach + SLACK)
     top = duration if duration is not None else F.lit(float("inf"))
     g = j.groupBy("key", "pos", "first", "last").agg(F.max(F.when(before, F.col("mid"))).alias("a"), F.min(F.when(after, F.col("mid"))).alias("b"))
     return g.select("key", "pos", "first", "last", F.greatest(F.lit(0.0), F.coalesce("a", F.col("first") - LEAD_IN)).alias("start"), F.least(top, F.coalesce("b", F.col("last") + LEAD_OUT)).alias("end"))
 
 
-def nearest_silence(target: Column, start: Column, end: Column, least: float = SILENCE, window: float = 2.0) -> Column:
-    """An aggregate: the middle of the nearest silence that is long and near enough; null if there is none."""
-    mid = (start + end) / 2
-    return F.min_by(F.when((end - start >= least) & (F.abs(mid - target) <= window), mid), F.when((end - start >= least) & (F.abs(mid - target) <= window), F.abs(mid - target)))
+def nearest(targets: DataFrame, silences: DataFrame, least: float = SILENCE, window: float = 2.0) -> DataFrame:
+    """``key, pos, t, mid``: the middle of the nearest silence that is long and near enough; targets without one give no row."""
+    j = _near(targets.select("key", "pos", "t"), _long(silences, least), F.col("t"), F.col("t"), window)
+    away = F.abs(F.col("mid") - F.col("t"))
+    return j.filter(away <= window).groupBy("key", "pos", "t").agg(F.min_by("mid", F.struct(away, F.col("mid"))).alias("mid"))
 
 
 def without_overlaps(ranges: DataFrame) -> DataFrame:
@@ -140,3 +162,15 @@ def shifted(windows: DataFrame, offset: Column) -> DataFrame:
     """Times within a window as times of the whole recording, and how far they moved from the rough ones."""
     out = windows.withColumns({"source_start": offset + F.col("start"), "source_end": offset + F.col("end")})
     return out.withColumns({"drift_start": F.col("source_start") - F.col("coarse_start"), "drift_end": F.col("source_end") - F.col("coarse_end")})
+
+
+def refined(windows: DataFrame, risky: DataFrame, done: DataFrame, offset: str) -> DataFrame:
+    """The table of refined windows after one more round: of the ``risky`` ids that aren't in ``done`` yet, the windows as times of
+    the whole recording, marked ``fresh``, beside what was there; a window that comes again replaces the old one.
+
+    ``windows``: ``id``, ``offset``, ``start, end, coarse_start, coarse_end``; ``done`` as the result: ``id, source_start, source_end,
+    drift_start, drift_end, fresh``. A second round over the same input adds nothing.
+    """
+    todo = pending(windows.join(risky.select("id").distinct(), "id", "left_semi"), done, ["id"])
+    new = shifted(todo, F.col(offset)).select("id", "source_start", "source_end", "drift_start", "drift_end", F.lit(True).alias("fresh"))
+    return upserted(done, new, ["id"])

@@ -8,12 +8,12 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as X
 from lexiloom.functions.fuzzy import dice
+from lexiloom.operators.ranking import top_per_group
 from lexiloom.session import cut, join_small
 
 #: Least score, least margin, score that needs no margin.
@@ -226,10 +226,3 @@ def level_summary(**sources: DataFrame) -> DataFrame:
         counts = df.groupBy("level").agg(F.count(F.lit(1)).alias(name))
         out = counts if out is None else out.join(counts, "level", "full")
     return out.na.fill(0)
-
-
-def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int, salts: int = 16) -> DataFrame:
-    """The first ``k`` rows of each group by ``order``. Rows are thinned out in parts of each group first, so a hot group is spread."""
-    part = df.withColumn("_salt", F.pmod(F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")]), F.lit(salts)))
-    few = part.withColumn("_n", F.row_number().over(W.partitionBy(*group, "_salt").orderBy(*order))).filter(F.col("_n") <= k)
-    return few.withColumn("_n", F.row_number().over(W.partitionBy(*group).orderBy(*order))).filter(F.col("_n") <= k).drop("_n", "_salt")

@@ -48,6 +48,16 @@ def contaminated(scored: DataFrame, least: float = 0.72) -> DataFrame:
     return scored.withColumn("contaminated", bad).withColumn("passed", (F.col("score") >= least) & ~bad)
 
 
+def strict(heard: DataFrame) -> DataFrame:
+    """``exact``: whether the words heard are the words expected, blanks, marks and case aside; an empty sentence never passes.
+
+    ``heard``: ``expected, heard`` as texts; null is unlike anything.
+    """
+    a, b = (F.regexp_replace(F.lower(c), "[^a-z0-9]", "") for c in ("expected", "heard"))
+    exact = F.coalesce(a == b, F.lit(False))
+    return heard.withColumn("exact", exact).withColumn("passed", exact & (F.coalesce(a, F.lit("")) != ""))
+
+
 def split_by_gate(df: DataFrame, gate: str = "passed") -> tuple[DataFrame, DataFrame]:
     """Accepted and rejected rows; a null gate rejects."""
     ok = F.coalesce(F.col(gate), F.lit(False))

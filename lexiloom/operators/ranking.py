@@ -85,13 +85,48 @@ def running_sum(df: DataFrame, group: list[str], order: list[Column | str], valu
 
 
 def neighbours(df: DataFrame, group: list[str], order: list[Column | str], columns: list[str]) -> DataFrame:
-    """``df`` with ``previous_x`` and ``next_x`` of each of ``columns``, for groups of any size: joined by number, not by window."""
-    n = cut(numbered(df, group, order, "_row"))
-    out = n
-    for name, step in (("previous", 1), ("next", -1)):
-        side = n.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], (F.col("_row") + step).alias("_r"), *[F.col(c).alias(f"{name}_{c}") for c in columns])
-        on = F.col("_row") == F.col("_r")
-        for i, g in enumerate(group):
-            on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-        out = out.join(side, on, "left").drop("_r", *[f"_g{i}" for i in range(len(group))])
-    return out.drop("_row")
+    """``df`` with ``previous_x`` and ``next_x`` of each of ``columns``, for groups of any size.
+
+    Rows are sorted over all tasks; inside a task neighbours come from a window, and only the first and last row of each group in each
+    task look at the border rows of the tasks beside it.
+    """
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    placed = df.repartitionByRange(*[F.col(g) for g in group], *keys).withColumn("_part", F.spark_partition_id())
+    w = W.partitionBy("_part", *group).orderBy(*keys)
+    values = F.struct(*columns)
+    placed = cut(placed.withColumns({"_v": values, "_prev": F.lag(values).over(w), "_next": F.lead(values).over(w), "_i": F.row_number().over(w)}))
+    edges = placed.groupBy("_part", *group).agg(F.min_by("_v", "_i").alias("_first"), F.max_by("_v", "_i").alias("_last"))
+    beside = W.partitionBy(*group).orderBy("_part")
+    border = edges.select(F.col("_part").alias("_p"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.lag("_last").over(beside).alias("_before"), F.lead("_first").over(beside).alias("_behind"))
+    if fits_broadcast(border):
+        border = F.broadcast(border)
+    on = F.col("_part") == F.col("_p")
+    for i, g in enumerate(group):
+        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    out = placed.join(border, on)
+    before, behind = F.coalesce("_prev", "_before"), F.coalesce("_next", "_behind")
+    out = out.withColumns({f"previous_{c}": before[c] for c in columns} | {f"next_{c}": behind[c] for c in columns})
+    return out.drop("_part", "_v", "_prev", "_next", "_i", "_p", "_before", "_behind", *[f"_g{i}" for i in range(len(group))])
+
+
+def last_seen(df: DataFrame, group: list[str], order: list[Column | str], column: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the last value of ``column`` that isn't null up to and with each row of its group, groups of any size."""
+    columns = [F.col(c) if isinstance(c, str) else c for c in [*group, *order]]
+    placed = df.repartitionByRange(*columns).withColumn("_part", F.spark_partition_id())
+    w = W.partitionBy("_part", *group).orderBy(*[F.col(c) if isinstance(c, str) else c for c in order])
+    own = w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = cut(placed.withColumns({"_s": F.last(column, ignorenulls=True).over(own), "_i": F.row_number().over(w)}))
+    parts = placed.groupBy("_part", *group).agg(F.max_by("_s", "_i").alias("_n"))
+    before = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    shift = parts.select(F.col("_part").alias("_p"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.last("_n", ignorenulls=True).over(before).alias("_shift"))
+    on = F.col("_part") == F.col("_p")
+    for i, g in enumerate(group):
+        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return placed.join(shift, on).withColumn(name, F.coalesce("_s", "_shift")).drop("_part", "_s", "_i", "_p", "_shift", *[f"_g{i}" for i in range(len(group))])
+
+
+def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int, salts: int = 16) -> DataFrame:
+    """The first ``k`` rows of each group by ``order``. Rows are thinned out in parts of each group first, so a hot group is spread."""
+    part = df.withColumn("_salt", F.pmod(F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")]), F.lit(salts)))
+    few = part.withColumn("_n", F.row_number().over(W.partitionBy(*group, "_salt").orderBy(*order))).filter(F.col("_n") <= k)
+    return few.withColumn("_n", F.row_number().over(W.partitionBy(*group).orderBy(*order))).filter(F.col("_n") <= k).drop("_n", "_salt")

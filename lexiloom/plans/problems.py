@@ -80,9 +80,22 @@ def _sql_child(child: str, query: str) -> str:
     return f"SELECT row_id, item, CASE WHEN contains(item, '/') THEN regexp_replace(item, '/[0-9]+$', '') END AS parent_item, regexp_extract(item, '[0-9]+$')::INTEGER AS ordinal, NULL::VARCHAR AS name, {typed} FROM ({query})"
 
 
+def _sql_progress() -> str:
+    """Entries of an object: the member's name is the record's, its place among the members its ordinal; null entries don't come out."""
+    keys = "SELECT row_id, unnest(json_keys(state_json, '$.progress')) AS name, generate_subscripts(json_keys(state_json, '$.progress'), 1) - 1 AS ordinal, json_extract(state_json, '$.progress') AS p FROM student_learning_state WHERE json_valid(state_json) AND json_type(json_extract(state_json, '$.progress')) = 'OBJECT'"
+    value = lambda m, t: f"try_cast(json_extract_string(p, '$.\"' || name || '\".{m}') AS {t})"
+    return f"SELECT row_id, ordinal::VARCHAR AS item, NULL::VARCHAR AS parent_item, ordinal::INTEGER AS ordinal, name, {value('completed', 'INTEGER')} AS completed, {value('total', 'INTEGER')} AS total, {value('updatedAt', 'BIGINT')} AS updated_at FROM ({keys})"
+
+
 SQL: dict[str, str] = {
     "p1_found": _sql_csv() + "SELECT row_id, reason FROM r WHERE reason IS NOT NULL",
     "p1_reasons": _sql_csv() + "SELECT coalesce(reason, 'loaded') AS outcome, count(*)::BIGINT AS n FROM r GROUP BY 1",
     "p3_found": " UNION ALL ".join(f"SELECT '{c}' AS child, row_id, item FROM ({q})" for c, q in _sql_children().items()),
     "p1_loaded": _sql_csv() + "SELECT row_id, file_name, record_no, l AS level, i AS lesson_id, coalesce(title, '') AS title, coalesce(title_zh, '') AS title_zh, coalesce(nullif(sid, ''), i || '-' || record_no) AS sentence_id, e AS english, coalesce(chinese, '') AS chinese FROM r WHERE reason IS NULL",
-} | {f"p3_{c}": _sql_child(c, q) for c, q in _sql_children().items() if c in ("sentence", "word", "note", "reviewer", "study_day")}
+} | {f"p3_{c}": _sql_child(c, q) for c, q in _sql_children().items() if c != "progress"} | {"p3_progress": _sql_progress()}
+
+
+_CSV_GOOD = _sql_csv() + """, g AS (SELECT row_id, l AS level, i AS lesson_id, coalesce(title, '') AS title, coalesce(title_zh, '') AS title_zh, coalesce(nullif(sid, ''), i || '-' || record_no) AS sid, e AS english, coalesce(chinese, '') AS chinese FROM r WHERE reason IS NULL AND coalesce(title, '') <> '' AND e <> '')
+"""
+SQL["csv_lessons"] = _CSV_GOOD + "SELECT level, lesson_id, min(row_id) AS first_row, arg_min(title, row_id) AS title, arg_min(title_zh, row_id) AS title_zh, count(*)::BIGINT AS n_sentences FROM g GROUP BY 1, 2"
+SQL["csv_lesson_sentences"] = _CSV_GOOD + "SELECT level, lesson_id, row_number() OVER (PARTITION BY level, lesson_id ORDER BY row_id)::BIGINT AS position, sid AS id, english, chinese FROM g"

@@ -48,7 +48,24 @@ def _cut(x: str) -> str:
     return f"regexp_replace({x}, '({_MARKS})({_BLANK}*)\\x{{0002}}', '\\1' || chr(1) || '\\2', 'g')"
 
 
-_SPLIT = f"list_filter(list_transform(list_reverse(list_reverse(string_split({_cut('text || chr(2)')}, chr(1)))[2:]), lambda x: {_line('x')}), lambda x: regexp_matches(x, '[A-Za-z0-9]'))"
+_DOT = "chr(57344)"
+
+
+def _protected(x: str) -> str:
+    """Full stops of abbreviations, rows of initials and decimals as a stand-in; each pass takes the next one of a row."""
+    for a in X.ABBREVIATIONS:
+        x = f"replace({x}, '{a}', replace('{a}', '.', {_DOT}))"
+    for _ in range(6):
+        x = f"regexp_replace({x}, '\\b([A-Z])[.](\\s*(?:[A-Z][.]\\s*)+[A-Z][a-z])', '\\1' || {_DOT} || '\\2', 'g')"
+    x = f"regexp_replace({x}, '(\\x{{E000}}\\s*[A-Z])[.](\\s*[A-Z][a-z])', '\\1' || {_DOT} || '\\2', 'g')"
+    for _ in range(6):
+        x = f"regexp_replace({x}, '\\b([A-Z])[.]([A-Z][.])', '\\1' || {_DOT} || '\\2', 'g')"
+    for _ in range(2):
+        x = f"regexp_replace({x}, '([0-9])[.]([0-9])', '\\1' || {_DOT} || '\\2', 'g')"
+    return x
+
+
+_SPLIT = f"list_filter(list_transform(list_reverse(list_reverse(string_split({_cut(_protected('text') + ' || chr(2)')}, chr(1)))[2:]), lambda x: {_line(f"replace(x, {_DOT}, '.')")}), lambda x: regexp_matches(x, '[A-Za-z0-9]'))"
 _WORD_SQL = "[A-Za-z0-9]+(?:[’''][A-Za-z]+)*(?:-[A-Za-z0-9]+)*"
 
 
@@ -57,7 +74,7 @@ SELECT source, count(*)::BIGINT AS documents, sum(len(s))::BIGINT AS sentences,
   count(*) FILTER (WHERE len(s) = 0)::BIGINT AS without_sentence
 FROM (SELECT source, {_SPLIT} AS s FROM documents WHERE text IS NOT NULL) GROUP BY source""")
 def sentence_qa_summary(documents):
-    s = documents.filter("text is not null").select("source", X.split_sentences(F.col("text"), protect=False).alias("s"))
+    s = documents.filter("text is not null").select("source", X.split_sentences(F.col("text")).alias("s"))
     return s.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size("s")).alias("sentences"), F.sum(X.count_words(F.array_join("s", " "))).alias("words"), F.count_if(F.size("s") == 0).alias("without_sentence"))
 
 
@@ -65,18 +82,11 @@ def sentence_qa_summary(documents):
 SELECT doc_id, i::BIGINT AS seq, s[i] AS sentence, 'D' || doc_id || '-S' || lpad(i::VARCHAR, greatest(3, length(i::VARCHAR))::INTEGER, '0') AS sentence_id
 FROM (SELECT doc_id, s, unnest(generate_series(1, len(s))) AS i FROM (SELECT doc_id, {_SPLIT} AS s FROM documents WHERE text IS NOT NULL))""")
 def sentence_split(documents):
-    s = documents.filter("text is not null").select("doc_id", F.posexplode(X.split_sentences(F.col("text"), protect=False)).alias("i", "sentence"))
+    s = documents.filter("text is not null").select("doc_id", F.posexplode(X.split_sentences(F.col("text"))).alias("i", "sentence"))
     seq = (F.col("i") + 1).cast("bigint")
     return s.select("doc_id", seq.alias("seq"), "sentence", X.sentence_id(F.concat(F.lit("D"), F.col("doc_id")), seq).alias("sentence_id"))
 
 
-@query("documents")
-def sentence_split_protected(documents):
-    """As ``sentence_split`` with abbreviations, initials and decimals protected, which needs look-around."""
-    s = documents.filter("text is not null").select("doc_id", F.posexplode(X.split_sentences(F.col("text"))).alias("i", "sentence"))
-    return s.select("doc_id", (F.col("i") + 1).alias("seq"), "sentence")
-
-
 @query("documents", sql=f"""
 SELECT coalesce(level, '?') AS level, count(*)::BIGINT AS documents, sum(len(regexp_extract_all(text, '{_WORD_SQL}')))::BIGINT AS words,
   count(*) FILTER (WHERE regexp_matches(text, '[.!?]["''’”)]*$'))::BIGINT AS with_final_mark
@@ -110,12 +120,12 @@ def word_hints(part):
 
 
 @query("course_library", sql=f"""
-SELECT row_id, {_line('title')} AS line, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS title_key, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS vote_key,
+SELECT row_id, {_line('nfc_normalize(title)')} AS line, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS title_key, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS vote_key,
   coalesce(try_cast(nullif(regexp_extract(id, '([0-9]+)$', 1), '') AS BIGINT), 9999) AS number, upper(level) || ':' || regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS order_key
 FROM course_library WHERE title IS NOT NULL""")
 def title_keys(lib):
     t, key = F.col("title"), X.title_key(F.col("title"))
-    return lib.filter("title is not null").select("row_id", X.normalize_line(t, compose=False).alias("line"), key.alias("title_key"), X.vote_key(t).alias("vote_key"), X.trailing_number(F.col("id")).alias("number"), F.concat_ws(":", F.upper("level"), key).alias("order_key"))
+    return lib.filter("title is not null").select("row_id", X.normalize_line(t).alias("line"), key.alias("title_key"), X.vote_key(t).alias("vote_key"), X.trailing_number(F.col("id")).alias("number"), F.concat_ws(":", F.upper("level"), key).alias("order_key"))
 
 
 @query("page_records", sql="""
@@ -153,6 +163,16 @@ def disputed_pages(pages):
     return pages.filter("used is not null").select("page_id", X.is_disputed(F.coalesce("title", F.lit("")), F.coalesce("vision", F.lit("")), F.coalesce("unlimited", F.lit("")), F.col("used")).alias("disputed"))
 
 
+@query("ocr_pages", sql=f"""
+SELECT page_id, CASE WHEN coalesce(unlimited, '') = '' THEN false WHEN v = '' THEN true END AS second_taken, CASE WHEN coalesce(unlimited, '') = '' THEN length(v) WHEN v = '' THEN length(unlimited) END AS n_chars, coalesce(unlimited, '') <> '' AND v <> '' AS compared
+FROM (SELECT page_id, unlimited, {_line("nfc_normalize(coalesce(vision, ''))")} AS v FROM ocr_pages)""")
+def ocr_vote_empty(pages):
+    """Which reading is taken where one of the two is empty."""
+    v = votes.two_way(pages.select("page_id", "vision", "unlimited"))
+    compared = (F.coalesce("unlimited", F.lit("")) != "") & (X.normalize_line(F.coalesce("vision", F.lit(""))) != "")
+    return v.select("page_id", F.when(~compared, F.col("used") == "unlimited_ocr").alias("second_taken"), F.when(~compared, F.length("selected")).cast("bigint").alias("n_chars"), compared.alias("compared"))
+
+
 @query("ocr_pages")
 def ocr_vote(pages):
     """Two readings: which is taken, and how far they agree."""
@@ -224,9 +244,12 @@ def polymorphic_lessons(lib):
 
 
 @query("course_library", sql="""
-SELECT row_id, p AS problem FROM (SELECT row_id, unnest(list_filter([CASE WHEN coalesce(trim(id), '') = '' THEN 'id' END, CASE WHEN coalesce(trim(level), '') = '' THEN 'level' END, CASE WHEN coalesce(trim(title), '') = '' THEN 'title' END], lambda x: x IS NOT NULL)) AS p FROM course_library)""")
+WITH s AS (SELECT row_id, id, level, title, CASE WHEN json_valid(sentences_json) THEN CASE WHEN json_type(sentences_json) = 'ARRAY' THEN sentences_json::JSON ELSE json_extract(sentences_json, '$.sentences') END END AS j FROM course_library),
+e AS (SELECT *, CASE WHEN json_type(j) = 'ARRAY' THEN from_json(j, '["json"]') END AS l FROM s)
+SELECT row_id, p AS problem FROM (SELECT row_id, unnest(list_filter([CASE WHEN coalesce(trim(id), '') = '' THEN 'id' END, CASE WHEN coalesce(trim(level), '') = '' THEN 'level' END, CASE WHEN coalesce(trim(title), '') = '' THEN 'title' END, CASE WHEN coalesce(len(l), 0) = 0 THEN 'sentences' END,
+  CASE WHEN list_bool_or(list_transform(l, lambda x: coalesce(trim(json_extract_string(x, '$.id')), '') = '' OR coalesce(trim(json_extract_string(x, '$.english')), '') = '')) THEN 'english' END], lambda x: x IS NOT NULL)) AS p FROM e)""")
 def import_violations(lib):
-    """Everything that a lesson would be refused for, also its sentences, which the SQL leaves out."""
+    """Everything that a lesson would be refused for, also its sentences."""
     lessons = lib.select("row_id", "id", "level", "title", library.parsed_sentences(F.col("sentences_json")).alias("sentences"))
     return library.violations(lessons, most=10**12, keep=("row_id",)).select("row_id", "problem")
 
@@ -273,9 +296,9 @@ def semi_eligible(customer, orders):
     return customer.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_mktsegment")
 
 
-@query("part", "lineitem", sql="""SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)""")
+@query("part", "lineitem", sql="""SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity > 45)""")
 def anti_unused(part, lineitem):
-    return part.join(lineitem, F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey")
+    return part.join(lineitem.filter("l_returnflag = 'R' and l_quantity > 45"), F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey")
 
 
 @query("course_library", "sentences", "ocr_pages", sql="""
@@ -307,28 +330,30 @@ def level_order(lib):
 
 # Catalog --------------------------------------------------------------------------------------------------------------
 
-_TOKENS = "regexp_extract_all(replace(lower(strip_accents(nfc_normalize({}))), '&', ' and '), '[a-z0-9]+')"
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+#: The words of a title: full-width letters and ligatures as plain ones, no accents; a title given twice in a row once.
+_TOKENS = f"regexp_extract_all(replace(lower(strip_accents(nfc_normalize(replace(replace(replace(replace(translate(title, '{_WIDE[0]}', '{_WIDE[1]}'), chr(64256), 'ff'), chr(64257), 'fi'), chr(64258), 'fl'), 'ſ', 's')))), '&', ' and '), '[a-z0-9]+')"
+_ONCE = "CASE WHEN len(w) > 0 AND len(w) % 2 = 0 AND w[:len(w) // 2] = w[len(w) // 2 + 1:] THEN w[:len(w) // 2] ELSE w END"
 _SIDES = f"""
-l AS (SELECT level AS block, min(id) AS id, title FROM course_library WHERE title IS NOT NULL AND regexp_matches(title, '^[ -~éëÉË]+$') GROUP BY level, title),
-r AS (SELECT split_part(lesson_id, '-', 2) AS block, min(lesson_id) AS id, title FROM ocr_pages WHERE title IS NOT NULL AND regexp_matches(title, '^[ -~éëÉË]+$') GROUP BY 1, title),
-lw AS (SELECT block, min(id) AS id, w FROM (SELECT block, id, {_TOKENS.format('title')} AS w FROM l) WHERE len(w) > 0 GROUP BY block, w),
-rw AS (SELECT block, min(id) AS id, w FROM (SELECT block, id, {_TOKENS.format('title')} AS w FROM r) WHERE len(w) > 0 GROUP BY block, w),
-lt AS (SELECT block, w, id || '/' || array_to_string(w, ' ') AS id FROM lw), rt AS (SELECT block, w, id || '/' || array_to_string(w, ' ') AS id FROM rw),
-p AS (SELECT lt.block, lt.id AS left_id, rt.id AS right_id, 2 * list_sum(list_transform(list_distinct(list_intersect(lt.w, rt.w)), lambda t: least(len(list_filter(lt.w, lambda x: x = t)), len(list_filter(rt.w, lambda x: x = t)))))
+lc AS (SELECT DISTINCT block, id, {_ONCE} AS w FROM (SELECT level AS block, id, {_TOKENS} AS w FROM course_library WHERE title IS NOT NULL AND level IS NOT NULL AND id IS NOT NULL) WHERE len(w) > 0),
+rc AS (SELECT DISTINCT block, id, {_ONCE} AS w FROM (SELECT split_part(lesson_id, '-', 2) AS block, lesson_id AS id, {_TOKENS} AS w FROM ocr_pages WHERE title IS NOT NULL AND lesson_id IS NOT NULL) WHERE len(w) > 0),
+lt AS (SELECT block, w, min(id) || '/' || array_to_string(w, ' ') AS id, count(*) AS copies FROM lc GROUP BY block, w), rt AS (SELECT block, w, min(id) || '/' || array_to_string(w, ' ') AS id, count(*) AS copies FROM rc GROUP BY block, w),
+p AS (SELECT lt.block, lt.id AS left_id, rt.id AS right_id, lt.w AS lw, lt.copies AS left_copies, rt.copies AS right_copies, 2 * list_sum(list_transform(list_distinct(list_intersect(lt.w, rt.w)), lambda t: least(len(list_filter(lt.w, lambda x: x = t)), len(list_filter(rt.w, lambda x: x = t)))))
   / (len(lt.w) + len(rt.w)) AS score FROM lt JOIN rt USING (block) WHERE list_has_any(lt.w, rt.w)),
 c AS (SELECT * FROM p WHERE score >= 0.8 - 1e-9)"""
+#: Copies are each other's seconds; every lesson of a title has a row.
 _MARGIN = """
-a AS (SELECT *, row_number() OVER (PARTITION BY block, left_id ORDER BY score DESC, right_id) AS n FROM c),
-b AS (SELECT *, row_number() OVER (PARTITION BY block, right_id ORDER BY score DESC, left_id) AS n FROM c),
-m AS (SELECT x.block, x.left_id, x.right_id, x.score, least(x.score - coalesce(y.score, 0), x.score - coalesce(z.score, 0)) AS margin FROM a x LEFT JOIN a y ON y.block = x.block AND y.left_id = x.left_id AND y.n = 2
-  LEFT JOIN b z ON z.block = x.block AND z.right_id = x.right_id AND z.n = 2 WHERE x.n = 1)"""
+a AS (SELECT *, row_number() OVER (PARTITION BY block, left_id ORDER BY score DESC, right_id) AS n, lead(score) OVER (PARTITION BY block, left_id ORDER BY score DESC, right_id) AS next_score FROM c),
+b AS (SELECT *, row_number() OVER (PARTITION BY block, right_id ORDER BY score DESC, left_id) AS n, lead(score) OVER (PARTITION BY block, right_id ORDER BY score DESC, left_id) AS next_score FROM c),
+z AS (SELECT block, right_id, CASE WHEN left_copies > 1 THEN score ELSE coalesce(next_score, 0) END AS second FROM b WHERE n = 1),
+o1 AS (SELECT x.block, x.left_id, x.right_id, x.lw, x.score, least(x.score - CASE WHEN x.right_copies > 1 THEN x.score ELSE coalesce(x.next_score, 0) END, x.score - z.second) AS margin FROM a x JOIN z USING (block, right_id) WHERE x.n = 1),
+m AS (SELECT o1.block, lc.id || '/' || array_to_string(lc.w, ' ') AS left_id, right_id, score, margin FROM o1 JOIN lc ON lc.block = o1.block AND lc.w = o1.lw)"""
 
 
 def _copies(lib, pages):
     """``block, id, copy`` of lessons and of recordings: all that have the words of one title in one level, and who stands for them.
 
-    All titles with a word count, in whatever characters. A lesson delivered twice with the same words is one. The SQL of the
-    queries over them has only titles in plain letters, and only one lesson for each title.
+    All titles with a word count, in whatever characters. A lesson delivered twice with the same words is one.
     """
 
     def side(df):
@@ -351,7 +376,9 @@ def _margins(pairs, lib, pages):
     return catalog.margins(pairs, *[c.select("block", "id", "copy") for c in _copies(lib, pages)])
 
 
-@query("course_library", "ocr_pages")
+@query("course_library", "ocr_pages", sql=f"""
+WITH {_SIDES} SELECT 'left' AS side, lt.block, lt.id, lc.id || '/' || array_to_string(lc.w, ' ') AS member FROM lt JOIN lc ON lt.block = lc.block AND lt.w = lc.w
+UNION ALL SELECT 'right', rt.block, rt.id, rc.id || '/' || array_to_string(rc.w, ' ') FROM rt JOIN rc ON rt.block = rc.block AND rt.w = rc.w""")
 def title_members(lib, pages):
     """Which lessons and recordings each id of ``title_candidates`` stands for, itself too."""
     both = [c.select(F.lit(s).alias("side"), "block", "id", F.col("copy").alias("member")) for s, c in zip(("left", "right"), _copies(lib, pages))]
