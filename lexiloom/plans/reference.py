@@ -11,7 +11,7 @@ from lexiloom.functions import fuzzy
 from lexiloom.functions import numeric as N
 from lexiloom.functions import text as X
 from lexiloom.operators import align, catalog, layout, learner, library, nested, quality, ranking, rejects, shards, votes
-from lexiloom.session import join_small, table
+from lexiloom.session import join_small, scratch, table
 from lexiloom.sources import readers
 
 QUERIES: dict = {}
@@ -31,6 +31,15 @@ def query(*names: str, sql: str | None = None):
     return add
 
 
+def streamed(spark, d: str, name: str):
+    """A table as a stream of its files; zone-less times become UTC timestamps."""
+    whole = f"{d}/{name}.parquet"
+    folder, schema = readers.is_folder(spark, whole), spark.read.parquet(whole).schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet" if folder else f"{name}.parquet").option("maxFilesPerTrigger", 8).parquet(whole if folder else d)
+    ntz = [f.name for f in schema if f.dataType.simpleString() == "timestamp_ntz"]
+    return source.withColumns({c: F.col(c).cast("timestamp") for c in ntz}) if ntz else source
+
+
 # Text and sentences ---------------------------------------------------------------------------------------------------
 
 def _line(x: str) -> str:
@@ -105,11 +114,12 @@ def dictation_tokens(sentences):
     return sentences.filter("english is not null").select("row_id", F.size(w).alias("n_words"), joined.alias("words"), X.letters_only(joined).alias("letters"))
 
 
-@query("sentences", sql=f"""SELECT row_id, regexp_replace(english, '{_BLANK}', '', 'g') AS solid FROM sentences WHERE english IS NOT NULL AND regexp_matches(english, '[A-Za-z]')""")
+@query("sentences", sql=f"""SELECT row_id, regexp_replace(english, '{_BLANK}', '', 'g') AS solid FROM sentences WHERE english IS NOT NULL""")
 def dictation_round_trip(sentences):
     """Words with what stands around them give the sentence back, but for its blanks."""
     parts = F.transform(X.dictation_words(F.col("english")), lambda x: F.concat(x["before"], x["word"], x["after"]))
-    return sentences.filter("english is not null").filter(F.col("english").rlike("[A-Za-z]")).select("row_id", F.array_join(parts, "").alias("solid"))
+    solid = F.when(F.size(parts) > 0, F.array_join(parts, "")).otherwise(F.regexp_replace("english", r"(?U)\s", ""))  # no word to hang on
+    return sentences.filter("english is not null").select("row_id", solid.alias("solid"))
 
 
 @query("part", sql="""
@@ -421,11 +431,11 @@ def multiset_dice(part):
     return part.select("p_partkey", F.round(fuzzy.dice(a, b), 6).alias("score"))
 
 
-@query("course_library", "sentences", "documents", "customer", "nation", sql="""
+@query("course_library", "sentences", "documents", sql="""
 WITH a AS (SELECT level, count(*) n FROM course_library WHERE level IS NOT NULL GROUP BY 1), b AS (SELECT level, count(*) n FROM sentences WHERE level IS NOT NULL GROUP BY 1), c AS (SELECT level, count(*) n FROM documents WHERE level IS NOT NULL GROUP BY 1),
 k AS (SELECT level FROM a UNION SELECT level FROM b UNION SELECT level FROM c)
 SELECT level, coalesce(a.n, 0)::BIGINT AS lessons, coalesce(b.n, 0)::BIGINT AS sentences, coalesce(c.n, 0)::BIGINT AS documents FROM k LEFT JOIN a USING (level) LEFT JOIN b USING (level) LEFT JOIN c USING (level)""")
-def level_multi_source_summary(lib, sentences, documents, customer, nation):
+def level_multi_source_summary(lib, sentences, documents):
     have = lambda df: df.select("level").filter("level is not null")
     return catalog.level_summary(lessons=have(lib), sentences=have(sentences), documents=have(documents))
 
@@ -473,38 +483,42 @@ def subset_sum_repair(records):
 
 
 @query("page_records", sql="""
-SELECT physical_page, side, count(*)::BIGINT AS n, count(*) FILTER (WHERE text IS NOT NULL)::BIGINT AS with_text FROM page_records GROUP BY 1, 2""")
+SELECT split_part(lesson_id, '-', 2) AS level, coalesce(side, '?') || '|' || coalesce(status, '?') || '|' || coalesce(floor(body_size)::BIGINT::VARCHAR, '?') AS layout, count(*)::BIGINT AS pages, count(text)::BIGINT AS with_text, coalesce(sum(length(text)), 0)::BIGINT AS characters FROM page_records GROUP BY 1, 2""")
 def layout_histogram(records):
-    return records.groupBy("physical_page", "side").agg(F.count(F.lit(1)).alias("n"), F.count("text").alias("with_text"))
+    p = records.withColumn("level", X.id_part(F.col("lesson_id"), 2))
+    return layout.inventory(p, "level", F.col("side"), F.col("status"), F.floor("body_size"))
 
 
 # Alignment and quality ------------------------------------------------------------------------------------------------
 
 
+#: Seconds that each sentence of a lesson gets on the lesson's one clock.
+_SPAN = 1000.0
+
+
 def _timed(lib):
-    """Expected words of each sentence with a recording, and the words heard in it, on one clock per lesson."""
+    """The sentences of each lesson, and all words heard in the lesson on one clock."""
     n = nested.lesson_nodes(lib)
     s, w = nested.child_table(n, "sentence"), nested.child_table(n, "word")
-    expected = s.filter("english is not null and duration is not null").select(F.concat_ws(":", "row_id", "ordinal").alias("key"), F.lit(0).alias("pos"), X.transcript_words(F.col("english")).alias("words"))
-    heard = w.withColumn("part", X.normalize_word(F.col("text"))).filter("part != ''")
-    row = F.array_sort(F.collect_list(F.struct("ordinal", "part", F.coalesce("start", F.lit(0.0)).alias("start"), F.coalesce("end", F.lit(0.0)).alias("end"), F.coalesce("probability", F.lit(1.0)).alias("p"))))
-    g = heard.groupBy(F.concat_ws(":", "row_id", "parent_item").alias("key")).agg(row.alias("r"))
+    expected = s.filter("english is not null").select(F.col("row_id").cast("string").alias("key"), F.col("ordinal").alias("pos"), X.transcript_words(F.col("english")).alias("words"))
+    heard = w.withColumn("part", X.normalize_word(F.col("text"))).filter("part != ''").withColumn("at", F.col("parent_item").cast("int"))
+    row = F.array_sort(F.collect_list(F.struct("at", "ordinal", "part", (F.coalesce("start", F.lit(0.0)) + F.col("at") * _SPAN).alias("start"), (F.coalesce("end", F.lit(0.0)) + F.col("at") * _SPAN).alias("end"), F.coalesce("probability", F.lit(1.0)).alias("p"))))
+    g = heard.groupBy(F.col("row_id").cast("string").alias("key")).agg(row.alias("r"))  # the words of one document
     pick = lambda f: F.transform("r", lambda x: x[f])
     return expected, g.select("key", pick("part").alias("words"), pick("start").alias("starts"), pick("end").alias("ends"), pick("p").alias("probabilities"))
 
 
 @query("course_library")
 def semi_global_align(lib):
-    """Where the words of each recorded sentence were heard."""
+    """Where the words of each sentence were heard in the recording of its whole lesson."""
     a = align.diagnosed(align.anchors(*_timed(lib)))
-    return a.select("key", "matched", "expected", "first", "last", "match_ratio", "confidence")
+    return a.select("key", "pos", "matched", "expected", "first", "last", "match_ratio", "confidence")
 
 
 @query("course_library")
 def anchor_report(lib):
     """Sentences with and without an anchor per lesson."""
-    a = align.anchors(*_timed(lib)).withColumn("pos", F.split_part("key", F.lit(":"), F.lit(2)).cast("int")).withColumn("key", F.split_part("key", F.lit(":"), F.lit(1)))
-    return align.unanchored(a).select("key", "sentences", F.size("missing").alias("missing"), "recovered")
+    return align.unanchored(align.anchors(*_timed(lib))).select("key", "sentences", F.size("missing").alias("missing"), "recovered")
 
 
 _CLOCK = "(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6"
@@ -583,14 +597,6 @@ def quality_gate(lineitem):
     return g.withColumns({"coverage": F.round("coverage", 6), "weak_ratio": F.round("weak_ratio", 6)})
 
 
-@query("lineitem", sql="""
-WITH c AS (SELECT l_orderkey AS key, l_linenumber AS pos, l_discount AS score FROM lineitem), g AS (SELECT key, count(*)::BIGINT AS sampled, count(*) FILTER (WHERE score < 0.02)::BIGINT AS failed, avg(score) AS m FROM c GROUP BY 1)
-SELECT key, sampled, failed, round(m, 6) AS mean_score FROM g""")
-def sample_gate(lineitem):
-    g = quality.sample_gate(lineitem.select(F.col("l_orderkey").alias("key"), F.col("l_discount").alias("score")), least=0.02)
-    return g.select("key", "sampled", "failed", F.round("mean_score", 6).alias("mean_score"))
-
-
 _RESULTS = """SELECT o_orderkey, 'R-' || CASE WHEN o_custkey % 3 = 0 THEN 'A' ELSE 'B' END || '-' || o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'complete' ELSE 'skipped-existing' END AS status,
   CASE left(o_orderpriority, 1) WHEN '1' THEN 'No timestamp anchor for sentence' WHEN '2' THEN 'post-cut validation failed: 2' WHEN '3' THEN 'quality gate failed' WHEN '4' THEN 'No matching source' ELSE 'timeout' END AS error FROM orders"""
 
@@ -713,7 +719,10 @@ def json_props(events):
 
 @query("events", sql="""SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*)::BIGINT AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2""")
 def events_daily(events):
-    return events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    """The counts of a stream with a watermark, over the whole table at once."""
+    from lexiloom.streaming.state import daily
+
+    return daily(events).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
 @query("orders", sql="""
@@ -724,19 +733,12 @@ def top_three(orders):
 
 def stream_latest(spark, d):
     """The same as ``latest_states``, folded from a stream of files into a table."""
-    import tempfile
-
-    from lexiloom.session import checkpoint_folder
     from lexiloom.streaming.state import follow
 
-    schema = spark.read.parquet(f"{d}/student_learning_state.parquet").schema
-    at = tempfile.mkdtemp(prefix="stream-", dir=checkpoint_folder(spark).removeprefix("file:").replace("///", "/"))
-    whole = f"{d}/student_learning_state.parquet"
-    folder = readers.is_folder(spark, whole)
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet" if folder else "student_learning_state.parquet").option("maxFilesPerTrigger", 8)
-    rows = source.parquet(whole if folder else d).select("user_id", "row_id", "updated_at")
-    follow(rows, f"file://{at}/table", f"file://{at}/log", ["user_id"], ["updated_at", "row_id"]).awaitTermination()
-    return spark.read.parquet(f"file://{at}/table").drop("bucket")
+    at = scratch(spark, "stream")
+    rows = streamed(spark, d, "student_learning_state").select("user_id", "row_id", "updated_at")
+    follow(rows, f"{at}/table", f"{at}/log", ["user_id"], ["updated_at", "row_id"]).awaitTermination()
+    return spark.read.parquet(f"{at}/table").drop("bucket")
 
 
 QUERIES["stream_latest"] = stream_latest

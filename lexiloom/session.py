@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,17 +38,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
+    """The folder that all executors share; a temporary one only in a local session that names none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         at = spark.conf.get("spark.checkpoint.dir", None)
         if at is None:
+            if not (sc.master or "").startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             at = tempfile.mkdtemp(prefix="lexiloom-")
             atexit.register(shutil.rmtree, at, True)
         sc.setCheckpointDir(at)
     return sc.getCheckpointDir()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, for tables that a query writes and reads again."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows to the session's shared checkpoint folder and read them from there.
 

@@ -39,17 +39,24 @@ def lessons(spark: SparkSession, path: str) -> DataFrame:
 
 
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
-    """CSV files with quotes, doubled quotes and line feeds in fields, under the known names of their headers.
+    """CSV files with quotes, doubled quotes and line feeds in fields, under the known names of their headers, and their ``file``.
 
-    Columns whatever their order or language; header names that aren't known are dropped, absent ones are null.
+    Columns whatever their order or language, which may differ from file to file; header names that aren't known are dropped, absent
+    ones are null. Files with one header are read together.
     """
-    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8", ignoreLeadingWhiteSpace=False)
-    names = {c: c.strip().lstrip("\ufeff").lower() for c in raw.columns}
-    found = {target: next((c for c, n in names.items() if n in known), None) for target, known in HEADER_NAMES.items()}
-    missing = [t for t in ("level", "lesson_id", "title", "english") if not found[t]]
-    if missing:
-        raise ValueError(f"columns missing: {', '.join(missing)}")
-    return raw.select(*[(F.col(f"`{c}`") if c else F.lit(None).cast("string")).alias(t) for t, c in found.items()])
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value", F.monotonically_increasing_id().alias("n"))
+    first = lines.filter("at = 0").groupBy("file").agg(F.min_by("value", "n").alias("header"))
+    out = None
+    for header, names in first.groupBy("header").agg(F.collect_list("file")).collect():  # the names of the files, which the reader lists too
+        raw = spark.read.csv(names, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8", ignoreLeadingWhiteSpace=False)
+        known = {c: c.strip().lstrip("\ufeff").lower() for c in raw.columns}
+        found = {target: next((c for c, n in known.items() if n in accepted), None) for target, accepted in HEADER_NAMES.items()}
+        missing = [t for t in ("level", "lesson_id", "title", "english") if not found[t]]
+        if missing:
+            raise ValueError(f"columns missing in {names[0]}: {', '.join(missing)}")
+        part = raw.select(*[(F.col(f"`{c}`") if c else F.lit(None).cast("string")).alias(t) for t, c in found.items()], F.col("_metadata.file_path").alias("file"))
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], ", ".join(f"{t} string" for t in [*HEADER_NAMES, "file"]))
 
 
 def _complete(rows: DataFrame) -> DataFrame:
@@ -130,3 +137,10 @@ def timed_parts(tokens: DataFrame, least: float = 0.04) -> DataFrame:
     e = t.select("*", F.posexplode("parts").alias("part", "word"))
     step = (F.col("end") - F.col("start")) / F.size("parts")
     return e.select("key", "seq", "part", "word", (F.col("start") + step * F.col("part")).alias("start"), (F.col("start") + step * (F.col("part") + 1)).alias("end"), "probability")
+
+
+def part_mismatches(parts: DataFrame, expected: DataFrame) -> DataFrame:
+    """``key, timed, words``: keys whose timed words are more or fewer than the words expected; none if all agree."""
+    n = parts.groupBy("key").agg(F.count(F.lit(1)).alias("timed"))
+    j = expected.select("key", F.col("words").cast("bigint").alias("words")).join(n, "key", "left").select("key", F.coalesce("timed", F.lit(0)).alias("timed"), "words")
+    return j.filter(F.col("timed") != F.col("words"))

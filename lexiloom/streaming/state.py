@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexiloom.operators.learner import active_sessions
 from lexiloom.operators.ranking import latest
 from lexiloom.session import cut
 from lexiloom.sources.readers import exists
@@ -17,7 +20,8 @@ BUCKETS = 64
 def follow(source: DataFrame, table: str, checkpoint: str, keys: list[str], order: list[str]):
     """Upsert each micro-batch into the table at ``table``; a batch that comes twice changes nothing. Ends when the source is read.
 
-    The table lies in ``BUCKETS`` folders by the hash of its keys, and a batch rewrites only those it has rows for.
+    The table lies in ``BUCKETS`` folders by the hash of its keys, and a batch rewrites only those it has rows for. They are replaced one
+    after the other: who reads meanwhile may see some of a batch.
     """
 
     def upsert(batch: DataFrame, _: int) -> None:
@@ -62,3 +66,34 @@ def fold_attempts(attempts: DataFrame, strikes: int = 3):
             yield pd.DataFrame([(*key, wrong, status)], columns=["user_id", "word", "wrong", "status"])
 
     return attempts.groupBy("user_id", "word").applyInPandasWithState(step, "user_id string, word string, wrong int, status string", COUNTER, "update", GroupStateTimeout.NoTimeout)
+
+
+def once(source: DataFrame, keys: list[str]) -> DataFrame:
+    """A stream in which each key goes through once, whoever asks for it again."""
+    return source.dropDuplicates(keys)
+
+
+def live(sessions: DataFrame, students: DataFrame, now: Column) -> DataFrame:
+    """A stream of sessions that haven't run out, with their student out of a table."""
+    return active_sessions(sessions, students, now)
+
+
+def collected(source: DataFrame, table: str, checkpoint: str, mode: str = "append"):
+    """Append what a stream gives to a table, with the number of its batch; a batch that comes twice is written once."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    return source.writeStream.outputMode(mode).foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def until(query, condition, every: float = 30.0, most: float = 3600.0) -> bool:
+    """Look at a running stream ``every`` so many seconds until ``condition(query)`` holds, then stop it; False if it never did."""
+    end = time.monotonic() + most
+    while time.monotonic() < end:
+        if condition(query):
+            query.stop()
+            return True
+        if query.awaitTermination(every):
+            return bool(condition(query))
+    return False

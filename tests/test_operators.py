@@ -299,3 +299,76 @@ def test_selection(spark):
     f = spark.createDataFrame([("x", "1"), ("x", "2"), ("y", "1"), ("y", "9")], "lesson_id string, name string")
     assert rows(S.complete(e, f)) == [("x", True), ("y", False)]
     assert S.best_by_score(df, (F.col("level") == "A", 2), (F.col("score") < 0.8, 1)).first().id == "c"
+
+
+# plans that spread hot groups
+
+
+def test_neighbours_and_last_seen_by_brute_force(spark):
+    r = random.Random(4)
+    data = [(r.choice(["hot"] * 6 + ["a", "b", None]), i, r.choice([None, str(i)])) for i in range(400)]
+    df = spark.createDataFrame(data, "g string, i int, v string").repartition(7)
+    by = {g: sorted(x for x in data if x[0] == g) if g else sorted((x for x in data if x[0] is None), key=lambda x: x[1]) for g in {x[0] for x in data}}
+    near = {(x.g, x.i): (x.previous_i, x.next_i, x.previous_v) for x in ranking.neighbours(df, ["g"], ["i"], ["i", "v"]).collect()}
+    seen = {(x.g, x.i): x.s for x in ranking.last_seen(df, ["g"], ["i"], "v", "s").collect()}
+    assert len(near) == len(seen) == 400
+    for g, rows_ in by.items():
+        last = None
+        for k, (_, i, v) in enumerate(rows_):
+            last = v if v is not None else last
+            before, after = rows_[k - 1] if k else (None, None, None), rows_[k + 1] if k + 1 < len(rows_) else (None, None, None)
+            assert near[g, i] == (before[1], after[1], before[2]) and seen[g, i] == last
+    assert ranking.neighbours(df.limit(0), ["g"], ["i"], ["i"]).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_silences_by_brute_force(spark, seed):
+    r = random.Random(seed)
+    anchors = [("k", i, round(r.uniform(0, 60), 2)) for i in range(80)]
+    found = spark.createDataFrame([(k, i, a, a + 1.3) for k, i, a in anchors] + [("none", 0, 5.0, 6.0)], "key string, pos int, first double, last double")
+    gaps = [(s, round(s + r.uniform(0.1, 0.8), 2)) for s in (round(r.uniform(0, 62), 2) for _ in range(120))]
+    silences = spark.createDataFrame([("k", a, b) for a, b in gaps], "key string, s_start double, s_end double")
+    got = {(x.key, x.pos): (round(x.start, 6), round(x.end, 6)) for x in align.snapped(found, silences).collect()}
+    long = [(a, b, (a + b) / 2) for a, b in gaps if b - a >= align.SILENCE]
+    for k, i, f in anchors:
+        last = f + 1.3
+        start = max((m for a, b, m in long if b <= f + align.SLACK and f - m <= align.SNAP), default=f - align.LEAD_IN)
+        end = min((m for a, b, m in long if a >= last - align.SLACK and m - last <= align.SNAP), default=last + align.LEAD_OUT)
+        assert got[k, i] == (round(max(0, start), 6), round(end, 6))
+    assert got["none", 0] == (4.82, 6.25)
+    near = {x.pos: round(x.mid, 6) for x in align.nearest(found.selectExpr("key", "pos", "first as t"), silences, window=1.0).collect()}
+    for _, i, f in anchors:
+        best = min((abs(m - f), m) for *_, m in long)
+        assert near.get(i) == (round(best[1], 6) if best[0] <= 1.0 else None)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_blocks_by_brute_force(seed):
+    r = random.Random(seed)
+    blocks = [(r.randint(1, 60), r.choice([0, 1, 4, 8])) for _ in range(r.randint(0, 9))]
+    gap = r.randint(1, 150)
+    most = max(gap + 250, round(gap * 1.5))
+    cost = lambda chosen: (abs(gap - sum(blocks[i][0] for i in chosen)) * 10 + sum(blocks[i][1] for i in chosen), sum(blocks[i][1] for i in chosen))
+    every = [[i for i in range(len(blocks)) if m >> i & 1] for m in range(1 << len(blocks))]
+    best = min(cost(c) for c in every if sum(blocks[i][0] for i in c) <= most)
+    assert cost(layout.chosen_blocks(gap, blocks)) == best
+
+
+def test_a_second_extraction_is_kept_only_if_it_is_better(spark):
+    word = lambda d, p, i, font, size=12.0: (d, p, p * 1000 + i, f"w{i}x", size, f"A+{font}-Roman", True)
+    data = [word("a", p, i, "Body") for p in (1, 2) for i in range(45)] + [word("a", 2, 100 + i, "Other") for i in range(40)] + [word("b", 1, i, "Body") for i in range(80)] + [word("b", 1, 100 + i, "Other") for i in range(90)]
+    words = spark.createDataFrame(data, "doc string, page int, seq int, text string, size double, font string, ends_sentence boolean")
+    expected = spark.createDataFrame([("a", 128), ("b", 85)], "doc string, expected int")
+    got = {r.doc: (r.before, r.after, r.blocks) for r in layout.completed(words, expected).collect()}
+    assert got == {"a": (90, 130, 1), "b": (90, 90, 0)}
+
+
+def test_strict_and_refined(spark):
+    h = spark.createDataFrame([("A cat!", "a CAT"), ("A cat", "a cap"), ("", ""), (None, "x")], "expected string, heard string")
+    assert [(r.exact, r.passed) for r in quality.strict(h).collect()] == [(True, True), (False, False), (True, False), (False, False)]
+    w = spark.createDataFrame([(i, 10.0 * i, 0.5, 1.0, 10.0 * i, 10.0 * i + 1) for i in range(4)], "id int, base double, start double, end double, coarse_start double, coarse_end double")
+    risky = w.filter("id > 0").select("id")
+    done = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 0.0, False)], "id int, source_start double, source_end double, drift_start double, drift_end double, fresh boolean")
+    once = align.refined(w, risky, done, "base")
+    assert {(r.id, r.source_start, r.fresh) for r in once.collect()} == {(1, 0.0, False), (2, 20.5, True), (3, 30.5, True)}
+    assert align.refined(w, risky, once.withColumn("fresh", F.lit(False)), "base").filter("fresh").count() == 0

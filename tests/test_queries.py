@@ -7,11 +7,12 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from lexiloom.plans import problems, reference
+from lexiloom.plans import columns, pages, problems, reference, trips, work
 
 DIR = "/root/testdata/sf0.001"
-QUERIES = problems.QUERIES | reference.QUERIES
-SQL = problems.SQL | reference.SQL
+MODULES = (problems, reference, columns, pages, work, trips)
+QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
+SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
 pytestmark = pytest.mark.skipif(not Path(DIR).exists(), reason="needs the test tables")
 
 

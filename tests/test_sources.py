@@ -77,3 +77,41 @@ def test_attempts_by_stream(spark, tmp_path):
     s = state.fold_attempts(spark.readStream.schema("user_id string, word string, attempt int, right boolean").parquet(str(tmp_path / "in")))
     s.writeStream.format("memory").queryName("folded").outputMode("update").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(map(tuple, spark.table("folded").collect())) == [("u", "w", 2, "correct"), ("u", "x", 3, "revealed")]
+
+
+def test_files_with_other_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("level,lesson_id,title,text\nA,1,T,x\n")
+    (tmp_path / "b.csv").write_text("text,title,extra,lesson_id,level\ny,U,e,2,B\n")
+    got = sorted((r.level, r.lesson_id, r.title, r.english) for r in readers.csv_rows(spark, str(tmp_path)).collect())
+    assert got == [("A", "1", "T", "x"), ("B", "2", "U", "y")]
+
+
+def test_engine(spark):
+    from lexiloom.sources.engines import called
+
+    def client():
+        def ask(x):
+            if x == "bad":
+                raise ValueError("no")
+            return x * 2
+
+        return ask
+
+    df = spark.createDataFrame([(1, "a"), (2, "bad"), (3, None)], "k int, v string")
+    assert sorted(map(tuple, called(df, "k", "v", client, attempts=2, pause=0).collect())) == [(1, "aa", None, 1), (2, None, "ValueError: no", 2), (3, None, None, 0)]
+
+
+def test_lines_are_appended_once(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    at = str(tmp_path / "lines")
+    assert [sinks.appended_lines(x, at, ["k"]).count() for x in (df.limit(0), df, df, df.selectExpr("k + 1 as k", "v"))] == [0, 2, 0, 1]
+
+
+def test_checkpoints_need_a_shared_folder():
+    from types import SimpleNamespace
+
+    from lexiloom.session import checkpoint_folder
+
+    nowhere = SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://x:7077"), conf=SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(RuntimeError):
+        checkpoint_folder(nowhere)
