@@ -14,14 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.functions.jsontext import loads
+
 NODES = "row_id bigint, path string, label array<int>, name string, members map<string,string>"
 _KIND = pa.schema([("row_id", pa.int64()), ("path", pa.string()), ("label", pa.list_(pa.int32())), ("name", pa.string()), ("members", pa.map_(pa.string(), pa.string()))])
 
 
-def _no_constant(x: str) -> None:
-    raise ValueError(x)
-
-
 def _scalar(v) -> str:
     """A value as text; half of a surrogate pair, which JSON may have, becomes U+FFFD."""
     if not isinstance(v, str):
@@ -29,17 +27,20 @@ def _scalar(v) -> str:
     return v if v.isascii() else v.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
-def shred(text: str | None, root: str, maps: frozenset[str]) -> list[tuple]:
-    """``(path, label, name, members)`` of every record; nothing if the text isn't valid JSON as a whole.
+def shred(text: str | None, root: str, maps: frozenset[str], wanted: frozenset[str] | None = None) -> list[tuple]:
+    """``(path, label, name, members)`` of every record; nothing if the text isn't valid JSON as a whole. Documents of any depth.
 
-    ``root`` names the array of a document that is itself an array. Null elements take an ordinal but are no records.
+    ``root`` names the array of a document that is itself an array. Null elements take an ordinal but are no records. With ``wanted``
+    only records of these paths come out, and only what leads to them is looked at; without it, arrays nested n deep have labels of n * n / 2
+    ordinals together.
     """
     try:
-        doc = json.loads(text, parse_constant=_no_constant) if text else None
-    except (ValueError, RecursionError):
+        doc = loads(text) if text else None
+    except ValueError:
         return []
     out: list[tuple] = []
     stack: list[tuple] = []
+    leads = lambda path: wanted is None or path in wanted or any(w.startswith((f"{path}.", f"{path}[")) for w in wanted)
 
     def inline(value: dict, path: str, label: tuple, members: list, prefix: str) -> None:
         todo = [(value, path, prefix)]
@@ -48,21 +49,24 @@ def shred(text: str | None, root: str, maps: frozenset[str]) -> list[tuple]:
             for k, v in obj.items():
                 here = f"{at}.{k}" if at else k
                 if isinstance(v, list) or here in maps and isinstance(v, dict):
-                    stack.append((v, here, label))
+                    if leads(here):
+                        stack.append((v, here, label))
                 elif isinstance(v, dict):
                     todo.append((v, here, f"{pre}{k}."))
                 elif v is not None:
                     members.append((_scalar(pre + k), _scalar(v)))
 
     if isinstance(doc, list):
-        stack.append((doc, root, ()))
+        if leads(root):
+            stack.append((doc, root, ()))
     elif isinstance(doc, dict):
         top: list = []
         inline(doc, "", (), top, "")
-        out.append(("", (), None, top))
+        if wanted is None or "" in wanted:
+            out.append(("", (), None, top))
     while stack:
         group, path, label = stack.pop()
-        named = isinstance(group, dict)
+        named, kept = isinstance(group, dict), wanted is None or path in wanted
         for i, (name, v) in enumerate(group.items() if named else ((None, x) for x in group)):
             if v is None:
                 continue
@@ -70,26 +74,28 @@ def shred(text: str | None, root: str, maps: frozenset[str]) -> list[tuple]:
             if isinstance(v, dict):
                 inline(v, path, own, members, "")
             elif isinstance(v, list):
-                stack.append((v, f"{path}[]", own))
+                if leads(f"{path}[]"):
+                    stack.append((v, f"{path}[]", own))
             else:
                 members.append(("value", _scalar(v)))
-            out.append((_scalar(path), own, name and _scalar(name), members))
+            if kept:
+                out.append((_scalar(path), own, name and _scalar(name), members))
     return out
 
 
-def nodes(df: DataFrame, key: str, column: str, root: str = "", maps: tuple[str, ...] = ()) -> DataFrame:
-    """All records of the JSON documents in ``column``: ``row_id, path, label, name, members``.
+def nodes(df: DataFrame, key: str, column: str, root: str = "", maps: tuple[str, ...] = (), wanted: tuple[str, ...] | None = None) -> DataFrame:
+    """All records (with ``wanted``: of these paths) of the JSON documents in ``column``: ``row_id, path, label, name, members``.
 
     Null, empty and unreadable documents give no rows. Other columns of ``df`` are ignored. One narrow pass, no shuffle.
     """
-    known = frozenset(maps)
+    known, asked = frozenset(maps), None if wanted is None else frozenset(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
             size = 0
             for k, text in zip(b.column("k").to_pylist(), b.column("v").to_pylist()):
-                for record in shred(text, root, known):
+                for record in shred(text, root, known, asked):
                     for column, x in zip(rows, (k, *record)):
                         column.append(x)
                 size += len(text or "")
@@ -116,12 +122,13 @@ COLUMNS = {
 }
 
 
-def lesson_nodes(library: DataFrame) -> DataFrame:
-    return nodes(library, "row_id", "sentences_json", root="sentences")
+def lesson_nodes(library: DataFrame, *children: str) -> DataFrame:
+    """The records of lessons, of all paths or of the given child tables."""
+    return nodes(library, "row_id", "sentences_json", root="sentences", wanted=tuple(LESSON_TABLES[c] for c in children) or None)
 
 
-def state_nodes(states: DataFrame) -> DataFrame:
-    return nodes(states, "row_id", "state_json", maps=("progress",))
+def state_nodes(states: DataFrame, *children: str) -> DataFrame:
+    return nodes(states, "row_id", "state_json", maps=("progress",), wanted=tuple(STATE_TABLES[c] for c in children) or None)
 
 
 def child_table(found: DataFrame, child: str) -> DataFrame:
@@ -138,5 +145,5 @@ def records(library: DataFrame, states: DataFrame) -> DataFrame:
     wanted = {p: c for c, p in (LESSON_TABLES | STATE_TABLES).items()}
     child = F.element_at(F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair]), F.col("path"))
     item = F.when(F.col("path") == "progress", F.col("name")).otherwise(F.array_join(F.col("label").cast("array<string>"), "/"))
-    both = lesson_nodes(library).filter(F.col("path").isin(*LESSON_TABLES.values())).unionByName(state_nodes(states).filter(F.col("path").isin(*STATE_TABLES.values())))
+    both = lesson_nodes(library, *LESSON_TABLES).unionByName(state_nodes(states, *STATE_TABLES))
     return both.select(child.alias("child"), "row_id", item.alias("item"))

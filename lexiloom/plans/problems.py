@@ -27,8 +27,8 @@ def p3_found(spark, d):
 def _child(name):
     def query(spark, d):
         if name in nested.LESSON_TABLES:
-            return nested.child_table(nested.lesson_nodes(table(spark, d, "course_library")), name)
-        return nested.child_table(nested.state_nodes(table(spark, d, "student_learning_state")), name)
+            return nested.child_table(nested.lesson_nodes(table(spark, d, "course_library"), name), name)
+        return nested.child_table(nested.state_nodes(table(spark, d, "student_learning_state"), name), name)
 
     return query
 

@@ -498,8 +498,7 @@ _SPAN = 1000.0
 
 def _timed(lib):
     """The sentences of each lesson, and all words heard in the lesson on one clock."""
-    n = nested.lesson_nodes(lib)
-    s, w = nested.child_table(n, "sentence"), nested.child_table(n, "word")
+    s, w = (nested.child_table(nested.lesson_nodes(lib, c), c) for c in ("sentence", "word"))
     expected = s.filter("english is not null").select(F.col("row_id").cast("string").alias("key"), F.col("ordinal").alias("pos"), X.transcript_words(F.col("english")).alias("words"))
     heard = w.withColumn("part", X.normalize_word(F.col("text"))).filter("part != ''").withColumn("at", F.col("parent_item").cast("int"))
     row = F.array_sort(F.collect_list(F.struct("at", "ordinal", "part", (F.coalesce("start", F.lit(0.0)) + F.col("at") * _SPAN).alias("start"), (F.coalesce("end", F.lit(0.0)) + F.col("at") * _SPAN).alias("end"), F.coalesce("probability", F.lit(1.0)).alias("p"))))

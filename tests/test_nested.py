@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -51,6 +52,29 @@ def test_half_surrogates(spark):
 
 
 def test_deep_documents_dont_break_it():
-    assert nested.shred("[" * 200_000 + "]" * 200_000, "r", frozenset()) == []
+    assert nested.shred("[" * 200_000 + "]" * 200_000, "r", frozenset(), frozenset(["r"])) == [("r", (0,), None, [])]
     wide = json.dumps([{"english": "x"}] * 50_000)
     assert len(nested.shred(wide, "r", frozenset())) == 50_000
+
+
+def test_documents_of_any_depth():
+    from lexiloom.functions.jsontext import _deep, loads
+
+    n = 20_000
+    lists = '{"sentences": [{"english": "a", "x": ' + "[" * n + "]" * n + "}]}"
+    objects = '[{"english": "b", "x": ' + '{"k": ' * n + "1" + "}" * n + "}]"
+    for text, english in ((lists, "a"), (objects, "b")):
+        got = nested.shred(text, "sentences", frozenset(), frozenset(["sentences"]))
+        assert [(r[0], r[1], dict(r[3])["english"]) for r in got] == [("sentences", (0,), english)]
+    for text in ('[1, -2.5e3, "a\\u00e9\\n", true, false, null, [], {}, {"a": {"b": [1]}, "c": ""}]', " {} ", "3"):
+        assert _deep(text) == loads(text)
+    for bad in ("", "[1,]", "[1", '{"a" 1}', "{1: 2}", "[] x", "[NaN]", "[01]", '{"a": 1,}', "nul"):
+        with pytest.raises(ValueError):
+            _deep(bad)
+
+
+def test_wanted_paths_give_the_same_records():
+    text = '{"sentences": [{"english": "a", "audio": {"words": [{"text": "a"}, null]}, "notes": [{"kind": "k", "reviewers": [{"role": "r"}]}]}, [[1]]]}'
+    every = nested.shred(text, "sentences", frozenset())
+    for path in nested.LESSON_TABLES.values():
+        assert nested.shred(text, "sentences", frozenset(), frozenset([path])) == [r for r in every if r[0] == path]
