@@ -4,13 +4,17 @@
    again on other pages of the book or in many books. Lines are compared by their glyphs (:func:`glyphs`), so a misread
    header is still found.
 2. Broken words. A word broken at a line's or page's end is put together unless the corpus spells it with a hyphen.
-3. Skip-gram vectors. Counts of words with their neighbours (two on either side, neighbours hashed into buckets) over the
-   whole corpus, as pointwise mutual information: a coarse form of the matrix that skip-gram training with negative samples
-   factorises. Among these words vectors only veto links; a rarer word has none. They cover every word of ``LEAST`` occurrences. What every task gets grows with the number of these words.
-4. Links. A rare word is linked to a far more frequent one that differs by plausible glyph edits only and, if both have
-   vectors, is used alike; an unseen word to the one that fits its neighbours best. Names, which are too rare for that,
-   are judged by the letters that follow one another in names, and by the other reading of the page.
+3. Skip-gram vectors with negative samples, for every word of ``LEAST`` occurrences (:func:`trained`): the expected loss over all
+   words and neighbours, minimised in turns over the vectors of words, each by itself, and over those of neighbours, whose sums
+   are added up over the tasks. Neighbours share ``BUCKETS`` vectors.
+4. Links. A rare word is linked to a far more frequent one that differs by plausible glyph edits only and is used alike by the
+   vectors; an unseen word to the one that fits its neighbours best. Names, which are too rare for that, are judged by the letters
+   that follow one another in names, and by the other reading of the page.
 5. Reflow. Furniture goes, lines join, empty lines part paragraphs.
+
+The vocabulary stays in tables. Each page asks about the words that aren't surely right, and gets the answers by joins; tasks share
+only the hashes of at most ``FILTER`` frequent words, the vectors of neighbours and a table of letter sequences. Words beyond the filter
+are asked about like others, so the filter saves work and decides nothing.
 """
 
 from __future__ import annotations
@@ -23,15 +27,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexiloom.session import cut, join_small
 
 #: Fewest occurrences of a word that is kept and has a vector, buckets of neighbours.
-LEAST, BUCKETS = 5, 64
-#: A link leads to a word at least so many times as frequent, used alike at least to this cosine.
-RATIO, ALIKE = 15, 0.3
+LEAST, BUCKETS = 5, 128
+#: Size of vectors, negative samples for each neighbour, rounds and steps of training, weight that keeps vectors small.
+SIZE, NEGATIVE, ROUNDS, STEPS, RIDGE = 16, 2.0, 3, 4, 0.02
+#: Words whose hashes every task gets, 8 bytes each.
+FILTER = 2_000_000
+#: A link leads to a word at least so many times as frequent, whose neighbours it fits at most so much worse than that word itself.
+RATIO, APART = 15, 1.0
 #: Pages of a book, or books, on which a line at the edge must come again to be a header.
 PAGES, BOOKS = 2, 5
 #: The gain in log likelihood at which a name counts as misread.
@@ -86,8 +96,6 @@ def edge_lines(text: str, title: str | None) -> list[tuple[int, str, bool]]:
     out = []
     for i in dict.fromkeys([*full[:2], *full[-2:]]):
         s = " ".join(lines[i].split())
-        if len(s) > 200:
-            continue
         if _PAGE_NUMBER.fullmatch(s):
             out.append((i + 1, "#", True))
             continue
@@ -111,7 +119,34 @@ def story(text: str, furniture: set[int]) -> list[tuple[int, str]]:
     return [(i, x) for i, x in enumerate(text.split("\n"), 1) if i not in furniture and x.strip()]
 
 
-def tokens(lines: list[tuple[int, str]], spelled: set[str] | None, after: str | None, before: str | None) -> tuple[list[tuple[str, int, int, int]], list[int], bool]:
+class Spelled(set):
+    """The glyphs of words that are spelled with a hyphen, and how those words begin."""
+
+    def __init__(self, words=(), beginnings=()):
+        super().__init__(words)
+        self.beginnings = set(beginnings)
+
+    def begins(self, part: str) -> bool:
+        return part in self.beginnings
+
+
+class _Asked(Spelled):
+    """Notes what is looked up and answers always the same."""
+
+    def __init__(self, answer: bool):
+        super().__init__()
+        self.answer, self.words = answer, set()
+
+    def __contains__(self, word: str) -> bool:
+        self.words.add(word)
+        return self.answer
+
+    def begins(self, part: str) -> bool:
+        self.beginnings.add(part)
+        return self.answer
+
+
+def tokens(lines: list[tuple[int, str]], spelled: Spelled | None, after: str | None, before: str | None) -> tuple[list[tuple[str, int, int, int]], list[int], bool]:
     """The words of a page, broken ones put together: ``word, line, line of its end, length of its first part``.
 
     A line 0 is on another page. Also the lines at whose ends (or in which) a word is broken, and whether the last word goes on overleaf. ``spelled``
@@ -146,7 +181,7 @@ def tokens(lines: list[tuple[int, str]], spelled: set[str] | None, after: str |
                     overleaf = True
                     if after:
                         close(part, chunk[-1], no, after, 0)  # what is wrong in the second part is on the next page
-                    elif spelled is None or not any(w.startswith(glyphs(core(part)) + "-") for w in spelled):
+                    elif spelled is None or not spelled.begins(glyphs(core(part)) + "-"):
                         broken.append(no)
                 else:
                     pending = (chunk[:-1], chunk[-1], no)
@@ -155,67 +190,128 @@ def tokens(lines: list[tuple[int, str]], spelled: set[str] | None, after: str |
     return out, broken, overleaf
 
 
+def _hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
 def _bucket(word: str) -> int:
-    h = 2166136261
-    for b in word.encode("utf-8", "surrogatepass")[:32]:
-        h = (h ^ b) * 16777619 & 0xFFFFFFFF
-    return (h ^ h >> 15) % BUCKETS
-
-
-class Model:
-    """What every task gets: frequent words, their vectors, links between them and letter sequences of names."""
-
-    def __init__(self, counts: dict[str, int], vectors: dict[str, np.ndarray] | None = None, trigrams: dict[str, int] | None = None):
-        self.counts = counts
-        self.by_glyphs: dict[str, list[str]] = {}
-        for w in counts:
-            self.by_glyphs.setdefault(glyphs(w), []).append(w)
-        self.spelled = {glyphs(w) for w in counts if "-" in w}
-        self.uses = vectors or {}
-        self.vectors = self._informed(vectors) if vectors else {}
-        self.trigrams, self.total = trigrams or {}, max(1, sum((trigrams or {}).values()))
+    return _hash(word) >> 7 & BUCKETS - 1
+
+
+def keys(word: str) -> list[str]:
+    """The glyphs that words must have to differ from ``word`` by plausible glyph edits only; "ri" may be read as "n"."""
+    return list(dict.fromkeys([glyphs(word), *(glyphs(word[:i] + "ri" + word[i + 1 :]) for i, c in enumerate(word) if c == "n")]))
+
+
+_NAME_LETTERS = "^$" + "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)]))
+_LETTER = {c: i for i, c in enumerate(_NAME_LETTERS)}
+
+
+class Letters:
+    """How often three letters follow one another in names: a table over a fixed alphabet."""
+
+    def __init__(self) -> None:
+        self.n = np.zeros((len(_LETTER),) * 3, dtype=np.float64)
+
+    def add(self, word: str, by: float = 1.0) -> None:
+        at = [_LETTER.get(c) for c in f"^{word}$"]
+        if None not in at:
+            for x in zip(at, at[1:], at[2:]):
+                self.n[x] += by
+
+    def ready(self) -> "Letters":
+        self.log, self.none = np.log((self.n + 0.1) / max(1.0, float(self.n.sum()))), math.log(0.1 / max(1.0, float(self.n.sum())))
+        return self
+
+    def likelihood(self, word: str) -> float:
+        at = [_LETTER.get(c) for c in f"^{word}$"]
+        return sum(self.none if None in x else self.log[x] for x in zip(at, at[1:], at[2:]))
+
+
+class Shared:
+    """What every task gets, of a size that doesn't grow with the pages beyond ``FILTER``."""
+
+    def __init__(self, frequent: np.ndarray, contexts: np.ndarray, letters: Letters):
+        self.frequent, self.contexts, self.letters = frequent, contexts, letters
+
+    def surely(self, low: str) -> bool:
+        """Whether a word is frequent and right; a False may be an unknown."""
+        h = np.uint64(_hash(low))
+        i = int(np.searchsorted(self.frequent, h))
+        return i < len(self.frequent) and self.frequent[i] == h
+
+
+def _plain(low: str) -> bool:
+    """Numbers, single letters and marks, which are never misread words."""
+    return not low or bool(_NUMERIC.fullmatch(low)) or len(low) == 1 and low.isalnum() or not any(c.isalpha() for c in low)
+
+
+class Asking:
+    """The words that a page asks about; remembers runs of characters that ask nothing."""
+
+    def __init__(self, shared: Shared):
+        self.shared, self.memo = shared, {}
+
+    def __call__(self, chunk: str) -> tuple[str, ...]:
+        if (m := self.memo.get(chunk)) is None:
+            if len(self.memo) > 300_000:
+                self.memo.clear()
+            m = self.memo[chunk] = tuple(self._asks(core(chunk)))
+        return m
+
+    def _asks(self, word: str) -> dict[str, None]:
+        low = word.lower()
+        if _plain(low):
+            return {}
+        stem = low[:-2] if low.endswith(("'s", "’s")) else None
+        if word[0] != "(" and self.shared.surely(stem or low):
+            return {}
+        out = dict.fromkeys([low, *([stem] if stem else []), *(low.split("-") if "-" in low else [])])
+        if word[0] == "(":
+            out |= self._asks(word[1:])
+        return out
+
+
+class Answers:
+    """What is known of the words that the pages of a batch asked about."""
+
+    def __init__(self, shared: Shared):
+        self.shared = shared
+        self.counts: dict[str, int] = {}
         self.links: dict[str, str] = {}
+        self.nearby: dict[str, list[str]] = {}
+        self.vectors: dict[str, np.ndarray] = {}
+        self.spelled = Spelled()
         self.memo: dict[str, tuple[str, str, str | None, bool]] = {}
-        for w in counts:
-            near = [f for f in self.near(w) if counts[f] >= RATIO * counts[w] and self._alike(w, f)]
-            if near:
-                self.links[w] = max(near, key=counts.get)
-
-    @staticmethod
-    def _informed(vectors: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        """Counts to pointwise mutual information, smoothed."""
-        names = list(vectors)
-        m = np.stack([vectors[w] for w in names]).astype(np.float32)
-        m = m + np.float32(0.5) * m.sum(0, keepdims=True) / max(1.0, float(m.sum()))  # half an occurrence, spread as usual
-        n = m.sum() or 1.0
-        with np.errstate(divide="ignore", invalid="ignore"):
-            pmi = np.log(np.maximum(m, 1e-6) * n / np.maximum(m.sum(1, keepdims=True) * m.sum(0, keepdims=True), 1e-6))
-        return dict(zip(names, pmi.astype(np.float32)))
-
-    def _alike(self, a: str, b: str) -> bool:
-        """Whether ``a`` stands among the neighbours of ``b``: its mean information under ``b``, against that of ``b`` itself."""
-        if a not in self.vectors or b not in self.vectors or not (a.isalpha() and a.isascii()):
-            return True
-        x, y, v = self.uses[a], self.uses[b], np.clip(self.vectors[b], -2, 4)
-        n = max(1.0, float(x.sum()))
-        own, of_b = float(x @ v) / n, float(y @ v) / max(1.0, float(y.sum()))
-        return own >= ALIKE * of_b - 2 * float(v.std()) / math.sqrt(n)
+
+    def take(self, answers, spelled, beginnings) -> None:
+        for r in answers or ():
+            if r["n"] is not None:
+                self.counts[r["word"]] = r["n"]
+            if r["link"] is not None:
+                self.links[r["word"]] = r["link"]
+            self.nearby[r["word"]] = [f["word"] for f in r["near"] or ()]
+            for f in r["near"] or ():
+                self.counts[f["word"]] = f["n"]
+                if f["word"] not in self.vectors and f["vector"] is not None:
+                    self.vectors[f["word"]] = np.asarray(f["vector"], dtype=np.float32)
+        self.spelled.update(spelled or ())
+        self.spelled.beginnings.update(beginnings or ())
+
+    def has(self, low: str) -> bool:
+        return low in self.counts or self.shared.surely(low)
 
     def near(self, word: str) -> list[str]:
-        """Frequent words that differ from ``word`` by plausible glyph edits only."""
-        found = [f for f in self.by_glyphs.get(glyphs(word), ()) if f != word]
-        for i, c in enumerate(word):  # "ri" read as "n", which glyphs() can't tell
-            if c == "n":
-                found += [f for f in self.by_glyphs.get(glyphs(word[:i] + "ri" + word[i + 1 :]), ()) if f != word and f not in found]
-        return found
+        """Frequent words that differ from ``word`` by plausible glyph edits only and aren't misread themselves."""
+        return self.nearby.get(word, [])
 
     def fit(self, word: str, around: list[int]) -> float:
+        """How well a word fits its neighbours by the vectors."""
         v = self.vectors.get(word)
-        return float(v[around].mean()) if v is not None and around else 0.0
+        return float((self.shared.contexts[around] @ v).mean()) if v is not None and around else 0.0
 
     def likelihood(self, word: str) -> float:
-        w = f"^{word}$"
-        return sum(math.log((self.trigrams.get(w[i : i + 3], 0) + 0.1) / self.total) for i in range(len(w) - 2))
+        return self.shared.letters.likelihood(word)
 
     def name(self, word: str) -> str | None:
         """A likelier name one misread glyph away, if it gains enough."""
@@ -234,21 +330,18 @@ class Model:
                 i = low.find(wrong, i + 1)
         return at
 
-    def __getstate__(self):
-        return self.__dict__ | {"memo": {}}
-
     def seen(self, chunk: str) -> tuple[str, str, str | None, bool]:
         """``core, low, right, decided`` of a run of non-blanks, as far as its neighbours don't matter; kept for the next time."""
         if (m := self.memo.get(chunk)) is None:
-            if len(self.memo) > 500_000:
+            if len(self.memo) > 300_000:
                 self.memo.clear()
             word = core(chunk)
             low = word.lower()
-            if low.endswith(("'s", "’s")) and low[:-2] in self.counts:
+            if low.endswith(("'s", "’s")) and self.has(low[:-2]):
                 low = low[:-2]
-            if not low or _NUMERIC.fullmatch(low) or len(low) == 1 and low.isalnum() or not any(c.isalpha() for c in low):
+            if _plain(low):
                 m = (word, low, None, True)
-            elif word[0] != "(" and low in self.counts:
+            elif word[0] != "(" and self.has(low):
                 m = (word, low, self.links.get(low), True)
             else:
                 m = (word, low, None, False)
@@ -262,17 +355,17 @@ class Model:
             return None if low in known else right
         if word[0] == "(":
             inside = word[1:].lower()
-            near = [f for f in self.near(low) if f not in self.links]
-            likely = inside in self.counts and inside not in self.links or inside in known
+            near = self.near(low)
+            likely = self.has(inside) and inside not in self.links or inside in known
             if not near or likely and max(self.fit(f, around) for f in near) < self.fit(inside, around) + 1.0:
                 return self.correct(word[1:], around, other, known)
-        near = [f for f in self.near(low) if f not in self.links]
+        near = self.near(low)
         if near:
             return max(near, key=lambda f: (self.fit(f, around), self.counts[f]))
         if "-" in low:
             parts = low.split("-")
-            fixed = [self.links.get(p) or (p if p in self.counts else max(self.near(p), key=self.counts.get, default=p)) for p in parts]
-            if fixed != parts and all(p in self.counts for p in fixed):
+            fixed = [self.links.get(p) or (p if self.has(p) else max(self.near(p), key=self.counts.get, default=p)) for p in parts]
+            if fixed != parts and all(self.has(p) for p in fixed):
                 return "-".join(fixed)
         if low not in other:  # the other reading of the page may have the same shapes as another word
             g = glyphs(low)
@@ -281,7 +374,7 @@ class Model:
                 return twin if self.likelihood(twin) > self.likelihood(low) else None
         if _ODD.search(low) and re.search(r"[^\W\d_]", low) and not re.search(r"\d.*[.:/$%].*|^\d+(?:st|nd|rd|th|s)?$|\.\w", low):
             return self.name(low) or low.translate(str.maketrans({w: r for w, r in MISREAD if len(w) == 1 and not w.isalpha()}))
-        return self.name(low) if word[:1].isupper() and word.isalpha() and self.trigrams else None
+        return self.name(low) if word[:1].isupper() and word.isalpha() else None
 
 
 _PAGES = "kind string, page_id bigint, book string, place int, title string, a string, b string"
@@ -357,72 +450,263 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c, k in raw.items():
             n[core(c).lower()] += k
         n.pop("", None)
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array(np.array([_hash(w) for w in n], dtype=np.uint64).view(np.int64))], names=["word", "n", "h"])
+
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
-def _model(placed: DataFrame) -> Model:
-    """Three passes over all pages, each reduced inside the tasks to counts by word, bucket or letters."""
-    spark = placed.sparkSession
-    narrow = placed.select("kind", "a", "b", "furn_a", "furn_b")
-    vocabulary = cut(narrow.mapInArrow(_counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
-    top = vocabulary.filter(F.col("n") >= LEAST).orderBy(F.desc("n"), "word").collect()
-    shared = spark.sparkContext.broadcast({r[0]: i for i, r in enumerate(top)})
+
+def word_vectors(counts: np.ndarray, contexts: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """The vector of each word (row of ``counts`` by bucket) that minimises the skip-gram loss against fixed vectors of neighbours.
+
+    ``share`` is how often each bucket is drawn as a negative sample. Newton's method, all words at once.
+    """
+    seen = counts / np.maximum(counts.sum(1, keepdims=True), 1)
+    v = np.zeros((len(counts), contexts.shape[1]))
+    for _ in range(STEPS):
+        p = _sigmoid(v @ contexts.T)
+        slope = (seen * (1 - p) - NEGATIVE * share * p) @ contexts - RIDGE * v
+        bend = np.einsum("wc,ci,cj->wij", (seen + NEGATIVE * share) * p * (1 - p), contexts, contexts, optimize=True)
+        v += np.linalg.solve(bend + RIDGE * np.eye(v.shape[1]), slope[:, :, None])[:, :, 0]
+    return v
+
+
+def _dense(b: pa.RecordBatch) -> np.ndarray:
+    """Counts by bucket of the words of a batch."""
+    out = np.zeros((b.num_rows, BUCKETS))
+    cells = b.column("cells")
+    row = np.repeat(np.arange(b.num_rows), np.diff(cells.offsets.to_numpy()))
+    flat = cells.flatten()
+    np.add.at(out, (row, flat.field("bucket").to_numpy(zero_copy_only=False)), flat.field("n").to_numpy(zero_copy_only=False))
+    return out
+
+
+def _pieces(b: pa.RecordBatch, most: int = 1000) -> Iterator[pa.RecordBatch]:
+    return (b.slice(i, most) for i in range(0, b.num_rows, most))
+
+
+def trained(rows: DataFrame, share: np.ndarray) -> np.ndarray:
+    """The vectors of neighbours, ``BUCKETS`` x ``SIZE``. ``rows``: ``cells`` of every word, at most ``BUCKETS`` each.
+
+    In each round the words' vectors follow from those of neighbours inside the tasks, and the slope and curvature of the loss for
+    every neighbour are summed over all words: one Newton step. The driver gets ``BUCKETS`` rows.
+    """
+    contexts = np.random.default_rng(7).normal(size=(BUCKETS, SIZE))
+    total = float(rows.select(F.sum(F.aggregate("cells", F.lit(0).cast("bigint"), lambda a, x: a + x["n"]))).first()[0] or 1)
+    for _ in range(ROUNDS):
+        shared = contexts
+
+        def run(batches: Iterator[pa.RecordBatch], contexts=shared) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros((BUCKETS, SIZE + SIZE * SIZE))
+            for whole in batches:
+                for b in _pieces(whole):
+                    x = _dense(b)
+                    v = word_vectors(x, contexts, share)
+                    n, p = x.sum(1, keepdims=True), _sigmoid(v @ contexts.T)
+                    sums[:, :SIZE] += (x * (1 - p) - NEGATIVE * n * share * p).T @ v
+                    weight = (x + NEGATIVE * n * share) * p * (1 - p)
+                    sums[:, SIZE:] += np.einsum("wc,wi,wj->cij", weight, v, v, optimize=True).reshape(BUCKETS, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(range(BUCKETS), pa.int32()), pa.array(sums.tolist(), pa.list_(pa.float64()))], names=["c", "s"])
+
+        parts = rows.select("cells").mapInArrow(run, "c int, s array<double>")
+        added = parts.groupBy("c").agg(*[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(SIZE)], F.array(*[F.sum(F.col("s")[SIZE + i]) for i in range(SIZE * SIZE)]).alias("bend")).collect()
+        for r in added:
+            slope, bend = np.array(r[1 : SIZE + 1]) / total, np.array(r["bend"]).reshape(SIZE, SIZE) / total
+            ridge = RIDGE * max(share[r["c"]], 1.0 / BUCKETS)
+            contexts[r["c"]] += np.linalg.solve(bend + ridge * np.eye(SIZE), slope - ridge * contexts[r["c"]])
+    return contexts
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _keys(words):
+    return words.map(keys)
+
+
+@F.pandas_udf(T.StringType())
+def _glyphs(words):
+    return words.map(glyphs)
+
+
+def _cells(narrow: DataFrame, kept_hashes: np.ndarray, whole: bool) -> DataFrame:
+    """``h, cells``: the neighbours of every kept word, two on either side. ``whole``: the hashes are of all kept words."""
+    shared = narrow.sparkSession.sparkContext.broadcast(kept_hashes)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = shared.value
+        hashes = shared.value
+
         class Places(dict):
-            """The number and the bucket of a run of non-blanks as one integer; number 0 for rare words."""
+            """The hash of the word of a run of non-blanks, and whether it may be kept."""
 
             def __missing__(self, chunk: str) -> int:
-                if len(self) > 500_000:
+                if len(self) > 300_000:
                     self.clear()
-                low = core(chunk).lower()
-                self[chunk] = place = (ids.get(low, -1) + 1) * BUCKETS + _bucket(low)
-                return place
+                self[chunk] = h = _hash(core(chunk).lower())
+                return h
 
         places = Places()
         for b in batches:
             own: list[int] = []
+            apart: list[int] = []
             for _, text, furn in _readings(b, "furn"):
                 lines = story(text, set(furn or ()))
                 if any(h in text for h in HYPHENS):
                     own += [places[t[0]] for t in tokens(lines, None, None, None)[0]]
                 else:
                     own += [places[c] for _, line in lines for c in line.split()]
-                own += (-1, -1)  # keeps the texts apart
-            both = np.array(own, dtype=np.int64)
-            word, near = both // BUCKETS - 1, both % BUCKETS
-            keys = []
+                own += (0, 0)  # keeps the texts apart
+                apart.append(len(own))
+            h = np.array(own, dtype=np.uint64)
+            inside = np.ones(len(h), dtype=bool)
+            for e in apart:
+                inside[e - 2 : e] = False
+            at = np.searchsorted(hashes, h)
+            kept = inside & (~np.bool_(whole) | (hashes[np.minimum(at, max(len(hashes) - 1, 0))] == h if len(hashes) else np.zeros(len(h), bool)))
+            near = (h >> np.uint64(7) & np.uint64(BUCKETS - 1)).astype(np.int64)
+            words, number = np.unique(h, return_inverse=True)
+            found = []
             for d in (1, 2):
-                ok = (both[d:] >= 0) & (both[:-d] >= 0)
-                for w, x in ((word[d:], near[:-d]), (word[:-d], near[d:])):
-                    keys.append((w * BUCKETS + x)[ok & (w >= 0)])
-            flat, n = np.unique(np.concatenate(keys), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(n)], names=["cell", "n"])
-
-    cells = narrow.mapInArrow(contexts, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-    matrix = np.zeros((len(top), BUCKETS), dtype=np.float32)
-    for part in cells.toArrow().to_batches() if len(top) else ():  # at most BUCKETS numbers for each word
-        flat = np.asarray(part.column("cell"))
-        matrix[flat // BUCKETS, flat % BUCKETS] = np.asarray(part.column("n"))
-    counts = {r[0]: r[1] for r in top}
-    model = Model(counts, {w: matrix[i] for i, w in enumerate(counts)})
-    plain = spark.sparkContext.broadcast(model)
-
-    def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = plain.value
+                ok = inside[d:] & inside[:-d]
+                for w, k, x in ((number[d:], kept[d:], near[:-d]), (number[:-d], kept[:-d], near[d:])):
+                    found.append((w * BUCKETS + x)[ok & k])
+            flat, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words[flat // BUCKETS].view(np.int64)), pa.array((flat % BUCKETS).astype(np.int32)), pa.array(n)], names=["h", "bucket", "n"])
+
+    cells = narrow.mapInArrow(contexts, "h bigint, bucket int, n bigint").groupBy("h", "bucket").agg(F.sum("n").alias("n"))
+    return cells.groupBy("h").agg(F.collect_list(F.struct("bucket", "n")).alias("cells"))  # at most BUCKETS
+
+
+class Tables:
+    """The vocabulary as tables: kept words with their vectors, links, spellings with a hyphen; and what tasks share."""
+
+    def __init__(self, placed: DataFrame, vectors: bool = True):
+        narrow = placed.select("kind", "a", "b", "furn_a", "furn_b")
+        vocabulary = cut(narrow.mapInArrow(_counted, "word string, n bigint, h bigint").groupBy("word", "h").agg(F.sum("n").alias("n")).filter("n > 0"))
+        kept = vocabulary.filter(F.col("n") >= LEAST)
+        every = _hashes(kept)
+        spark = placed.sparkSession
+        if vectors:
+            contexts = cut(kept.join(_cells(narrow, every, len(every) < FILTER), "h"))
+            shares = {r[0]: r[1] for r in contexts.select(F.explode("cells").alias("c")).groupBy("c.bucket").agg(F.sum("c.n")).collect()}  # BUCKETS
+            share = np.array([shares.get(c, 0) for c in range(BUCKETS)], dtype=float) ** 0.75
+            share /= max(share.sum(), 1e-9)
+            out = trained(contexts, share)
+        else:
+            contexts, share, out = kept.withColumn("cells", F.array().cast("array<struct<bucket:int,n:bigint>>")), np.zeros(BUCKETS), np.zeros((BUCKETS, SIZE))
+
+        def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Vectors, and how well each word fits its own neighbours: mean, deviation."""
+            for whole in batches:
+                for b in _pieces(whole):
+                    x = _dense(b)
+                    v = word_vectors(x, out, share) if vectors else np.zeros((b.num_rows, SIZE))
+                    fit = v @ out.T
+                    own = (x * fit).sum(1) / np.maximum(x.sum(1), 1)
+                    yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), b.column("h"), pa.array(v.astype(np.float32).tolist(), pa.list_(pa.float32())), pa.array(own), pa.array(fit.std(1))], names=["word", "n", "h", "vector", "own", "spread"])
+
+        self.words = cut(contexts.select("word", "n", "h", "cells").mapInArrow(described, "word string, n bigint, h bigint, vector array<float>, own double, spread double").withColumn("g", _glyphs("word")))
+        near = self.words.select("word", "n", F.explode(_keys("word")).alias("g")).join(self.words.select("g", F.col("word").alias("to"), F.col("n").alias("m"), "vector", "own", "spread"), "g")
+        near = near.filter((F.col("word") != F.col("to")) & (F.col("m") >= RATIO * F.col("n")))
+        if vectors:
+            near = near.join(contexts.select("word", "cells"), "word")
+
+            def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for whole in batches:
+                    for b in _pieces(whole):
+                        x = _dense(b)
+                        v = np.array(b.column("vector").to_pylist(), dtype=float).reshape(-1, SIZE)
+                        n = np.maximum(x.sum(1), 1)
+                        fit = (x * (v @ out.T)).sum(1) / n
+                        own, spread = b.column("own").to_numpy(), b.column("spread").to_numpy()
+                        plain = np.array([w.isalpha() and w.isascii() for w in b.column("word").to_pylist()], dtype=bool)
+                        # odd glyphs speak for themselves; a word that stands among other neighbours than ``to`` is a word of its own
+                        ok = ~plain | (fit >= own - APART - 2 * spread / np.sqrt(n))
+                        yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(ok)) for c in ("word", "to", "m")], names=["word", "to", "m"])
+
+            near = near.mapInArrow(alike, "word string, to string, m bigint")
+        self.links = cut(near.groupBy("word").agg(F.max_by("to", F.struct("m", "to")).alias("link")))
+        self.right = self.words.join(self.links, "word", "left_anti")
+        self.spelled = cut(self.words.filter("contains(word, '-')").select("g").distinct())
+        rare = vocabulary.filter((F.col("n") < LEAST) & (F.length("word") >= 4))
+        unlike = rare.select("word", F.explode(_keys("word")).alias("g")).join(self.words.select("g"), "g", "left_semi").select("word").distinct()
+
+        def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = Letters()
+            for b in batches:
+                for w in b.column("word").to_pylist():
+                    if w.isalpha():
+                        t.add(w)
+            at = np.flatnonzero(t.n)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(t.n.ravel()[at])], names=["at", "n"])
+
+        table = Letters()
+        for r in rare.select("word").join(unlike, "word", "left_anti").mapInArrow(letters, "at bigint, n double").groupBy("at").agg(F.sum("n")).toLocalIterator():  # letters, cubed
+            table.n.ravel()[r[0]] = r[1]
+        self.shared = Shared(_hashes(self.right), out, table.ready())
+        self.broadcast = spark.sparkContext.broadcast(self.shared)
+
+    def answers(self, words: DataFrame) -> DataFrame:
+        """``word, n, link, near`` of the words asked about of which anything is known."""
+        asked = words.select("word").distinct()
+        near = asked.select("word", F.explode(_keys("word")).alias("g")).join(self.right.select("g", F.struct("word", "n", "vector").alias("f")), "g").filter(F.col("f.word") != F.col("word"))
+        lists = near.groupBy("word").agg(F.array_sort(F.collect_list("f")).alias("near"))  # words of the same glyphs
+        return asked.join(self.words.select("word", "n"), "word", "left").join(self.links, "word", "left").join(lists, "word", "left").filter("n is not null or near is not null")
+
+
+def _hashes(words: DataFrame) -> np.ndarray:
+    """The hashes of the most frequent words, sorted: ``FILTER`` at most."""
+    few = words.select("h", "n").orderBy(F.desc("n"), "h").limit(FILTER).select("h").toArrow()
+    return np.sort(few.column("h").to_numpy().view(np.uint64)) if few.num_rows else np.zeros(0, np.uint64)
+
+
+_ASK = "kind string, page_id bigint, what string, word string"
+_ASK_KIND = pa.schema([("kind", pa.string()), ("page_id", pa.int64()), ("what", pa.string()), ("word", pa.string())])
+
+
+def _asks(shared):
+    """What each page asks: words, spellings and beginnings of spellings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asking = Asking(shared.value)
         for b in batches:
-            n: Counter = Counter()
-            for w in b.column("word").to_pylist():
-                if w.isalpha() and w not in m.counts and not m.near(w):
-                    n.update(f"^{w}$"[i : i + 3] for i in range(len(w)))
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["t", "n"])
+            rows = set()
+            kinds = {f: k for k, fs in FIELDS.items() for f in fs}
+            for field, text, furn, page in _readings(b, "furn", "page_id"):
+                lines = story(text, set(furn or ()))
+                own = [c for _, line in lines for c in _CHUNK.findall(line)]
+                if any(h in text for h in HYPHENS):
+                    for answer in (False, True):
+                        noted = _Asked(answer)
+                        own += [t[0] for t in tokens(lines, noted, None, None)[0]]
+                        rows |= {(kinds[field], page, "spelled", w) for w in noted.words} | {(kinds[field], page, "begins", w) for w in noted.beginnings}
+                rows |= {(kinds[field], page, "word", w) for c in own for w in asking(c)}
+            yield _batch(list(rows), _ASK_KIND)
 
-    names = vocabulary.filter("length(word) between 4 and 40").select("word").mapInArrow(letters, "t string, n bigint").groupBy("t").agg(F.sum("n").alias("n"))
-    return Model(counts, {w: matrix[i] for i, w in enumerate(counts)}, {r[0]: r[1] for r in names.orderBy(F.desc("n"), "t").collect()})
+    return run
 
 
-def _judge(model: Model, text: str, furn, title: str | None, other: str | None, after: str | None, before: str | None, with_text: bool = True) -> tuple[list[int], list[int], str | None]:
+def _overleaf_asks(shared):
+    """What pages ask about words that begin on one and end on the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asking = Asking(shared.value)
+        for b in batches:
+            rows = set()
+            for kind, page, part, follow in zip(*[b.column(c).to_pylist() for c in ("kind", "page_id", "part", "follow")]):
+                rows.add((kind, page, "spelled", glyphs(core(part) + "-" + core(follow))))
+                rows |= {(kind, page, "word", w) for c in (part + follow, part + "-" + follow) for w in asking(c)}
+            yield _batch(list(rows), _ASK_KIND)
+
+    return run
+
+
+def _lows(text: str | None) -> set[str]:
+    """The words of a text in small letters, with and without a possessive ending."""
+    out = {core(w).lower() for w in (text or "").split()}
+    return out | {w[:-2] for w in out if w.endswith(("'s", "’s"))}
+
+
+def _judge(model: Answers, text: str, furn, title: str | None, other: str | None, after: str | None, before: str | None, with_text: bool = True) -> tuple[list[int], list[int], str | None]:
     """Lines with a broken word, lines with a misread one, and the clean text of a page, if it is wanted."""
     own, broken, _ = tokens(story(text, set(furn or ())), model.spelled, after, before)
     facts = [model.seen(chunk) for chunk, *_ in own]
@@ -439,8 +723,7 @@ def _judge(model: Model, text: str, furn, title: str | None, other: str | None,
             continue
         chunk, line, last, part = own[i]
         if known is None:
-            known = {model.seen(w)[1] for w in (title or "").split()}
-            rest = {model.seen(w)[1] for w in (other or "").split()}
+            known, rest = _lows(title), _lows(other)
         around = [] if decided else [_bucket(facts[j][1]) for j in (i - 2, i - 1, i + 1, i + 2) if 0 <= j < len(own)]
         right = model.correct(chunk, around, rest, known)
         if "�" in chunk and right is None:
@@ -489,50 +772,71 @@ def _page_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for field, text, furn, *own in _readings(b, "furn", "kind", "page_id", "book", "place"):
             lines = story(text, set(furn or ()))
             first = _CHUNK.search(lines[0][1]).group() if lines else None
-            end = lines[-1][1].rstrip()[-80:].split()[-1] if lines else ""
+            end = lines[-1][1].rsplit(None, 1)[-1].rstrip() if lines else ""
             last = end[:-1] if len(end) > 1 and end[-1] in HYPHENS and end[-2].isalnum() and any(c.isalpha() for c in end) else None
             rows.append((field, *own, first, last))
         yield _batch(rows, _END_KIND)
 
 
 def overleaf(placed: DataFrame) -> DataFrame:
-    """``kind, page_id, after_a, after_b, before_a, before_b``: the first word of the next page of pages that end in a broken
-    word, and that word for the next page. Joined by place, so that a book of any length is spread."""
+    """``field, kind, page_id, after, before, part, follow``: the first word of the next page of pages that end in a broken
+    word, or that word for the next page; the two parts of the word. Joined by place, so that a book of any length is spread."""
     ends = cut(placed.select("kind", "page_id", "book", "place", "a", "b", "furn_a", "furn_b").mapInArrow(_page_ends, "field string, kind string, page_id bigint, book string, place int, first string, last string").filter("book is not null"))
     firsts = ends.filter("first is not null").groupBy("field", "book", "place").agg(F.min_by("first", "page_id").alias("first"), F.min_by("last", "page_id").alias("last"))
     step = F.explode(F.array(F.lit(1), F.lit(2))).alias("step")
-    asks = ends.filter("last is not null").select("field", "kind", "page_id", "book", F.col("place").alias("own"), step).withColumn("place", F.col("own") + F.col("step"))
-    after = asks.join(firsts.select("field", "book", "place", "first"), ["field", "book", "place"]).groupBy("field", "kind", "page_id").agg(F.min_by("first", "step").alias("after"))
+    asks = ends.filter("last is not null").select("field", "kind", "page_id", "book", F.col("last").alias("part"), F.col("place").alias("own"), step).withColumn("place", F.col("own") + F.col("step"))
+    after = asks.join(firsts.select("field", "book", "place", "first"), ["field", "book", "place"]).groupBy("field", "kind", "page_id").agg(F.min_by("first", "step").alias("after"), F.first("part").alias("part"))
     tails = firsts.select("field", "book", F.col("place").alias("from"), "last", step).withColumn("place", F.col("from") + F.col("step"))
     prior = tails.groupBy("field", "book", "place").agg(F.min_by(F.struct("last"), "step").alias("l")).filter("l.last is not null").select("field", "book", "place", F.col("l.last").alias("before"))
-    before = ends.select("field", "kind", "page_id", "book", "place").join(prior, ["field", "book", "place"]).select("field", "kind", "page_id", "before")
+    before = ends.select("field", "kind", "page_id", "book", "place", F.col("first").alias("follow")).join(prior, ["field", "book", "place"]).select("field", "kind", "page_id", "before", "follow")
     none = F.lit(None).cast("string")
-    both = after.withColumn("before", none).unionByName(before.withColumn("after", none))
-    second = F.col("field") == FIELDS["ocr"][1]
-    pick = lambda c, own: F.max(F.when(second if own == "b" else ~second, F.col(c))).alias(f"{c}_{own}")
-    return both.groupBy("kind", "page_id").agg(pick("after", "a"), pick("after", "b"), pick("before", "a"), pick("before", "b"))
+    return after.select("*", none.alias("before"), F.col("after").alias("follow")).unionByName(before.select("*", none.alias("after"), F.col("before").alias("part")))
 
 
-def restored(ocr: DataFrame, records: DataFrame, library: DataFrame, with_text: bool = True) -> DataFrame:
+def restored(ocr: DataFrame, records: DataFrame, library: DataFrame, with_text: bool = True, vectors: bool = True) -> DataFrame:
     """``field, page_id, broken, misread, furniture, text`` of every reading that isn't null.
 
     ``text`` is the clean page (null without ``with_text``); empty pages come out empty. A page delivered twice is restored twice. The next page is the
-    one behind in the same book and field; where it is missing, a word broken at the page's end stays as it is.
+    one behind in the same book and field; where it is missing, a word broken at the page's end stays as it is. ``vectors`` off leaves
+    everything to glyphs and counts, for comparison.
     """
     placed = cut(spread(pages(ocr, records, library)))
-    model = placed.sparkSession.sparkContext.broadcast(_model(placed))
+    tables = Tables(placed, vectors)
+    shared, page = tables.broadcast, ["kind", "page_id"]
+    turns = cut(overleaf(placed))
+    both = turns.filter("part is not null and follow is not null").select(*page, "part", "follow").distinct()
+    asks = cut(placed.mapInArrow(_asks(shared), _ASK).unionByName(both.mapInArrow(_overleaf_asks(shared), _ASK)).distinct())
+    words = asks.filter("what = 'word'").select(*page, "word")
+    answers = join_small(words, cut(tables.answers(words)), "word")
+    begins = tables.spelled.select(F.explode(F.expr("transform(filter(sequence(1, length(g)), i -> substring(g, i, 1) = '-'), i -> left(g, i))")).alias("word")).distinct()
+    hyphens = join_small(asks.filter("what = 'spelled'").select(*page, "word"), tables.spelled.withColumnRenamed("g", "word"), "word", "left_semi")
+    starts = join_small(asks.filter("what = 'begins'").select(*page, "word"), begins, "word", "left_semi")
+    second = F.col("field") == FIELDS["ocr"][1]
+    small = None
+    for name, df, value in (
+        ("answers", answers, F.struct("word", "n", "link", "near")), ("spelled", hyphens, F.col("word")), ("begins", starts, F.col("word")), ("after_a", turns.filter(~second), F.col("after")), ("after_b", turns.filter(second), F.col("after")),
+        ("before_a", turns.filter(~second), F.col("before")), ("before_b", turns.filter(second), F.col("before")),
+    ):
+        one = df.select(*page, value.alias(name)).filter(F.col(name).isNotNull())
+        small = one if small is None else small.unionByName(one, allowMissingColumns=True)
+    lists = [F.collect_list(c).alias(c) for c in ("answers", "spelled", "begins")]
+    facts = small.groupBy(*page).agg(*lists, *[F.max(c).alias(c) for c in ("after_a", "after_b", "before_a", "before_b")])  # about one page's words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
+        others = {f: i for i, f in enumerate(FIELDS["ocr"])}
+        m = Answers(shared.value)
         for b in batches:
-            others = {f: i for i, f in enumerate(FIELDS["ocr"])}
+            if len(m.counts) > 300_000:
+                m = Answers(shared.value)
+            for row in zip(*[b.column(c).to_pylist() for c in ("answers", "spelled", "begins")]):
+                m.take(*row)
             rows = []
-            for field, text, a, b_, page, title, furn, after, before in _readings(b, "a", "b", "page_id", "title", "furn", "after", "before"):
+            for field, text, a, b_, page_, title, furn, after, before in _readings(b, "a", "b", "page_id", "title", "furn", "after", "before"):
                 broken, misread, clean_ = _judge(m, text, furn, title, b_ if others.get(field) == 0 else a if others.get(field) == 1 else None, after, before, with_text)
-                rows.append((field, page, sorted(set(broken)), misread, sorted(furn or ()), clean_))
+                rows.append((field, page_, sorted(set(broken)), misread, sorted(furn or ()), clean_))
             yield _batch(rows, _DONE_KIND)
 
-    return placed.join(overleaf(placed), ["kind", "page_id"], "left").mapInArrow(run, _DONE)
+    return placed.join(facts, page, "left").mapInArrow(run, _DONE)
 
 
 def found(ocr: DataFrame, records: DataFrame, library: DataFrame) -> DataFrame:
