@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from lexiloom.session import cut, join_small
 
 #: Fewest occurrences of a word that is kept and has a vector, buckets of neighbours.
-LEAST, BUCKETS = 5, 128
+LEAST, BUCKETS = 5, 64
 #: Size of vectors, negative samples for each neighbour, rounds and steps of training, weight that keeps vectors small.
 SIZE, NEGATIVE, ROUNDS, STEPS, RIDGE = 16, 2.0, 3, 4, 0.02
 #: Words whose hashes every task gets, 8 bytes each.
@@ -44,8 +44,8 @@ FILTER = 2_000_000
 RATIO, APART = 15, 1.0
 #: Pages of a book, or books, on which a line at the edge must come again to be a header.
 PAGES, BOOKS = 2, 5
-#: The gain in log likelihood at which a name counts as misread.
-GAIN = 4.0
+#: The gain in log likelihood at which a name counts as misread; how much better than a word in brackets one with a letter must fit.
+GAIN, MARGIN = 4.0, 0.5
 
 #: What is misread for what, wrong form first.
 MISREAD = [
@@ -231,7 +231,7 @@ class Letters:
 class Shared:
     """What every task gets, of a size that doesn't grow with the pages beyond ``FILTER``."""
 
-    def __init__(self, frequent: np.ndarray, contexts: np.ndarray, letters: Letters):
+    def __init__(self, frequent: np.ndarray, contexts: np.ndarray | None = None, letters: Letters | None = None):
         self.frequent, self.contexts, self.letters = frequent, contexts, letters
 
     def surely(self, low: str) -> bool:
@@ -294,7 +294,7 @@ class Answers:
             for f in r["near"] or ():
                 self.counts[f["word"]] = f["n"]
                 if f["word"] not in self.vectors and f["vector"] is not None:
-                    self.vectors[f["word"]] = np.asarray(f["vector"], dtype=np.float32)
+                    self.vectors[f["word"]] = np.frombuffer(f["vector"], dtype=np.float32)
         self.spelled.update(spelled or ())
         self.spelled.beginnings.update(beginnings or ())
 
@@ -357,7 +357,7 @@ class Answers:
             inside = word[1:].lower()
             near = self.near(low)
             likely = self.has(inside) and inside not in self.links or inside in known
-            if not near or likely and max(self.fit(f, around) for f in near) < self.fit(inside, around) + 1.0:
+            if not near or likely and max(self.fit(f, around) for f in near) < self.fit(inside, around) + MARGIN:
                 return self.correct(word[1:], around, other, known)
         near = self.near(low)
         if near:
@@ -528,15 +528,20 @@ def _glyphs(words):
     return words.map(glyphs)
 
 
-def _cells(narrow: DataFrame, kept_hashes: np.ndarray, whole: bool) -> DataFrame:
-    """``h, cells``: the neighbours of every kept word, two on either side. ``whole``: the hashes are of all kept words."""
-    shared = narrow.sparkSession.sparkContext.broadcast(kept_hashes)
+_READ = "h bigint, bucket int, n bigint, kind string, page_id bigint, what string, word string"
+_READ_KIND = pa.schema([("h", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("kind", pa.string()), ("page_id", pa.int64()), ("what", pa.string()), ("word", pa.string())])
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = shared.value
+
+def _read(hashes, sure, whole: bool):
+    """One pass over the pages: the neighbours of every kept word, two on either side (``h, bucket, n``), and what each page asks:
+    words, spellings and beginnings of spellings (``kind, page_id, what, word``). ``whole``: the hashes are of all kept words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_hashes, asking = hashes.value, Asking(sure.value)
+        kinds = {f: k for k, fs in FIELDS.items() for f in fs}
 
         class Places(dict):
-            """The hash of the word of a run of non-blanks, and whether it may be kept."""
+            """The hash of the word of a run of non-blanks."""
 
             def __missing__(self, chunk: str) -> int:
                 if len(self) > 300_000:
@@ -548,32 +553,44 @@ def _cells(narrow: DataFrame, kept_hashes: np.ndarray, whole: bool) -> DataFrame
         for b in batches:
             own: list[int] = []
             apart: list[int] = []
-            for _, text, furn in _readings(b, "furn"):
+            rows: set[tuple] = set()
+            for field, text, furn, page in _readings(b, "furn", "page_id"):
                 lines = story(text, set(furn or ()))
+                kind = kinds[field]
+                chunks = [c for _, line in lines for c in line.split()]
                 if any(h in text for h in HYPHENS):
-                    own += [places[t[0]] for t in tokens(lines, None, None, None)[0]]
+                    joined: list[str] = []
+                    for answer in (True, False):
+                        noted = _Asked(answer)
+                        last, joined = joined, [t[0] for t in tokens(lines, noted, None, None)[0]]
+                        rows.update((kind, page, "spelled", w) for w in noted.words)
+                        rows.update((kind, page, "begins", w) for w in noted.beginnings)
+                    own += [places[c] for c in joined]
+                    chunks += last + joined
                 else:
-                    own += [places[c] for _, line in lines for c in line.split()]
+                    own += [places[c] for c in chunks]
                 own += (0, 0)  # keeps the texts apart
                 apart.append(len(own))
+                rows.update((kind, page, "word", w) for c in set(chunks) for w in asking(c))
+            yield _batch([(None, None, None, *r) for r in rows], _READ_KIND)
             h = np.array(own, dtype=np.uint64)
             inside = np.ones(len(h), dtype=bool)
-            for e in apart:
-                inside[e - 2 : e] = False
-            at = np.searchsorted(hashes, h)
-            kept = inside & (~np.bool_(whole) | (hashes[np.minimum(at, max(len(hashes) - 1, 0))] == h if len(hashes) else np.zeros(len(h), bool)))
+            ends = np.array(apart, dtype=np.int64)
+            inside[ends - 1] = inside[ends - 2] = False
             near = (h >> np.uint64(7) & np.uint64(BUCKETS - 1)).astype(np.int64)
             words, number = np.unique(h, return_inverse=True)
+            at = np.minimum(np.searchsorted(kept_hashes, words), max(len(kept_hashes) - 1, 0))
+            known = (kept_hashes[at] == words if len(kept_hashes) else np.zeros(len(words), bool)) | (not whole)
+            kept = inside & known[number]
             found = []
             for d in (1, 2):
                 ok = inside[d:] & inside[:-d]
                 for w, k, x in ((number[d:], kept[d:], near[:-d]), (number[:-d], kept[:-d], near[d:])):
                     found.append((w * BUCKETS + x)[ok & k])
             flat, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words[flat // BUCKETS].view(np.int64)), pa.array((flat % BUCKETS).astype(np.int32)), pa.array(n)], names=["h", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(words[flat // BUCKETS].view(np.int64)), pa.array((flat % BUCKETS).astype(np.int32)), pa.array(n.astype(np.int64)), *[pa.nulls(len(flat), f.type) for f in list(_READ_KIND)[3:]]], schema=_READ_KIND)
 
-    cells = narrow.mapInArrow(contexts, "h bigint, bucket int, n bigint").groupBy("h", "bucket").agg(F.sum("n").alias("n"))
-    return cells.groupBy("h").agg(F.collect_list(F.struct("bucket", "n")).alias("cells"))  # at most BUCKETS
+    return run
 
 
 class Tables:
@@ -583,10 +600,17 @@ class Tables:
         narrow = placed.select("kind", "a", "b", "furn_a", "furn_b")
         vocabulary = cut(narrow.mapInArrow(_counted, "word string, n bigint, h bigint").groupBy("word", "h").agg(F.sum("n").alias("n")).filter("n > 0"))
         kept = vocabulary.filter(F.col("n") >= LEAST)
-        every = _hashes(kept)
+        g = cut(kept.withColumn("g", _glyphs("word")))
+        near = g.select("word", "n", F.explode(_keys("word")).alias("g")).join(g.select("g", F.col("word").alias("to"), F.col("n").alias("m")), "g")
+        near = cut(near.filter((F.col("word") != F.col("to")) & (F.col("m") >= RATIO * F.col("n"))).select("word", "to", "m"))
+        sure = kept.join(near.select("word").distinct(), "word", "left_anti")
         spark = placed.sparkSession
+        every, self.sure = _hashes(kept), spark.sparkContext.broadcast(Shared(_hashes(sure)))
+        read = cut(placed.select("kind", "page_id", "a", "b", "furn_a", "furn_b").mapInArrow(_read(spark.sparkContext.broadcast(every), self.sure, len(every) < FILTER), _READ))
+        self.asks = read.filter("what is not null").select("kind", "page_id", "what", "word")
         if vectors:
-            contexts = cut(kept.join(_cells(narrow, every, len(every) < FILTER), "h"))
+            cells = read.filter("what is null").groupBy("h", "bucket").agg(F.sum("n").alias("n")).groupBy("h").agg(F.collect_list(F.struct("bucket", "n")).alias("cells"))  # at most BUCKETS
+            contexts = cut(kept.join(cells, "h"))
             shares = {r[0]: r[1] for r in contexts.select(F.explode("cells").alias("c")).groupBy("c.bucket").agg(F.sum("c.n")).collect()}  # BUCKETS
             share = np.array([shares.get(c, 0) for c in range(BUCKETS)], dtype=float) ** 0.75
             share /= max(share.sum(), 1e-9)
@@ -602,19 +626,17 @@ class Tables:
                     v = word_vectors(x, out, share) if vectors else np.zeros((b.num_rows, SIZE))
                     fit = v @ out.T
                     own = (x * fit).sum(1) / np.maximum(x.sum(1), 1)
-                    yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), b.column("h"), pa.array(v.astype(np.float32).tolist(), pa.list_(pa.float32())), pa.array(own), pa.array(fit.std(1))], names=["word", "n", "h", "vector", "own", "spread"])
+                    yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), b.column("h"), pa.array([x.tobytes() for x in v.astype(np.float32)], pa.binary()), pa.array(own), pa.array(fit.std(1))], names=["word", "n", "h", "vector", "own", "spread"])
 
-        self.words = cut(contexts.select("word", "n", "h", "cells").mapInArrow(described, "word string, n bigint, h bigint, vector array<float>, own double, spread double").withColumn("g", _glyphs("word")))
-        near = self.words.select("word", "n", F.explode(_keys("word")).alias("g")).join(self.words.select("g", F.col("word").alias("to"), F.col("n").alias("m"), "vector", "own", "spread"), "g")
-        near = near.filter((F.col("word") != F.col("to")) & (F.col("m") >= RATIO * F.col("n")))
+        self.words = cut(contexts.select("word", "n", "h", "cells").mapInArrow(described, "word string, n bigint, h bigint, vector binary, own double, spread double").withColumn("g", _glyphs("word")))
         if vectors:
-            near = near.join(contexts.select("word", "cells"), "word")
+            near = near.join(contexts.select("word", "cells"), "word").join(self.words.select(F.col("word").alias("to"), "vector", "own", "spread"), "to")
 
             def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for whole in batches:
                     for b in _pieces(whole):
                         x = _dense(b)
-                        v = np.array(b.column("vector").to_pylist(), dtype=float).reshape(-1, SIZE)
+                        v = np.frombuffer(b"".join(b.column("vector").to_pylist()), dtype=np.float32).reshape(-1, SIZE).astype(float)
                         n = np.maximum(x.sum(1), 1)
                         fit = (x * (v @ out.T)).sum(1) / n
                         own, spread = b.column("own").to_numpy(), b.column("spread").to_numpy()
@@ -642,14 +664,15 @@ class Tables:
         table = Letters()
         for r in rare.select("word").join(unlike, "word", "left_anti").mapInArrow(letters, "at bigint, n double").groupBy("at").agg(F.sum("n")).toLocalIterator():  # letters, cubed
             table.n.ravel()[r[0]] = r[1]
-        self.shared = Shared(_hashes(self.right), out, table.ready())
-        self.broadcast = spark.sparkContext.broadcast(self.shared)
+        self.broadcast = spark.sparkContext.broadcast(Shared(self.sure.value.frequent, out, table.ready()))
 
     def answers(self, words: DataFrame) -> DataFrame:
         """``word, n, link, near`` of the words asked about of which anything is known."""
         asked = words.select("word").distinct()
         near = asked.select("word", F.explode(_keys("word")).alias("g")).join(self.right.select("g", F.struct("word", "n", "vector").alias("f")), "g").filter(F.col("f.word") != F.col("word"))
         lists = near.groupBy("word").agg(F.array_sort(F.collect_list("f")).alias("near"))  # words of the same glyphs
+        # vectors only where they decide: between several, or between a letter and a bracket
+        lists = lists.withColumn("near", F.when((F.size("near") > 1) | F.col("word").startswith("("), F.col("near")).otherwise(F.transform("near", lambda f: f.withField("vector", F.lit(None).cast("binary")))))
         return asked.join(self.words.select("word", "n"), "word", "left").join(self.links, "word", "left").join(lists, "word", "left").filter("n is not null or near is not null")
 
 
@@ -663,28 +686,6 @@ _ASK = "kind string, page_id bigint, what string, word string"
 _ASK_KIND = pa.schema([("kind", pa.string()), ("page_id", pa.int64()), ("what", pa.string()), ("word", pa.string())])
 
 
-def _asks(shared):
-    """What each page asks: words, spellings and beginnings of spellings."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asking = Asking(shared.value)
-        for b in batches:
-            rows = set()
-            kinds = {f: k for k, fs in FIELDS.items() for f in fs}
-            for field, text, furn, page in _readings(b, "furn", "page_id"):
-                lines = story(text, set(furn or ()))
-                own = [c for _, line in lines for c in _CHUNK.findall(line)]
-                if any(h in text for h in HYPHENS):
-                    for answer in (False, True):
-                        noted = _Asked(answer)
-                        own += [t[0] for t in tokens(lines, noted, None, None)[0]]
-                        rows |= {(kinds[field], page, "spelled", w) for w in noted.words} | {(kinds[field], page, "begins", w) for w in noted.beginnings}
-                rows |= {(kinds[field], page, "word", w) for c in own for w in asking(c)}
-            yield _batch(list(rows), _ASK_KIND)
-
-    return run
-
-
 def _overleaf_asks(shared):
     """What pages ask about words that begin on one and end on the next."""
 
@@ -805,7 +806,7 @@ def restored(ocr: DataFrame, records: DataFrame, library: DataFrame, with_text:
     shared, page = tables.broadcast, ["kind", "page_id"]
     turns = cut(overleaf(placed))
     both = turns.filter("part is not null and follow is not null").select(*page, "part", "follow").distinct()
-    asks = cut(placed.mapInArrow(_asks(shared), _ASK).unionByName(both.mapInArrow(_overleaf_asks(shared), _ASK)).distinct())
+    asks = tables.asks.unionByName(cut(both.mapInArrow(_overleaf_asks(tables.sure), _ASK)))
     words = asks.filter("what = 'word'").select(*page, "word")
     answers = join_small(words, cut(tables.answers(words)), "word")
     begins = tables.spelled.select(F.explode(F.expr("transform(filter(sequence(1, length(g)), i -> substring(g, i, 1) = '-'), i -> left(g, i))")).alias("word")).distinct()
