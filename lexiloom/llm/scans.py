@@ -24,6 +24,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +63,7 @@ _ODD = re.compile("[0-9@+†|ſ(�]")
 _NUMERIC = re.compile(r"[$€£#]?\d[\d.,:/%–-]*")
 _EDGE = ".,!?;:…—“”\"'’‘)]}»«[{"
 _CHUNK = re.compile(r"\S+")
+_BREAK = re.compile(rf"\S[{HYPHENS}](?!\S)")
 _BROKEN = re.compile(rf"([^\W\d_][^\s]*?|[^\s]*[^\W\d_])[{HYPHENS}]\s*\Z")
 _INNER = re.compile(rf"(\S*[^\W\d_])[{HYPHENS}]\s+(\S+)")
 _NUMBER = r"(?:[\[(·•–—-]?\s*(?:[Pp][\w@]{0,3}\.?\s+|[Pp]\.\s*)?\d{1,4}(?:\s*/\s*\d{1,4})?\s*[\])·•–—|-]?)"
@@ -70,6 +72,7 @@ _NUMBER_FIRST, _NUMBER_LAST = re.compile(rf"\A(?:{_NUMBER}|[ivxl]{{1,6}})\s+(?=\
 _TITLE_SMALL = {"a", "an", "the", "and", "of", "for", "at", "in", "to", "on", "•", "·", "-", ":"}
 
 
+@lru_cache(200_000)
 def glyphs(text: str) -> str:
     """The text as the shapes it is made of: equal for texts that may be read as one another."""
     text = text.lower()
@@ -153,6 +156,8 @@ def tokens(lines: list[tuple[int, str]], spelled: Spelled | None, after: str | N
     has the glyphs of words that are spelled with a hyphen; ``after`` and ``before`` are the first word of the next page and
     the broken word at the end of the page before.
     """
+    if not before and not any(_BREAK.search(line) for _, line in lines):
+        return [(c, no, no, len(c)) for no, line in lines for c in line.split()], [], False
     out: list[tuple[str, int, int, int]] = []
     broken: list[int] = []
     pending: tuple[str, str, int] | None = (before, "-", 0) if before else None
@@ -168,7 +173,13 @@ def tokens(lines: list[tuple[int, str]], spelled: Spelled | None, after: str | N
                 broken.append(at)
 
     for k, (no, line) in enumerate(lines):
-        chunks = _CHUNK.findall(line)
+        chunks = line.split()
+        if pending and chunks:
+            close(*pending, chunks.pop(0), no)
+            pending = None
+        if not single and chunks and not (chunks[-1][-1] in HYPHENS and len(chunks[-1]) > 1):
+            out += [(c, no, no, len(c)) for c in chunks]
+            continue
         for j, chunk in enumerate(chunks):
             if pending:
                 close(*pending, chunk, no)
@@ -348,7 +359,7 @@ class Answers:
             self.memo[chunk] = m
         return m
 
-    def correct(self, chunk: str, around: list[int], other: set[str], known: set[str]) -> str | None:
+    def correct(self, chunk: str, around: list[int], other: "Other", known: set[str]) -> str | None:
         """What a run of non-blanks was, in lower case, if it seems misread; None if it seems right."""
         word, low, right, decided = self.seen(chunk)
         if decided or low in known:
@@ -368,8 +379,7 @@ class Answers:
             if fixed != parts and all(self.has(p) for p in fixed):
                 return "-".join(fixed)
         if low not in other:  # the other reading of the page may have the same shapes as another word
-            g = glyphs(low)
-            twin = next((o for o in other if o != low and glyphs(o) == g), None)
+            twin = other.twin(low)
             if twin:
                 return twin if self.likelihood(twin) > self.likelihood(low) else None
         if _ODD.search(low) and re.search(r"[^\W\d_]", low) and not re.search(r"\d.*[.:/$%].*|^\d+(?:st|nd|rd|th|s)?$|\.\w", low):
@@ -439,7 +449,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, text, furn in _readings(b, "furn"):
             tail = True
             for _, line in story(text, set(furn or ())):
-                chunks = _CHUNK.findall(line)
+                chunks = line.split()
                 raw.update(chunks)
                 # parts of broken words are no words; neither may be the first of a page
                 for c in chunks if len(chunks) < 3 or any(h in line for h in HYPHENS) else (chunks[0], chunks[-1]):
@@ -538,7 +548,7 @@ def _read(hashes, sure, whole: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_hashes, asking = hashes.value, Asking(sure.value)
-        kinds = {f: k for k, fs in FIELDS.items() for f in fs}
+        kinds, memo = {f: k for k, fs in FIELDS.items() for f in fs}, asking.memo
 
         class Places(dict):
             """The hash of the word of a run of non-blanks."""
@@ -558,20 +568,25 @@ def _read(hashes, sure, whole: bool):
                 lines = story(text, set(furn or ()))
                 kind = kinds[field]
                 chunks = [c for _, line in lines for c in line.split()]
-                if any(h in text for h in HYPHENS):
-                    joined: list[str] = []
-                    for answer in (True, False):
-                        noted = _Asked(answer)
-                        last, joined = joined, [t[0] for t in tokens(lines, noted, None, None)[0]]
+                if _BREAK.search(text):
+                    noted = _Asked(False)
+                    joined = [t[0] for t in tokens(lines, noted, None, None)[0]]
+                    own += [places[c] for c in joined]
+                    chunks += joined
+                    if noted.words or noted.beginnings:
                         rows.update((kind, page, "spelled", w) for w in noted.words)
                         rows.update((kind, page, "begins", w) for w in noted.beginnings)
-                    own += [places[c] for c in joined]
-                    chunks += last + joined
+                        chunks += [t[0] for t in tokens(lines, _Asked(True), None, None)[0]]
                 else:
                     own += [places[c] for c in chunks]
                 own += (0, 0)  # keeps the texts apart
                 apart.append(len(own))
-                rows.update((kind, page, "word", w) for c in set(chunks) for w in asking(c))
+                for c in chunks:
+                    words_ = memo.get(c)
+                    if words_ is None:
+                        words_ = asking(c)
+                    for w in words_:
+                        rows.add((kind, page, "word", w))
             yield _batch([(None, None, None, *r) for r in rows], _READ_KIND)
             h = np.array(own, dtype=np.uint64)
             inside = np.ones(len(h), dtype=bool)
@@ -701,21 +716,47 @@ def _overleaf_asks(shared):
     return run
 
 
+@lru_cache(200_000)
+def _low(chunk: str) -> str:
+    return core(chunk).lower()
+
+
 def _lows(text: str | None) -> set[str]:
     """The words of a text in small letters, with and without a possessive ending."""
-    out = {core(w).lower() for w in (text or "").split()}
+    out = {_low(w) for w in (text or "").split()}
     return out | {w[:-2] for w in out if w.endswith(("'s", "’s"))}
 
 
+class Other:
+    """The words of the other reading of a page; read only when asked for."""
+
+    def __init__(self, text: str | None):
+        self.text, self.words, self.shapes = text, None, {}
+
+    def __contains__(self, low: str) -> bool:
+        if self.words is None:
+            self.words = _lows(self.text)
+            for w in sorted(self.words, reverse=True):
+                self.shapes.setdefault(glyphs(w), []).append(w)
+        return low in self.words
+
+    def twin(self, low: str) -> str | None:
+        """Another word of the same shapes."""
+        return next((w for w in self.shapes.get(glyphs(low), ()) if w != low), None)
+
+
 def _judge(model: Answers, text: str, furn, title: str | None, other: str | None, after: str | None, before: str | None, with_text: bool = True) -> tuple[list[int], list[int], str | None]:
     """Lines with a broken word, lines with a misread one, and the clean text of a page, if it is wanted."""
     own, broken, _ = tokens(story(text, set(furn or ())), model.spelled, after, before)
-    facts = [model.seen(chunk) for chunk, *_ in own]
+    memo = model.memo
+    facts = [memo.get(t[0]) or model.seen(t[0]) for t in own]
     known = rest = None
     misread: set[int] = set()
     cleaned = [t[0] for t in own]
     lost = "�" in text or "�" in (after or "")
-    for i, (body, _, right, decided) in enumerate(facts):
+    doubtful = range(len(facts)) if lost else [i for i, f in enumerate(facts) if f[2] is not None or not f[3]]
+    for i in doubtful:
+        body, _, right, decided = facts[i]
         if right is None and decided:
             if lost and "�" in cleaned[i]:
                 chunk, line, last, part = own[i]
@@ -724,7 +765,7 @@ def _judge(model: Answers, text: str, furn, title: str | None, other: str | None
             continue
         chunk, line, last, part = own[i]
         if known is None:
-            known, rest = _lows(title), _lows(other)
+            known, rest = _lows(title), Other(other)
         around = [] if decided else [_bucket(facts[j][1]) for j in (i - 2, i - 1, i + 1, i + 2) if 0 <= j < len(own)]
         right = model.correct(chunk, around, rest, known)
         if "�" in chunk and right is None:
