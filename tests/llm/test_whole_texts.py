@@ -1,6 +1,11 @@
 """Operators that once left out rows or words."""
 
+import random
+
+from pyspark.sql import functions as F
+
 from lexiloom.llm import leaks, scans
+from lexiloom.session import cut
 
 
 def test_no_word_of_the_corpus_is_left_out(spark):
@@ -10,8 +15,8 @@ def test_no_word_of_the_corpus_is_left_out(spark):
     ocr = spark.createDataFrame([page(i) for i in range(40)], "page_id bigint, lesson_id string, page int, title string, vision string, unlimited string")
     rec = spark.createDataFrame([], "page_id bigint, lesson_id string, physical_page int, side string, text string")
     lib = spark.createDataFrame([], "row_id bigint, id string, title string")
-    model = scans._model(scans.spread(scans.pages(ocr, rec, lib)))
-    assert {*plain, long, "modern", "modem"} <= model.counts.keys()
+    kept = {r.word for r in scans.Tables(cut(scans.spread(scans.pages(ocr, rec, lib)))).words.select("word").collect()}
+    assert {*plain, long, "modern", "modem"} <= kept
     assert [r for r in scans.found(ocr, rec, lib).collect() if r.kind == "misread"] == []
 
 
@@ -25,3 +30,34 @@ def test_an_item_with_several_texts_leaks_by_each(spark):
     assert sorted(map(tuple, leaks.found(docs, items).collect())) == [(1, 1), (2, 1), (3, 1)]
     assert {(r.item_id, r.n_documents) for r in leaks.leaked_items(docs, items).collect()} == {(1, 3), (2, 0)}
     assert {r.doc_id: r.dropped for r in leaks.cleaned(docs, items).collect()} == {1: True, 2: True, 3: True, 4: False}
+
+
+def _two_words(spark):
+    """Pages with a frequent "modern", a rarer "modem" in other company, and "modcm", which may be either."""
+    r = random.Random(2)
+    old, new = ["old", "grand", "stone", "tall", "city"], ["cable", "phone", "wire", "signal", "line"]
+    say = lambda word, around: " ".join([*r.choices(around, k=2), word, *r.choices(around, k=2)])
+    texts = [say("modern", old) for _ in range(400)] + [say("modem", new) for _ in range(20)] + [say("modcm", old), say("modcm", new)] + [" ".join(r.choices(x, k=5)) for x in (old, new) * 60]
+    ocr = spark.createDataFrame([(i, f"B{i}", 1, None, t + " today.", None) for i, t in enumerate(texts)], "page_id bigint, lesson_id string, page int, title string, vision string, unlimited string")
+    rec = spark.createDataFrame([], "page_id bigint, lesson_id string, physical_page int, side string, text string")
+    return texts, (ocr, rec, spark.createDataFrame([], "row_id bigint, id string, title string"))
+
+
+def test_vectors_veto_links_and_break_ties(spark):
+    texts, tables = _two_words(spark)
+    got = {}
+    for on in (True, False):
+        rows = scans.restored(*tables, vectors=on).collect()
+        got[on] = ({texts[x.page_id] for x in rows if x.misread}, {x.page_id: x.text for x in rows})
+    rare = {t for t in texts if "modem" in t}
+    assert not got[True][0] & rare and got[False][0] >= rare  # without vectors the rarer word is taken for a misreading
+    assert "modern" in got[True][1][420] and "modem" in got[True][1][421]
+    assert "modern" in got[False][1][421]  # and the more frequent word is taken whatever stands around it
+
+
+def test_the_filter_decides_nothing(spark, monkeypatch):
+    _, tables = _two_words(spark)
+    rows = lambda: sorted((x.page_id, x.line_no, x.kind) for x in scans.found(*tables).collect())
+    every = rows()
+    monkeypatch.setattr(scans, "FILTER", 3)
+    assert rows() == every
