@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.session import cut
+from lexiloom.session import cut, fits_broadcast, join_small
 
 #: Bytes by which a bucket is told apart at each further depth.
 STEP = 2
@@ -27,7 +27,7 @@ def canonical(*columns: str) -> Column:
 
 
 def canonical_json(text: str | None) -> str | None:
-    """JSON with its members in order; unreadable text stays as it is."""
+    """JSON with its members in order; text that is unreadable, or nested deeper than the reader goes, stays as it is."""
     try:
         return json.dumps(json.loads(text), sort_keys=True, separators=(",", ":")) if text else text
     except (ValueError, RecursionError):
@@ -43,35 +43,37 @@ def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from t.select(["key", "first_count", "first_min"]).rename_columns(["key", "copies", "first"]).cast(_PART).to_batches()
 
 
-def splits(partial: DataFrame, capacity: int) -> dict[int, set[bytes]]:
-    """By length, the prefixes whose buckets hold more than ``capacity`` entries; the next bytes split them.
+def splits(partial: DataFrame, capacity: int) -> dict[bytes, int]:
+    """The prefixes whose buckets hold more than ``capacity`` entries, and the length at which the next bytes split each of them.
 
-    At most entries / capacity prefixes of one length can be that large, which bounds what the driver gets.
+    Bytes that all entries of a bucket share are skipped, so that each round parts a bucket or leaves it for good: one that is
+    a single key can't be split. At most entries / capacity prefixes are large in a round, which bounds what the driver gets.
     """
-    large: dict[int, set[bytes]] = {}
-    raw, length = F.encode("key", "utf-8"), STEP
-    rest = partial
+    large: dict[bytes, int] = {}
     while True:
-        at = F.substring(raw, 1, length)
-        # an entry that ends inside the prefix can't be split further
-        found = {bytes(r[0]) for r in rest.filter(F.length(raw) > length).groupBy(at.alias("p")).count().filter(F.col("count") > capacity).select("p").collect()}
-        if not found:
+        sized = partial.select("key").mapInArrow(_bucketed(large), "bucket binary, key string").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+        found = sized.filter((F.col("n") > capacity) & (F.col("lo") != F.col("hi"))).select("bucket", "lo", "hi").collect()
+        new = {}
+        for bucket, lo, hi in found:
+            a, b = lo.encode("utf-8", "surrogatepass"), hi.encode("utf-8", "surrogatepass")
+            shared = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+            if bytes(bucket) not in large:
+                new[bytes(bucket)] = max(shared, len(bucket)) + STEP
+        if not new:
             return large
-        large[length] = found
-        rest = rest.join(F.broadcast(partial.sparkSession.createDataFrame([(bytearray(x),) for x in found], "p binary")), at == F.col("p"), "left_semi")
-        length += STEP
+        large |= new
 
 
-def _bucketed(large: dict[int, set[bytes]]):
+def _bucketed(large: dict[bytes, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for key in b.column("key").to_pylist():
                 raw, n = key.encode("utf-8", "surrogatepass"), STEP
-                while n in large and len(raw) > n and raw[:n] in large[n]:
-                    n += STEP
+                while len(raw) > n and (longer := large.get(raw[:n])):
+                    n = longer
                 out.append(raw[:n])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), *[b.column(c) for c in ("key", "copies", "first")]], names=["bucket", "key", "copies", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), *b.columns], names=["bucket", *b.schema.names])
 
     return run
 
@@ -136,13 +138,16 @@ def counted(df: DataFrame, key: Column, row: str, capacity: int = 50_000, bucket
 def members(df: DataFrame, key: Column, row: str, hot: int = 512) -> DataFrame:
     """``first, row, copies`` for each row of a group of two or more.
 
-    Groups with more than one in ``hot`` of all grouped rows number less than ``hot``; they are broadcast, so that their
-    rows aren't shuffled. The other groups join by key.
+    Groups with more than one in ``hot`` of all grouped rows number less than ``hot``; they are broadcast if their keys are short
+    enough, so that their rows aren't shuffled; else both sides are salted. The other groups join by key.
     """
     groups = cut(counted(df, key, row).filter("copies > 1"))
     total = groups.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     rows = df.select(key.alias("key"), F.col(row).cast("bigint").alias("row")).filter("key is not null")
-    large = F.broadcast(groups.filter(F.col("copies") > F.lit(max(1000, total // hot))))
+    large = groups.filter(F.col("copies") > F.lit(max(1000, total // hot)))
+    if not fits_broadcast(large):  # very long keys
+        return join_small(rows, groups, "key").select("first", "row", "copies")
+    large = F.broadcast(large)
     few = rows.join(large.select("key"), "key", "left_anti").join(groups, "key")
     return rows.join(large, "key").unionByName(few).select("first", "row", "copies")
 

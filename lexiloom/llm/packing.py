@@ -128,5 +128,19 @@ def packed(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER, wind
 def fill(documents: DataFrame, targets: DataFrame) -> DataFrame:
     """Per capacity: containers, tokens and the share of the room that is used."""
     c = packed(documents, targets).filter("container_id is not null").groupBy("target_id", "container_id").agg(F.sum("n_tokens").alias("used"), F.count(F.lit(1)).alias("n_pieces"))
-    j = c.join(F.broadcast(targets.select("target_id", "target_name", "capacity_tokens").limit(300)), "target_id")
+    j = c.join(F.broadcast(targets.select("target_id", "target_name", "capacity_tokens")), "target_id")
     return j.groupBy("target_id", "target_name", "capacity_tokens").agg(F.count(F.lit(1)).alias("n_containers"), F.sum("n_pieces").alias("n_pieces"), F.sum("used").alias("n_tokens"), F.max("used").alias("most"), (F.sum("used") / (F.count(F.lit(1)) * F.first("capacity_tokens"))).alias("fill_share"))
+
+
+def checked(documents: DataFrame, targets: DataFrame) -> DataFrame:
+    """Per capacity: documents, those without tokens, and what must be none: containers that hold too much, documents in several
+    pieces although they fit, documents whose pieces don't follow one another."""
+    p = cut(packed(documents, targets))
+    limit = F.broadcast(targets.select("target_id", "capacity_tokens"))  # 300 at most, see packed()
+    docs = p.groupBy("target_id", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("tokens"), F.max(F.col("token_start") + F.col("n_tokens")).alias("end"), F.count_distinct("piece").alias("pieces"), F.count("container_id").alias("held"))
+    d = docs.join(limit, "target_id").groupBy("target_id").agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if(F.col("held") == 0).alias("empty"), F.count_if((F.col("n") > 1) & (F.col("tokens") <= F.col("capacity_tokens"))).alias("needless"),
+        F.count_if((F.col("end") != F.col("tokens")) | (F.col("pieces") != F.col("n"))).alias("gaps"),
+    )
+    full = p.filter("container_id is not null").groupBy("target_id", "container_id").agg(F.sum("n_tokens").alias("used")).join(limit, "target_id")
+    return d.join(full.groupBy("target_id").agg(F.count_if(F.col("used") > F.col("capacity_tokens")).alias("overfull")), "target_id", "left").select("target_id", "documents", "empty", F.coalesce("overfull", F.lit(0)).alias("overfull"), "needless", "gaps")

@@ -30,6 +30,8 @@ QUERIES = {
     "p6_units": _over(boundaries.units, "sentences"),
     "p7_found": _over(duplicates.pairs, "course_library"),
     "p7_collapsed": _over(duplicates.collapsed, "course_library"),
+    "p7_copies": _over(lambda df: duplicates.collapsed(df).select("row_id", "copies"), "course_library"),
+    "p8_check": _over(packing.checked, "documents", "pack_targets"),
     "p8_packed": _over(packing.packed, "documents", "pack_targets"),
     "p8_fill": _over(packing.fill, "documents", "pack_targets"),
     "p9_found": _over(leaks.found, "documents", "eval_items"),
@@ -37,6 +39,7 @@ QUERIES = {
     "p9_cleaned": _over(leaks.cleaned, "documents", "eval_items"),
     "p10_found": _over(repetition.found, "documents"),
     "p10_shares": _over(repetition.shares, "documents"),
+    "p10_covered": _over(lambda df: repetition.shares(df).select("doc_id", "n_words", *[f"words_{n}" for n in repetition.LENGTHS]), "documents"),
 }
 
 _KEY = r"regexp_replace(lower({}), '[\s\p{{P}}\x{{0085}}\x{{00A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x1C-\x1F]+', '', 'g')"
@@ -78,7 +81,17 @@ def _looks_sql() -> str:
     return f"SELECT f, row_id, x, {key} AS key FROM ({rows})"
 
 
+def _covered_sql() -> str:
+    """Words of each document in runs of 2, 4, 6 and 10 words that also begin earlier in it."""
+    parts = [f"SELECT doc_id, {n} AS n, count(DISTINCT i + o) AS covered FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, g ORDER BY i) AS k FROM ({_grams('documents', 'doc_id', n)})) CROSS JOIN (SELECT unnest(generate_series(0, {n - 1})) AS o) WHERE k > 1 GROUP BY 1" for n in (2, 4, 6, 10)]
+    columns = ", ".join(f"coalesce(max(covered) FILTER (WHERE n = {n}), 0)::INTEGER AS words_{n}" for n in (2, 4, 6, 10))
+    return f"WITH c AS ({' UNION ALL '.join(parts)}) SELECT doc_id, coalesce(len({_WORDS.format('any_value(text)')}), 0)::INTEGER AS n_words, {columns} FROM documents LEFT JOIN c USING (doc_id) GROUP BY doc_id"
+
+
 SQL: dict[str, str] = {
+    "p7_copies": f"SELECT row_id, copies FROM ({_GROUPS}) WHERE row_id = first UNION ALL SELECT row_id, 1 FROM course_library WHERE level IS NULL OR title IS NULL",
+    "p8_check": "SELECT target_id, count(*)::BIGINT AS documents, count(*) FILTER (WHERE coalesce(text, '') = '')::BIGINT AS empty, 0::BIGINT AS overfull, 0::BIGINT AS needless, 0::BIGINT AS gaps FROM documents CROSS JOIN pack_targets GROUP BY 1",
+    "p10_covered": _covered_sql(),
     "p5_found": f"WITH k AS ({_looks_sql()}) SELECT a.f AS field_name, a.row_id AS row_id_a, b.row_id AS row_id_b FROM k a JOIN k b ON a.f = b.f AND a.key = b.key AND a.row_id < b.row_id AND a.x <> b.x",
     "p5_classes": f"WITH k AS ({_looks_sql()}), g AS (SELECT f, key, min(row_id) AS class_id, count(DISTINCT x)::BIGINT AS n_spellings FROM k GROUP BY 1, 2) SELECT f AS field_name, row_id, class_id, n_spellings FROM k JOIN g USING (f, key) WHERE n_spellings > 1",
     "p4_lengths": """WITH n AS (SELECT source_name, unit, CASE unit WHEN 'chars' THEN length(english) ELSE strlen(english) END::INTEGER AS length, count(*) AS n

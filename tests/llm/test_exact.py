@@ -5,6 +5,7 @@ import unicodedata
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -46,7 +47,7 @@ def test_oversized_buckets_are_split(spark):
     got = duplicates.counted(df, key, "row_id", capacity=10).collect()
     assert len(got) == 1500 and all(r.copies == 2 for r in got)
     partial = df.select(key.alias("key"), df.row_id.alias("first")).mapInArrow(duplicates._combined, "key string, copies bigint, first bigint")
-    assert max(duplicates.splits(partial, 10)) > 12
+    assert max(duplicates.splits(partial, 10).values()) > 12
 
 
 def test_hot_group(spark):
@@ -181,3 +182,30 @@ def test_packing(spark):
         packing.packed(df, spark.createDataFrame([(1, "x", 0)], goals.schema))
 
 
+
+
+def test_spans_lie_in_the_text_itself(spark):
+    """Lower-casing may change a text's length; spans are those of the text, and nothing else goes."""
+    a = " ".join(f"a{i}" for i in range(14))
+    docs = spark.createDataFrame([(1, f"İİ wide İ start {a} end " + "word " * 40), (2, a), (3, None), (4, f"{a} " + "other " * 60)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "x", a), (2, "x", a[3:])], "item_id bigint, split_name string, text string")
+    got = {r.doc_id: (r.text, r.removed_chars, r.dropped) for r in leaks.cleaned(docs, items).collect()}
+    assert got[1] == ("İİ wide İ start  end " + "word " * 40, len(a), False) and got[2] == (None, len(a), True) and got[3] == (None, 0, False)
+    assert got[4] == (" " + "other " * 60, len(a), False)
+
+
+def test_blocks_of_items_are_taken_in_one_scan(spark, monkeypatch):
+    a, b = (" ".join(f"{c}{i}" for i in range(14)) for c in "ab")
+    docs = spark.createDataFrame([(1, f"{a} x {b}"), (2, b)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "x", a), (2, "x", b)], "item_id bigint, split_name string, text string")
+    every = sorted(map(tuple, leaks.leaks(docs, items).collect()))
+    monkeypatch.setattr(leaks, "BLOCK_CHARS", 1)
+    assert sorted(map(tuple, leaks.leaks(docs, items).collect())) == every and len(every) == 3
+
+
+def test_splits_skip_what_all_keys_share(spark):
+    keys = ["p" * 3000 + f"{i:04}" for i in range(60)] + ["p" * 3000] * 3
+    partial = spark.createDataFrame([(k, 1, i) for i, k in enumerate(keys)], "key string, copies bigint, first bigint")
+    assert len(duplicates.splits(partial, 8)) <= 12
+    got = {r.key: r.copies for r in duplicates.counted(spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k string, i int"), F.col("k"), "i", capacity=8).collect()}
+    assert len(got) == 61 and got["p" * 3000] == 3
