@@ -22,9 +22,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ from lexiloom.session import cut, join_small
 #: Fewest occurrences of a word that is kept and has a vector, buckets of neighbours.
 LEAST, BUCKETS = 5, 64
 #: Size of vectors, negative samples for each neighbour, rounds and steps of training, weight that keeps vectors small.
-SIZE, NEGATIVE, ROUNDS, STEPS, RIDGE = 16, 2.0, 3, 4, 0.02
+SIZE, NEGATIVE, ROUNDS, STEPS, RIDGE = 16, 2.0, 2, 4, 0.02
 #: Words whose hashes every task gets, 8 bytes each.
 FILTER = 2_000_000
 #: A link leads to a word at least so many times as frequent, whose neighbours it fits at most so much worse than that word itself.
@@ -294,6 +296,7 @@ class Answers:
         self.vectors: dict[str, np.ndarray] = {}
         self.spelled = Spelled()
         self.memo: dict[str, tuple[str, str, str | None, bool]] = {}
+        self.fine: set[str] = set()  # runs of non-blanks that are right whatever stands around them
 
     def take(self, answers, spelled, beginnings) -> None:
         for r in answers or ():
@@ -357,6 +360,8 @@ class Answers:
             else:
                 m = (word, low, None, False)
             self.memo[chunk] = m
+            if m[3] and m[2] is None and "\ufffd" not in chunk:
+                self.fine.add(chunk)
         return m
 
     def correct(self, chunk: str, around: list[int], other: "Other", known: set[str]) -> str | None:
@@ -496,14 +501,13 @@ def _pieces(b: pa.RecordBatch, most: int = 1000) -> Iterator[pa.RecordBatch]:
     return (b.slice(i, most) for i in range(0, b.num_rows, most))
 
 
-def trained(rows: DataFrame, share: np.ndarray) -> np.ndarray:
-    """The vectors of neighbours, ``BUCKETS`` x ``SIZE``. ``rows``: ``cells`` of every word, at most ``BUCKETS`` each.
+def trained(rows: DataFrame, share: np.ndarray, total: float) -> np.ndarray:
+    """The vectors of neighbours, ``BUCKETS`` x ``SIZE``. ``rows``: ``cells`` of every word, at most ``BUCKETS`` each, with ``total`` counts.
 
     In each round the words' vectors follow from those of neighbours inside the tasks, and the slope and curvature of the loss for
     every neighbour are summed over all words: one Newton step. The driver gets ``BUCKETS`` rows.
     """
     contexts = np.random.default_rng(7).normal(size=(BUCKETS, SIZE))
-    total = float(rows.select(F.sum(F.aggregate("cells", F.lit(0).cast("bigint"), lambda a, x: a + x["n"]))).first()[0] or 1)
     for _ in range(ROUNDS):
         shared = contexts
 
@@ -548,47 +552,53 @@ def _read(hashes, sure, whole: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_hashes, asking = hashes.value, Asking(sure.value)
-        kinds, memo = {f: k for k, fs in FIELDS.items() for f in fs}, asking.memo
+        kinds = {f: k for k, fs in FIELDS.items() for f in fs}
 
         class Places(dict):
-            """The hash of the word of a run of non-blanks."""
+            """A number for each run of non-blanks; by number the hash of its word and what it asks."""
+
+            def __init__(self) -> None:
+                self.hashes, self.asks = [0], [()]
 
             def __missing__(self, chunk: str) -> int:
-                if len(self) > 300_000:
-                    self.clear()
-                self[chunk] = h = _hash(core(chunk).lower())
-                return h
+                self[chunk] = n = len(self.hashes)
+                self.hashes.append(_hash(core(chunk).lower()))
+                self.asks.append(asking(chunk))
+                return n
 
         places = Places()
         for b in batches:
+            if len(places) > 300_000:
+                places = Places()
             own: list[int] = []
             apart: list[int] = []
+            pages_: list[tuple[str, int]] = []
             rows: set[tuple] = set()
             for field, text, furn, page in _readings(b, "furn", "page_id"):
                 lines = story(text, set(furn or ()))
-                kind = kinds[field]
                 chunks = [c for _, line in lines for c in line.split()]
                 if _BREAK.search(text):
-                    noted = _Asked(False)
+                    kind, noted = kinds[field], _Asked(False)
                     joined = [t[0] for t in tokens(lines, noted, None, None)[0]]
                     own += [places[c] for c in joined]
-                    chunks += joined
+                    other = [c for c in chunks if c[-1] in HYPHENS]
                     if noted.words or noted.beginnings:
                         rows.update((kind, page, "spelled", w) for w in noted.words)
                         rows.update((kind, page, "begins", w) for w in noted.beginnings)
-                        chunks += [t[0] for t in tokens(lines, _Asked(True), None, None)[0]]
+                        other += [t[0] for t in tokens(lines, _Asked(True), None, None)[0]]
+                    rows.update((kind, page, "word", w) for c in other for w in places.asks[places[c]])
                 else:
                     own += [places[c] for c in chunks]
                 own += (0, 0)  # keeps the texts apart
                 apart.append(len(own))
-                for c in chunks:
-                    words_ = memo.get(c)
-                    if words_ is None:
-                        words_ = asking(c)
-                    for w in words_:
-                        rows.add((kind, page, "word", w))
+                pages_.append((kinds[field], page))
+            numbers = np.array(own, dtype=np.int64)
+            asks = np.flatnonzero(np.fromiter(map(bool, places.asks), dtype=bool, count=len(places.asks))[numbers])
+            for n, k in zip(numbers[asks].tolist(), np.searchsorted(np.array(apart), asks, "right").tolist()):
+                kind, page = pages_[k]
+                rows.update((kind, page, "word", w) for w in places.asks[n])
             yield _batch([(None, None, None, *r) for r in rows], _READ_KIND)
-            h = np.array(own, dtype=np.uint64)
+            h = np.array(places.hashes, dtype=np.uint64)[numbers]
             inside = np.ones(len(h), dtype=bool)
             ends = np.array(apart, dtype=np.int64)
             inside[ends - 1] = inside[ends - 2] = False
@@ -629,7 +639,7 @@ class Tables:
             shares = {r[0]: r[1] for r in contexts.select(F.explode("cells").alias("c")).groupBy("c.bucket").agg(F.sum("c.n")).collect()}  # BUCKETS
             share = np.array([shares.get(c, 0) for c in range(BUCKETS)], dtype=float) ** 0.75
             share /= max(share.sum(), 1e-9)
-            out = trained(contexts, share)
+            out = trained(contexts, share, float(max(sum(shares.values()), 1)))
         else:
             contexts, share, out = kept.withColumn("cells", F.array().cast("array<struct<bucket:int,n:bigint>>")), np.zeros(BUCKETS), np.zeros((BUCKETS, SIZE))
 
@@ -745,18 +755,33 @@ class Other:
         return next((w for w in self.shapes.get(glyphs(low), ()) if w != low), None)
 
 
+class _Flat:
+    """Words of a page in which none is broken, with their lines; looked up when one of them is in doubt."""
+
+    def __init__(self, words: list[str], numbers: list[int], lines: list[list[str]]):
+        self.words, self.numbers, self.ends = list(words), numbers, list(accumulate(map(len, lines)))
+
+    def __getitem__(self, i: int) -> tuple[str, int, int, int]:
+        no = self.numbers[bisect_right(self.ends, i)]
+        return self.words[i], no, no, len(self.words[i])
+
+
 def _judge(model: Answers, text: str, furn, title: str | None, other: str | None, after: str | None, before: str | None, with_text: bool = True) -> tuple[list[int], list[int], str | None]:
     """Lines with a broken word, lines with a misread one, and the clean text of a page, if it is wanted."""
-    own, broken, _ = tokens(story(text, set(furn or ())), model.spelled, after, before)
-    memo = model.memo
-    facts = [memo.get(t[0]) or model.seen(t[0]) for t in own]
+    lines = story(text, set(furn or ()))
+    if not with_text and not before and not _BREAK.search(text):
+        chunks = [line.split() for _, line in lines]
+        cleaned, broken = list(chain.from_iterable(chunks)), []
+        own = _Flat(cleaned, [no for no, _ in lines], chunks)
+    else:
+        own, broken, _ = tokens(lines, model.spelled, after, before)
+        cleaned = [t[0] for t in own]
     known = rest = None
     misread: set[int] = set()
-    cleaned = [t[0] for t in own]
+    raw, fine, seen = list(cleaned), model.fine, model.seen
     lost = "�" in text or "�" in (after or "")
-    doubtful = range(len(facts)) if lost else [i for i, f in enumerate(facts) if f[2] is not None or not f[3]]
-    for i in doubtful:
-        body, _, right, decided = facts[i]
+    for i in [i for i, c in enumerate(raw) if c not in fine]:
+        body, _, right, decided = seen(raw[i])
         if right is None and decided:
             if lost and "�" in cleaned[i]:
                 chunk, line, last, part = own[i]
@@ -766,7 +791,7 @@ def _judge(model: Answers, text: str, furn, title: str | None, other: str | None
         chunk, line, last, part = own[i]
         if known is None:
             known, rest = _lows(title), Other(other)
-        around = [] if decided else [_bucket(facts[j][1]) for j in (i - 2, i - 1, i + 1, i + 2) if 0 <= j < len(own)]
+        around = [] if decided else [_bucket(seen(raw[j])[1]) for j in (i - 2, i - 1, i + 1, i + 2) if 0 <= j < len(raw)]
         right = model.correct(chunk, around, rest, known)
         if "�" in chunk and right is None:
             misread.add(line if chunk.index("�") < part else last)
@@ -847,16 +872,16 @@ def restored(ocr: DataFrame, records: DataFrame, library: DataFrame, with_text:
     shared, page = tables.broadcast, ["kind", "page_id"]
     turns = cut(overleaf(placed))
     both = turns.filter("part is not null and follow is not null").select(*page, "part", "follow").distinct()
-    asks = tables.asks.unionByName(cut(both.mapInArrow(_overleaf_asks(tables.sure), _ASK)))
+    asks = tables.asks.unionByName(both.mapInArrow(_overleaf_asks(tables.sure), _ASK))
     words = asks.filter("what = 'word'").select(*page, "word")
     answers = join_small(words, cut(tables.answers(words)), "word")
-    begins = tables.spelled.select(F.explode(F.expr("transform(filter(sequence(1, length(g)), i -> substring(g, i, 1) = '-'), i -> left(g, i))")).alias("word")).distinct()
-    hyphens = join_small(asks.filter("what = 'spelled'").select(*page, "word"), tables.spelled.withColumnRenamed("g", "word"), "word", "left_semi")
-    starts = join_small(asks.filter("what = 'begins'").select(*page, "word"), begins, "word", "left_semi")
+    begins = tables.spelled.select(F.lit("begins").alias("what"), F.explode(F.expr("transform(filter(sequence(1, length(g)), i -> substring(g, i, 1) = '-'), i -> left(g, i))")).alias("word")).distinct()
+    there = tables.spelled.select(F.lit("spelled").alias("what"), F.col("g").alias("word")).unionByName(begins)
+    spellings = join_small(asks.filter("what != 'word'"), there, ["what", "word"], "left_semi")
     second = F.col("field") == FIELDS["ocr"][1]
     small = None
     for name, df, value in (
-        ("answers", answers, F.struct("word", "n", "link", "near")), ("spelled", hyphens, F.col("word")), ("begins", starts, F.col("word")), ("after_a", turns.filter(~second), F.col("after")), ("after_b", turns.filter(second), F.col("after")),
+        ("answers", answers, F.struct("word", "n", "link", "near")), ("spelled", spellings.filter("what = 'spelled'"), F.col("word")), ("begins", spellings.filter("what = 'begins'"), F.col("word")), ("after_a", turns.filter(~second), F.col("after")), ("after_b", turns.filter(second), F.col("after")),
         ("before_a", turns.filter(~second), F.col("before")), ("before_b", turns.filter(second), F.col("before")),
     ):
         one = df.select(*page, value.alias(name)).filter(F.col(name).isNotNull())
