@@ -26,7 +26,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import accumulate, chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +71,7 @@ _INNER = re.compile(rf"(\S*[^\W\d_])[{HYPHENS}]\s+(\S+)")
 _NUMBER = r"(?:[\[(·•–—-]?\s*(?:[Pp][\w@]{0,3}\.?\s+|[Pp]\.\s*)?\d{1,4}(?:\s*/\s*\d{1,4})?\s*[\])·•–—|-]?)"
 _PAGE_NUMBER = re.compile(rf"{_NUMBER}|[ivxlí1|]{{1,6}}")
 _NUMBER_FIRST, _NUMBER_LAST = re.compile(rf"\A(?:{_NUMBER}|[ivxl]{{1,6}})\s+(?=\D)"), re.compile(rf"\s+(?:{_NUMBER}|[ivxlí1|]{{1,6}})\Z")
+_FIRST_OF_NUMBER, _LAST_OF_NUMBER = set("[(·•–—-Pp0123456789ivxl"), set("0123456789])·•–—|-ivxlí")
 _TITLE_SMALL = {"a", "an", "the", "and", "of", "for", "at", "in", "to", "on", "•", "·", "-", ":"}
 
 
@@ -88,26 +89,35 @@ _LEVEL_END = re.compile(rf"\s*(?:[•·]\s*)?{_LEVEL} \w{{1,4}}\Z")
 
 
 def _title_case(line: str) -> bool:
+    if line[-1:] in (".", ","):
+        return False
     words = [w.strip(_EDGE) for w in line.split()]
     main = [w for w in words if w and w.lower() not in _TITLE_SMALL and w[0] not in "•·-[|"]
-    return bool(main) and all(not w[0].islower() for w in main) and any(w[0].isalpha() for w in main) and not line.rstrip().endswith((".", ","))
+    return bool(main) and all(not w[0].islower() for w in main) and any(w[0].isalpha() for w in main)
 
 
 def edge_lines(text: str, title: str | None) -> list[tuple[int, str, bool]]:
     """``line_no, key, sure`` of the lines at the edges that are, or may be, furniture."""
     lines = text.split("\n")
-    full = [i for i, x in enumerate(lines) if x.strip()]
+    n = len(lines)
+    first = list(islice((i for i in range(n) if lines[i] and not lines[i].isspace()), 2))
+    last = list(islice((i for i in range(n - 1, -1, -1) if lines[i] and not lines[i].isspace()), 2))[::-1]
     name = glyphs(" ".join(title.split())) if title else None
     out = []
-    for i in dict.fromkeys([*full[:2], *full[-2:]]):
+    for i in dict.fromkeys([*first, *last]):
         s = " ".join(lines[i].split())
-        if _PAGE_NUMBER.fullmatch(s):
+        if len(s) < 40 and _PAGE_NUMBER.fullmatch(s):
             out.append((i + 1, "#", True))
             continue
-        bare = _NUMBER_LAST.sub("", _NUMBER_FIRST.sub("", s)) or s
+        bare = s  # without a number at either end, which only certain characters can begin or end
+        if bare[0] in _FIRST_OF_NUMBER:
+            bare = _NUMBER_FIRST.sub("", bare)
+        if bare[-1:] in _LAST_OF_NUMBER:
+            bare = _NUMBER_LAST.sub("", bare)
+        bare = bare or s
         g = glyphs(bare)
-        rest = _LEVEL_END.sub("", g)
-        if rest == "" or name and (rest == name or g == name) or g.startswith(_CHAPTER + " ") and re.search(r"\d", bare) and len(bare) < 60:
+        rest = _LEVEL_END.sub("", g) if _LEVEL in g else g
+        if rest == "" or name and (rest == name or g == name) or g.startswith(_CHAPTER + " ") and len(bare) < 60 and re.search(r"\d", bare):
             out.append((i + 1, g, True))
         elif _title_case(s):
             out.append((i + 1, glyphs(re.sub(r"\d+", "#", bare)), False))
