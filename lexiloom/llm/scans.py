@@ -26,7 +26,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -59,12 +59,24 @@ _PARTS = {
     "e": "c", "(": "c", "i": "l", "1": "l", "|": "l", "0": "o", "5": "s", "6": "b", "9": "g", "2": "z", "+": "t", "†": "t", "@": "a", "ſ": "f", "y": "v",
     "n": "ll", "u": "ll", "h": "ll", "d": "cl", "w": "vv", "m": "rll", "�": "",
 }
-_GLYPHS = str.maketrans(_PARTS)
+
+
+class _Glyphs(dict):
+    """The shapes of each character; letters without their accents. Characters are added as they are met."""
+
+    def __missing__(self, code: int) -> str:
+        plain = (c for c in unicodedata.normalize("NFD", chr(code)) if not unicodedata.combining(c))
+        self[code] = out = "".join(_PARTS.get(c, c) for c in plain)
+        return out
+
+
+_GLYPHS = _Glyphs()
 HYPHENS = "-‐‑¬\u00ad"
 _ODD = re.compile("[0-9@+†|ſ(�]")
 _NUMERIC = re.compile(r"[$€£#]?\d[\d.,:/%–-]*")
 _EDGE = ".,!?;:…—“”\"'’‘)]}»«[{"
 _CHUNK = re.compile(r"\S+")
+_HYPHEN = re.compile(f"[{HYPHENS}]")
 _BREAK = re.compile(rf"\S[{HYPHENS}](?!\S)")
 _BROKEN = re.compile(rf"([^\W\d_][^\s]*?|[^\s]*[^\W\d_])[{HYPHENS}]\s*\Z")
 _INNER = re.compile(rf"(\S*[^\W\d_])[{HYPHENS}]\s+(\S+)")
@@ -78,10 +90,7 @@ _TITLE_SMALL = {"a", "an", "the", "and", "of", "for", "at", "in", "to", "on", "
 @lru_cache(200_000)
 def glyphs(text: str) -> str:
     """The text as the shapes it is made of: equal for texts that may be read as one another."""
-    text = text.lower()
-    if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
-    return text.translate(_GLYPHS)
+    return text.lower().translate(_GLYPHS)
 
 
 _LEVEL, _CHAPTER = glyphs("level"), glyphs("chapter")
@@ -91,9 +100,14 @@ _LEVEL_END = re.compile(rf"\s*(?:[•·]\s*)?{_LEVEL} \w{{1,4}}\Z")
 def _title_case(line: str) -> bool:
     if line[-1:] in (".", ","):
         return False
-    words = [w.strip(_EDGE) for w in line.split()]
-    main = [w for w in words if w and w.lower() not in _TITLE_SMALL and w[0] not in "•·-[|"]
-    return bool(main) and all(not w[0].islower() for w in main) and any(w[0].isalpha() for w in main)
+    letter = False
+    for chunk in line.split():
+        w = chunk.strip(_EDGE)
+        if w and w[0] not in "•·-[|" and w.lower() not in _TITLE_SMALL:
+            if w[0].islower():
+                return False
+            letter = letter or w[0].isalpha()
+    return letter
 
 
 def edge_lines(text: str, title: str | None) -> list[tuple[int, str, bool]]:
@@ -129,9 +143,14 @@ def core(chunk: str) -> str:
     return chunk.strip(_EDGE).rstrip("(")
 
 
+def body(text: str, furniture) -> str:
+    """The text without its furniture lines."""
+    return "\n".join([x for i, x in enumerate(text.split("\n"), 1) if i not in furniture]) if furniture else text
+
+
 def story(text: str, furniture: set[int]) -> list[tuple[int, str]]:
     """``line_no, line`` of the lines that are neither blank nor furniture."""
-    return [(i, x) for i, x in enumerate(text.split("\n"), 1) if i not in furniture and x.strip()]
+    return [(i, x) for i, x in enumerate(text.split("\n"), 1) if x and i not in furniture and not x.isspace()]
 
 
 class Spelled(set):
@@ -161,26 +180,50 @@ class _Asked(Spelled):
         return self.answer
 
 
-def tokens(lines: list[tuple[int, str]], spelled: Spelled | None, after: str | None, before: str | None) -> tuple[list[tuple[str, int, int, int]], list[int], bool]:
+class Words:
+    """The words of a page and where they are: ``word, line, line of its end, length of its first part``, put together when asked for."""
+
+    def __init__(self) -> None:
+        self.words: list[str] = []
+        self.numbers: list[int] = []  # of the lines
+        self.ends: list[int] = []  # how many words there are up to the end of each of those lines
+        self.joined: dict[int, tuple[int, int, int]] = {}  # for words put together
+
+    def __getitem__(self, i: int) -> tuple[str, int, int, int]:
+        word = self.words[i]
+        if i in self.joined:
+            return (word, *self.joined[i])
+        no = self.numbers[bisect_right(self.ends, i)]
+        return word, no, no, len(word)
+
+    def __iter__(self) -> Iterator[tuple[str, int, int, int]]:
+        at = 0
+        for no, end in zip(self.numbers, self.ends):
+            for i, word in enumerate(self.words[at:end], at):
+                yield (word, *self.joined.get(i, (no, no, len(word))))
+            at = end
+
+    def join(self, word: str, line: int, last: int, part: int) -> None:
+        self.joined[len(self.words)] = line, last, part
+        self.words.append(word)
+
+
+def tokens(lines: list[tuple[int, str]], spelled: Spelled | None, after: str | None, before: str | None) -> tuple[Words, list[int], bool]:
     """The words of a page, broken ones put together: ``word, line, line of its end, length of its first part``.
 
     A line 0 is on another page. Also the lines at whose ends (or in which) a word is broken, and whether the last word goes on overleaf. ``spelled``
     has the glyphs of words that are spelled with a hyphen; ``after`` and ``before`` are the first word of the next page and
     the broken word at the end of the page before.
     """
-    if not before and not any(_BREAK.search(line) for _, line in lines):
-        return [(c, no, no, len(c)) for no, line in lines for c in line.split()], [], False
-    out: list[tuple[str, int, int, int]] = []
-    broken: list[int] = []
-    pending: tuple[str, str, int] | None = (before, "-", 0) if before else None
+    out, broken = Words(), []
+    pending: tuple[str, int] | None = (before, 0) if before else None
     single, overleaf = len(lines) == 1, False
 
-    def close(part: str, mark: str, at: int, follow: str, line: int) -> None:
-        with_hyphen = glyphs(core(part) + "-" + core(follow))
-        if spelled is not None and with_hyphen in spelled:
-            out.append((part + "-" + follow, at, line, len(part)))
+    def close(part: str, at: int, follow: str, line: int) -> None:
+        if spelled is not None and glyphs(core(part) + "-" + core(follow)) in spelled:
+            out.join(part + "-" + follow, at, line, len(part))
         else:
-            out.append((part + follow, at, line, len(part)))
+            out.join(part + follow, at, line, len(part))
             if at:
                 broken.append(at)
 
@@ -189,27 +232,28 @@ def tokens(lines: list[tuple[int, str]], spelled: Spelled | None, after: str | N
         if pending and chunks:
             close(*pending, chunks.pop(0), no)
             pending = None
-        if not single and chunks and not (chunks[-1][-1] in HYPHENS and len(chunks[-1]) > 1):
-            out += [(c, no, no, len(c)) for c in chunks]
-            continue
-        for j, chunk in enumerate(chunks):
+        end = len(chunks) - 1
+        first = 0 if single else max(end, 0)  # only the last word of a line may be broken, but any of a text of one line
+        out.words += chunks[:first]
+        for j in range(first, end + 1):
+            chunk = chunks[j]
             if pending:
                 close(*pending, chunk, no)
                 pending = None
-                continue
-            last = j == len(chunks) - 1
-            if chunk[-1] in HYPHENS and len(chunk) > 1 and chunk[-2].isalnum() and (last or single) and any(c.isalpha() for c in chunk):
-                if last and k == len(lines) - 1:
-                    part = chunk[:-1]
-                    overleaf = True
-                    if after:
-                        close(part, chunk[-1], no, after, 0)  # what is wrong in the second part is on the next page
-                    elif spelled is None or not spelled.begins(glyphs(core(part)) + "-"):
-                        broken.append(no)
-                else:
-                    pending = (chunk[:-1], chunk[-1], no)
-                continue
-            out.append((chunk, no, no, len(chunk)))
+            elif chunk[-1] in HYPHENS and len(chunk) > 1 and chunk[-2].isalnum() and any(c.isalpha() for c in chunk):
+                part = chunk[:-1]
+                if j < end or k < len(lines) - 1:
+                    pending = (part, no)
+                    continue
+                overleaf = True
+                if after:
+                    close(part, no, after, 0)  # what is wrong in the second part is on the next page
+                elif spelled is None or not spelled.begins(glyphs(core(part)) + "-"):
+                    broken.append(no)
+            else:
+                out.words.append(chunk)
+        out.numbers.append(no)
+        out.ends.append(len(out.words))
     return out, broken, overleaf
 
 
@@ -410,7 +454,7 @@ FIELDS = {"ocr": ("ocr_pages.vision", "ocr_pages.unlimited"), "record": ("page_r
 def pages(ocr: DataFrame, records: DataFrame, library: DataFrame) -> DataFrame:
     """All pages as one table with their readings ``a`` and ``b``. ``place`` orders the pages of a book."""
     one = ocr.select(F.lit("ocr").alias("kind"), F.col("page_id").cast("bigint").alias("page_id"), F.col("lesson_id").alias("book"), (F.col("page") * 2).cast("int").alias("place"), "title", F.col("vision").alias("a"), F.col("unlimited").alias("b"))
-    titles = library.filter("id is not null and title is not null").groupBy(F.col("id").alias("book")).agg(F.min_by("title", "row_id").alias("title"))
+    titles = cut(library.filter("id is not null and title is not null").groupBy(F.col("id").alias("book")).agg(F.min_by("title", "row_id").alias("title")))
     place = F.col("physical_page") * 2 + F.when(F.col("side") == "right", 1).otherwise(0)
     rec = records.select(F.lit("record").alias("kind"), F.col("page_id").cast("bigint").alias("page_id"), F.col("lesson_id").alias("book"), place.cast("int").alias("place"), F.col("text").alias("a"), F.lit(None).cast("string").alias("b")).filter("a is not null")
     named = join_small(rec.filter("book is not null"), titles, "book", "left")
@@ -418,9 +462,9 @@ def pages(ocr: DataFrame, records: DataFrame, library: DataFrame) -> DataFrame:
 
 
 def _readings(b: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
-    """``field, text, values of the columns`` of every reading; a column ``x`` may be two, ``x_a`` and ``x_b``."""
+    """``field, text, values of the columns`` of every reading; a column ``x`` may be two, ``x_a`` and ``x_b``. ``row`` is the row's number."""
     names = set(b.schema.names)
-    lists = [[b.column(c).to_pylist()] * 2 if c in names else [b.column(f"{c}_a").to_pylist(), b.column(f"{c}_b").to_pylist()] for c in columns]
+    lists = [[range(b.num_rows)] * 2 if c == "row" else [b.column(c).to_pylist()] * 2 if c in names else [b.column(f"{c}_a").to_pylist(), b.column(f"{c}_b").to_pylist()] for c in columns]
     texts = [b.column("a").to_pylist(), b.column("b").to_pylist()]
     for i, kind in enumerate(b.column("kind").to_pylist()):
         for k, field in enumerate(FIELDS[kind]):
@@ -461,16 +505,27 @@ def spread(given: DataFrame) -> DataFrame:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         raw: Counter = Counter()
+        whole: list[str] = []
         for _, text, furn in _readings(b, "furn"):
+            if len(whole) > 200_000:
+                raw.update(whole)
+                whole.clear()
+            if not _HYPHEN.search(text):
+                whole += body(text, furn).split()[1:]
+                continue
             tail = True
             for _, line in story(text, set(furn or ())):
-                chunks = line.split()
-                raw.update(chunks)
                 # parts of broken words are no words; neither may be the first of a page
-                for c in chunks if len(chunks) < 3 or any(h in line for h in HYPHENS) else (chunks[0], chunks[-1]):
-                    if tail or c[-1] in HYPHENS:
-                        raw[c] -= 1
+                chunks = line.split()
+                if not _HYPHEN.search(line):
+                    whole += chunks[1:] if tail else chunks
+                    tail = False
+                    continue
+                for c in chunks:
+                    if not tail and c[-1] not in HYPHENS:
+                        whole.append(c)
                     tail = c[-1] in HYPHENS and len(c) > 1
+        raw.update(whole)
         n: Counter = Counter()
         for c, k in raw.items():
             n[core(c).lower()] += k
@@ -552,17 +607,25 @@ def _glyphs(words):
     return words.map(glyphs)
 
 
-_READ = "h bigint, bucket int, n bigint, kind string, page_id bigint, what string, word string"
-_READ_KIND = pa.schema([("h", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("kind", pa.string()), ("page_id", pa.int64()), ("what", pa.string()), ("word", pa.string())])
+_READ_KIND = pa.schema(
+    [("h", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("kind", pa.string()), ("page_id", pa.int64()), ("book", pa.string()), ("place", pa.int32())]
+    + [(c, pa.string()) for c in ("first_a", "first_b", "last_a", "last_b")]
+    + [(c, pa.list_(pa.string())) for c in ("words", "spelled", "begins")]
+)
+_READ = "h bigint, bucket int, n bigint, kind string, page_id bigint, book string, place int, first_a string, first_b string, last_a string, last_b string, words array<string>, spelled array<string>, begins array<string>"
+
+
+def _broken_off(chunk: str) -> str | None:
+    """The first part of a word that is broken at the end of a page."""
+    return chunk[:-1] if len(chunk) > 1 and chunk[-1] in HYPHENS and chunk[-2].isalnum() and any(c.isalpha() for c in chunk) else None
 
 
 def _read(hashes, sure, whole: bool):
-    """One pass over the pages: the neighbours of every kept word, two on either side (``h, bucket, n``), and what each page asks:
-    words, spellings and beginnings of spellings (``kind, page_id, what, word``). ``whole``: the hashes are of all kept words."""
+    """One pass over the pages: the neighbours of every kept word, two on either side (``h, bucket, n``), and for each page its first
+    words, those broken at its end, and what it asks: ``words, spelled, begins``. ``whole``: the hashes are of all kept words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_hashes, asking = hashes.value, Asking(sure.value)
-        kinds = {f: k for k, fs in FIELDS.items() for f in fs}
 
         class Places(dict):
             """A number for each run of non-blanks; by number the hash of its word and what it asks."""
@@ -582,40 +645,46 @@ def _read(hashes, sure, whole: bool):
                 places = Places()
             own: list[int] = []
             apart: list[int] = []
-            pages_: list[tuple[str, int]] = []
-            rows: set[tuple] = set()
-            for field, text, furn, page in _readings(b, "furn", "page_id"):
-                lines = story(text, set(furn or ()))
-                chunks = [c for _, line in lines for c in line.split()]
+            rows: list[int] = []
+            size = b.num_rows
+            words, spelled, begins = ([set() for _ in range(size)] for _ in range(3))
+            ends: dict[str, list[str | None]] = {c: [None] * size for c in _READ_KIND.names[7:11]}
+            for field, text, furn, row in _readings(b, "furn", "row"):
+                furn = set(furn or ())
+                chunks = body(text, furn).split()
+                if chunks:
+                    side = "b" if field == FIELDS["ocr"][1] else "a"
+                    ends["first_" + side][row], ends["last_" + side][row] = chunks[0], _broken_off(chunks[-1])
                 if _BREAK.search(text):
-                    kind, noted = kinds[field], _Asked(False)
-                    joined = [t[0] for t in tokens(lines, noted, None, None)[0]]
-                    own += [places[c] for c in joined]
-                    other = [c for c in chunks if c[-1] in HYPHENS]
-                    if noted.words or noted.beginnings:
-                        rows.update((kind, page, "spelled", w) for w in noted.words)
-                        rows.update((kind, page, "begins", w) for w in noted.beginnings)
-                        other += [t[0] for t in tokens(lines, _Asked(True), None, None)[0]]
-                    rows.update((kind, page, "word", w) for c in other for w in places.asks[places[c]])
+                    noted = _Asked(False)
+                    read = tokens(story(text, furn), noted, None, None)[0]
+                    own += [places[c] for c in read.words]
+                    spelled[row] |= noted.words
+                    begins[row] |= noted.beginnings
+                    # the word may as well be spelled with the hyphen, or nothing may follow
+                    other = [c for c in chunks if c[-1] in HYPHENS] + [read.words[i][:part] + "-" + read.words[i][part:] for i, (_, _, part) in read.joined.items()]
+                    for c in other:
+                        words[row].update(places.asks[places[c]])
                 else:
                     own += [places[c] for c in chunks]
                 own += (0, 0)  # keeps the texts apart
                 apart.append(len(own))
-                pages_.append((kinds[field], page))
+                rows.append(row)
             numbers = np.array(own, dtype=np.int64)
             asks = np.flatnonzero(np.fromiter(map(bool, places.asks), dtype=bool, count=len(places.asks))[numbers])
             for n, k in zip(numbers[asks].tolist(), np.searchsorted(np.array(apart), asks, "right").tolist()):
-                kind, page = pages_[k]
-                rows.update((kind, page, "word", w) for w in places.asks[n])
-            yield _batch([(None, None, None, *r) for r in rows], _READ_KIND)
-            h = np.array(places.hashes, dtype=np.uint64)[numbers]
-            inside = np.ones(len(h), dtype=bool)
-            ends = np.array(apart, dtype=np.int64)
-            inside[ends - 1] = inside[ends - 2] = False
-            near = (h >> np.uint64(7) & np.uint64(BUCKETS - 1)).astype(np.int64)
-            words, number = np.unique(h, return_inverse=True)
-            at = np.minimum(np.searchsorted(kept_hashes, words), max(len(kept_hashes) - 1, 0))
-            known = (kept_hashes[at] == words if len(kept_hashes) else np.zeros(len(words), bool)) | (not whole)
+                words[rows[k]].update(places.asks[n])
+            lists = [pa.array([list(x) for x in c], pa.list_(pa.string())) for c in (words, spelled, begins)]
+            page = [b.column(c).cast(_READ_KIND.field(c).type) for c in ("kind", "page_id", "book", "place")]
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(size, f.type) for f in list(_READ_KIND)[:3]], *page, *[pa.array(x, pa.string()) for x in ends.values()], *lists], schema=_READ_KIND)
+            inside = np.ones(len(numbers), dtype=bool)
+            at = np.array(apart, dtype=np.int64)
+            inside[at - 1] = inside[at - 2] = False
+            hashed, word_of = np.unique(np.array(places.hashes, dtype=np.uint64), return_inverse=True)
+            number = word_of[numbers]
+            near = (hashed >> np.uint64(7) & np.uint64(BUCKETS - 1)).astype(np.int64)[number]
+            at = np.minimum(np.searchsorted(kept_hashes, hashed), max(len(kept_hashes) - 1, 0))
+            known = (kept_hashes[at] == hashed if len(kept_hashes) else np.zeros(len(hashed), bool)) | (not whole)
             kept = inside & known[number]
             found = []
             for d in (1, 2):
@@ -623,7 +692,7 @@ def _read(hashes, sure, whole: bool):
                 for w, k, x in ((number[d:], kept[d:], near[:-d]), (number[:-d], kept[:-d], near[d:])):
                     found.append((w * BUCKETS + x)[ok & k])
             flat, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words[flat // BUCKETS].view(np.int64)), pa.array((flat % BUCKETS).astype(np.int32)), pa.array(n.astype(np.int64)), *[pa.nulls(len(flat), f.type) for f in list(_READ_KIND)[3:]]], schema=_READ_KIND)
+            yield pa.RecordBatch.from_arrays([pa.array(hashed[flat // BUCKETS].view(np.int64)), pa.array((flat % BUCKETS).astype(np.int32)), pa.array(n.astype(np.int64)), *[pa.nulls(len(flat), f.type) for f in list(_READ_KIND)[3:]]], schema=_READ_KIND)
 
     return run
 
@@ -641,10 +710,13 @@ class Tables:
         sure = kept.join(near.select("word").distinct(), "word", "left_anti")
         spark = placed.sparkSession
         every, self.sure = _hashes(kept), spark.sparkContext.broadcast(Shared(_hashes(sure)))
-        read = cut(placed.select("kind", "page_id", "a", "b", "furn_a", "furn_b").mapInArrow(_read(spark.sparkContext.broadcast(every), self.sure, len(every) < FILTER), _READ))
-        self.asks = read.filter("what is not null").select("kind", "page_id", "what", "word")
+        read = cut(placed.select("kind", "page_id", "book", "place", "a", "b", "furn_a", "furn_b").mapInArrow(_read(spark.sparkContext.broadcast(every), self.sure, len(every) < FILTER), _READ))
+        by_page = read.filter("kind is not null")
+        self.asks = by_page.select("kind", "page_id", "words", "spelled", "begins")
+        end = lambda side, field: F.struct(field.alias("field"), F.col(f"first_{side}").alias("first"), F.col(f"last_{side}").alias("last"))
+        self.ends = by_page.filter("book is not null").select("kind", "page_id", "book", "place", F.explode(F.array(end("a", F.when(F.col("kind") == "record", FIELDS["record"][0]).otherwise(FIELDS["ocr"][0])), end("b", F.lit(FIELDS["ocr"][1])))).alias("e")).select("e.field", "kind", "page_id", "book", "place", "e.first", "e.last").filter("first is not null")
         if vectors:
-            cells = read.filter("what is null").groupBy("h", "bucket").agg(F.sum("n").alias("n")).groupBy("h").agg(F.collect_list(F.struct("bucket", "n")).alias("cells"))  # at most BUCKETS
+            cells = read.filter("kind is null").groupBy("h", "bucket").agg(F.sum("n").alias("n")).groupBy("h").agg(F.collect_list(F.struct("bucket", "n")).alias("cells"))  # at most BUCKETS
             contexts = cut(kept.join(cells, "h"))
             shares = {r[0]: r[1] for r in contexts.select(F.explode("cells").alias("c")).groupBy("c.bucket").agg(F.sum("c.n")).collect()}  # BUCKETS
             share = np.array([shares.get(c, 0) for c in range(BUCKETS)], dtype=float) ** 0.75
@@ -717,8 +789,8 @@ def _hashes(words: DataFrame) -> np.ndarray:
     return np.sort(few.column("h").to_numpy().view(np.uint64)) if few.num_rows else np.zeros(0, np.uint64)
 
 
-_ASK = "kind string, page_id bigint, what string, word string"
-_ASK_KIND = pa.schema([("kind", pa.string()), ("page_id", pa.int64()), ("what", pa.string()), ("word", pa.string())])
+_ASK_KIND = pa.schema([("kind", pa.string()), ("page_id", pa.int64()), *[(c, pa.list_(pa.string())) for c in ("words", "spelled", "begins")]])
+_ASK = "kind string, page_id bigint, words array<string>, spelled array<string>, begins array<string>"
 
 
 def _overleaf_asks(shared):
@@ -727,11 +799,11 @@ def _overleaf_asks(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asking = Asking(shared.value)
         for b in batches:
-            rows = set()
+            rows = []
             for kind, page, part, follow in zip(*[b.column(c).to_pylist() for c in ("kind", "page_id", "part", "follow")]):
-                rows.add((kind, page, "spelled", glyphs(core(part) + "-" + core(follow))))
-                rows |= {(kind, page, "word", w) for c in (part + follow, part + "-" + follow) for w in asking(c)}
-            yield _batch(list(rows), _ASK_KIND)
+                words = dict.fromkeys([*asking(part + follow), *asking(part + "-" + follow)])
+                rows.append((kind, page, list(words), [glyphs(core(part) + "-" + core(follow))], []))
+            yield _batch(rows, _ASK_KIND)
 
     return run
 
@@ -747,73 +819,70 @@ def _lows(text: str | None) -> set[str]:
     return out | {w[:-2] for w in out if w.endswith(("'s", "’s"))}
 
 
+@lru_cache(2_000)
+def _titled(title: str | None) -> frozenset[str]:
+    return frozenset(_lows(title))
+
+
 class Other:
     """The words of the other reading of a page; read only when asked for."""
 
     def __init__(self, text: str | None):
-        self.text, self.words, self.shapes = text, None, {}
+        self.text, self.words, self.shapes = text, None, None
 
     def __contains__(self, low: str) -> bool:
         if self.words is None:
             self.words = _lows(self.text)
-            for w in sorted(self.words, reverse=True):
-                self.shapes.setdefault(glyphs(w), []).append(w)
         return low in self.words
 
     def twin(self, low: str) -> str | None:
-        """Another word of the same shapes."""
-        return next((w for w in self.shapes.get(glyphs(low), ()) if w != low), None)
-
-
-class _Flat:
-    """Words of a page in which none is broken, with their lines; looked up when one of them is in doubt."""
-
-    def __init__(self, words: list[str], numbers: list[int], lines: list[list[str]]):
-        self.words, self.numbers, self.ends = list(words), numbers, list(accumulate(map(len, lines)))
-
-    def __getitem__(self, i: int) -> tuple[str, int, int, int]:
-        no = self.numbers[bisect_right(self.ends, i)]
-        return self.words[i], no, no, len(self.words[i])
+        """Another word of the same shapes; to be asked about words that aren't there themselves."""
+        if self.shapes is None:
+            self.shapes = {}
+            for w in sorted(self.words):
+                self.shapes[glyphs(w)] = w
+        return self.shapes.get(glyphs(low))
 
 
 def _judge(model: Answers, text: str, furn, title: str | None, other: str | None, after: str | None, before: str | None, with_text: bool = True) -> tuple[list[int], list[int], str | None]:
     """Lines with a broken word, lines with a misread one, and the clean text of a page, if it is wanted."""
-    lines = story(text, set(furn or ()))
+    furn = set(furn or ())
+    own = None  # where the words are matters only if one is in doubt
     if not with_text and not before and not _BREAK.search(text):
-        chunks = [line.split() for _, line in lines]
-        cleaned, broken = list(chain.from_iterable(chunks)), []
-        own = _Flat(cleaned, [no for no, _ in lines], chunks)
+        raw, broken = body(text, furn).split(), []
     else:
-        own, broken, _ = tokens(lines, model.spelled, after, before)
-        cleaned = [t[0] for t in own]
+        own, broken, _ = tokens(story(text, furn), model.spelled, after, before)
+        raw = own.words
     known = rest = None
     misread: set[int] = set()
-    raw, fine, seen = list(cleaned), model.fine, model.seen
+    cleaned, fine, seen = list(raw), model.fine, model.seen
     lost = "�" in text or "�" in (after or "")
     for i in [i for i, c in enumerate(raw) if c not in fine]:
-        body, _, right, decided = seen(raw[i])
+        bare, _, right, decided = seen(raw[i])
         if right is None and decided:
             if lost and "�" in cleaned[i]:
+                own = own or tokens(story(text, furn), None, None, None)[0]
                 chunk, line, last, part = own[i]
                 misread.add(line if chunk.index("�") < part else last)
                 cleaned[i] = chunk.replace("�", ".")
             continue
+        own = own or tokens(story(text, furn), None, None, None)[0]
         chunk, line, last, part = own[i]
         if known is None:
-            known, rest = _lows(title), Other(other)
+            known, rest = _titled(title), Other(other)
         around = [] if decided else [_bucket(seen(raw[j])[1]) for j in (i - 2, i - 1, i + 1, i + 2) if 0 <= j < len(raw)]
         right = model.correct(chunk, around, rest, known)
         if "�" in chunk and right is None:
             misread.add(line if chunk.index("�") < part else last)
         if right:
             at, w = 0, chunk.lower()
-            lead = max(w.find(body.lower()), 0)
+            lead = max(w.find(bare.lower()), 0)
             while at < len(right) and lead + at < len(w) and w[lead + at] == right[at]:
                 at += 1
             where = line if lead + at < part else last
             misread.add(where)
-            shown = right.capitalize() if body[:1].isupper() else right
-            chunk = chunk.replace(body, shown, 1)
+            shown = right.capitalize() if bare[:1].isupper() else right
+            chunk = chunk.replace(bare, shown, 1)
         cleaned[i] = chunk.replace("�", ".")
     misread.discard(0)  # on another page
     if not with_text:
@@ -823,7 +892,7 @@ def _judge(model: Answers, text: str, furn, title: str | None, other: str | None
     for no, line in enumerate(text.split("\n"), 1):
         if not line.strip():
             gap = True
-        elif no not in (furn or ()):
+        elif no not in furn:
             if gap:
                 gaps.add(no)
             gap = False
@@ -840,34 +909,24 @@ def _judge(model: Answers, text: str, furn, title: str | None, other: str | None
 
 _DONE = "field string, page_id bigint, broken array<int>, misread array<int>, furniture array<int>, text string"
 _DONE_KIND = pa.schema([("field", pa.string()), ("page_id", pa.int64()), *[(c, pa.list_(pa.int32())) for c in ("broken", "misread", "furniture")], ("text", pa.string())])
-_END_KIND = pa.schema([("field", pa.string()), ("kind", pa.string()), ("page_id", pa.int64()), ("book", pa.string()), ("place", pa.int32()), ("first", pa.string()), ("last", pa.string())])
 
-
-def _page_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = []
-        for field, text, furn, *own in _readings(b, "furn", "kind", "page_id", "book", "place"):
-            lines = story(text, set(furn or ()))
-            first = _CHUNK.search(lines[0][1]).group() if lines else None
-            end = lines[-1][1].rsplit(None, 1)[-1].rstrip() if lines else ""
-            last = end[:-1] if len(end) > 1 and end[-1] in HYPHENS and end[-2].isalnum() and any(c.isalpha() for c in end) else None
-            rows.append((field, *own, first, last))
-        yield _batch(rows, _END_KIND)
-
-
-def overleaf(placed: DataFrame) -> DataFrame:
+def overleaf(ends: DataFrame) -> DataFrame:
     """``field, kind, page_id, after, before, part, follow``: the first word of the next page of pages that end in a broken
-    word, or that word for the next page; the two parts of the word. Joined by place, so that a book of any length is spread."""
-    ends = cut(placed.select("kind", "page_id", "book", "place", "a", "b", "furn_a", "furn_b").mapInArrow(_page_ends, "field string, kind string, page_id bigint, book string, place int, first string, last string").filter("book is not null"))
-    firsts = ends.filter("first is not null").groupBy("field", "book", "place").agg(F.min_by("first", "page_id").alias("first"), F.min_by("last", "page_id").alias("last"))
-    step = F.explode(F.array(F.lit(1), F.lit(2))).alias("step")
-    asks = ends.filter("last is not null").select("field", "kind", "page_id", "book", F.col("last").alias("part"), F.col("place").alias("own"), step).withColumn("place", F.col("own") + F.col("step"))
-    after = asks.join(firsts.select("field", "book", "place", "first"), ["field", "book", "place"]).groupBy("field", "kind", "page_id").agg(F.min_by("first", "step").alias("after"), F.first("part").alias("part"))
-    tails = firsts.select("field", "book", F.col("place").alias("from"), "last", step).withColumn("place", F.col("from") + F.col("step"))
-    prior = tails.groupBy("field", "book", "place").agg(F.min_by(F.struct("last"), "step").alias("l")).filter("l.last is not null").select("field", "book", "place", F.col("l.last").alias("before"))
-    before = ends.select("field", "kind", "page_id", "book", "place", F.col("first").alias("follow")).join(prior, ["field", "book", "place"]).select("field", "kind", "page_id", "before", "follow")
+    word, or that word for the next page; the two parts of the word. ``ends``: ``first`` and ``last`` of every page that has words. Joined by
+    place, so that a book of any length is spread; only the places of broken words and the two behind are looked at."""
+    line = ["field", "book", "place"]
+    asked = ends.filter("last is not null").select("field", "book", F.col("place").alias("own")).distinct().select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("step")).withColumn("place", F.col("own") + F.col("step"))
+    order = F.struct("step", "page_id")
+    met = asked.join(ends.select(*line, "page_id", "first", "last"), line).groupBy("field", "book", "own").agg(
+        F.min_by("last", order).alias("last"), F.min_by("first", F.when(F.col("step") > 0, order)).alias("after"), F.min(F.when(F.col("step") > 0, F.col("step"))).alias("step")
+    )
     none = F.lit(None).cast("string")
-    return after.select("*", none.alias("before"), F.col("after").alias("follow")).unionByName(before.select("*", none.alias("after"), F.col("before").alias("part")))
+    here, next_ = F.struct(F.col("own").alias("place"), "after", none.alias("before"), "step"), F.struct((F.col("own") + F.col("step")).alias("place"), none.alias("after"), F.col("last").alias("before"), "step")
+    parts = met.filter("step is not null").select("field", "book", F.explode(F.array(here, next_)).alias("x")).select("field", "book", "x.*").filter("after is not null or before is not null")
+    turns = cut(ends.join(parts, line).filter("before is not null or last is not null"))
+    page = ["field", "kind", "page_id"]
+    after = turns.filter("before is null").groupBy(*page).agg(F.min_by("after", "step").alias("after"), F.first("last").alias("part"))
+    return after.select("*", none.alias("before"), F.col("after").alias("follow")).unionByName(turns.filter("before is not null").select(*page, none.alias("after"), "before", F.col("before").alias("part"), F.col("first").alias("follow")))
 
 
 def restored(ocr: DataFrame, records: DataFrame, library: DataFrame, with_text: bool = True, vectors: bool = True) -> DataFrame:
@@ -880,33 +939,35 @@ def restored(ocr: DataFrame, records: DataFrame, library: DataFrame, with_text:
     placed = cut(spread(pages(ocr, records, library)))
     tables = Tables(placed, vectors)
     shared, page = tables.broadcast, ["kind", "page_id"]
-    turns = cut(overleaf(placed))
+    turns = overleaf(tables.ends)
     both = turns.filter("part is not null and follow is not null").select(*page, "part", "follow").distinct()
-    asks = tables.asks.unionByName(both.mapInArrow(_overleaf_asks(tables.sure), _ASK))
-    words = asks.filter("what = 'word'").select(*page, "word")
+    asks = tables.asks.unionByName(cut(both.mapInArrow(_overleaf_asks(tables.sure), _ASK)))
+    words = asks.select(*page, F.explode("words").alias("word"))
     answers = join_small(words, cut(tables.answers(words)), "word")
     begins = tables.spelled.select(F.lit("begins").alias("what"), F.explode(F.expr("transform(filter(sequence(1, length(g)), i -> substring(g, i, 1) = '-'), i -> left(g, i))")).alias("word")).distinct()
     there = tables.spelled.select(F.lit("spelled").alias("what"), F.col("g").alias("word")).unionByName(begins)
-    spellings = join_small(asks.filter("what != 'word'"), there, ["what", "word"], "left_semi")
+    parts = F.concat(*[F.expr(f"transform({c}, w -> struct('{c}' as what, w as word))") for c in ("spelled", "begins")])
+    spellings = join_small(asks.select(*page, F.explode(parts).alias("x")).select(*page, "x.what", "x.word"), cut(there), ["what", "word"], "left_semi")
     second = F.col("field") == FIELDS["ocr"][1]
-    small = None
-    for name, df, value in (
-        ("answers", answers, F.struct("word", "n", "link", "near")), ("spelled", spellings.filter("what = 'spelled'"), F.col("word")), ("begins", spellings.filter("what = 'begins'"), F.col("word")), ("after_a", turns.filter(~second), F.col("after")), ("after_b", turns.filter(second), F.col("after")),
-        ("before_a", turns.filter(~second), F.col("before")), ("before_b", turns.filter(second), F.col("before")),
-    ):
-        one = df.select(*page, value.alias(name)).filter(F.col(name).isNotNull())
-        small = one if small is None else small.unionByName(one, allowMissingColumns=True)
+    small = answers.select(*page, F.struct("word", "n", "link", "near").alias("answers"))
+    small = small.unionByName(spellings.select(*page, *[F.when(F.col("what") == c, F.col("word")).alias(c) for c in ("spelled", "begins")]), allowMissingColumns=True)
+    small = small.unionByName(turns.select(*page, *[F.when(second if side == "b" else ~second, F.col(c)).alias(f"{c}_{side}") for c in ("after", "before") for side in "ab"]), allowMissingColumns=True)
     lists = [F.collect_list(c).alias(c) for c in ("answers", "spelled", "begins")]
     facts = small.groupBy(*page).agg(*lists, *[F.max(c).alias(c) for c in ("after_a", "after_b", "before_a", "before_b")])  # about one page's words
 
+    def _once(b: pa.RecordBatch) -> tuple[list, list, list]:
+        """What the pages of a batch were told, each word once: it's the same wherever it was asked."""
+        answers = b.column("answers").flatten()
+        _, at = np.unique(answers.field("word").dictionary_encode().indices.to_numpy(zero_copy_only=False), return_index=True)
+        return answers.take(pa.array(at)).to_pylist(), *[b.column(c).flatten().unique().to_pylist() for c in ("spelled", "begins")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         others = {f: i for i, f in enumerate(FIELDS["ocr"])}
         m = Answers(shared.value)
         for b in batches:
             if len(m.counts) > 300_000:
                 m = Answers(shared.value)
-            for row in zip(*[b.column(c).to_pylist() for c in ("answers", "spelled", "begins")]):
-                m.take(*row)
+            m.take(*_once(b))
             rows = []
             for field, text, a, b_, page_, title, furn, after, before in _readings(b, "a", "b", "page_id", "title", "furn", "after", "before"):
                 broken, misread, clean_ = _judge(m, text, furn, title, b_ if others.get(field) == 0 else a if others.get(field) == 1 else None, after, before, with_text)
